@@ -99,8 +99,31 @@ def running_sum(df: DataFrame, order: Sequence[Column], value: str | None = None
 
 def row_number_global(df: DataFrame, order: Sequence[Column], out: str = "rn",
                       by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
-    """1-based row number in ``by + order`` (``order`` ends with a unique key)."""
-    return running_sum(df, order, None, out, by, partitions)
+    """1-based row number in ``by + order`` (``order`` ends with a unique key).
+
+    JVM only: after the range exchange and a local sort, the partition-local
+    index comes from ``monotonically_increasing_id`` (partition id in the high
+    bits, row index in the low 33 bits); per-(partition, group) counts and first
+    local indexes give the offsets.
+    """
+    by = list(by)
+    keys = [F.col(c) for c in by] + list(order)
+    s = (df.repartitionByRange(_partitions(df, partitions), *keys)
+         .sortWithinPartitions(*keys)
+         .withColumn("_hf_mid", F.monotonically_increasing_id())
+         .withColumn(_PID, F.shiftright("_hf_mid", 33).cast("int"))
+         .withColumn("_hf_loc", F.col("_hf_mid").bitwiseAND((1 << 33) - 1)))
+    summary = s.groupBy(_PID, *by).agg(F.count(F.lit(1)).alias("_hf_cnt"),
+                                       F.min("_hf_loc").alias("_hf_first"))
+    w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1) \
+        if by else Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = summary.select(_PID, *by, "_hf_first",
+                             F.coalesce(F.sum("_hf_cnt").over(w), F.lit(0)).alias("_hf_off"))
+    small = F.broadcast(offsets)  # rows <= partitions x groups
+    cond = [s[_PID] == small[_PID]] + [s[c].eqNullSafe(small[c]) for c in by]
+    return s.join(small, cond, "inner").select(
+        *[s[c] for c in df.columns],
+        (small["_hf_off"] + s["_hf_loc"] - small["_hf_first"] + 1).cast("long").alias(out))
 
 
 def ntile_expr(rn: str | Column, n_rows: Column, buckets: int) -> Column:

@@ -143,3 +143,280 @@ def q_segment_churn_rates(c: Context) -> DataFrame:
                     F.count(F.lit(1)).alias("customers"),
                     fround(F.avg(F.col("churned").cast("int")), 4).alias("churn_rate"))
     return per_key.unionByName(overall)
+
+
+# ---------------------------------------------------------------- data quality
+from ..operators import cohorts as CO  # noqa: E402
+from ..operators import hypothesis as HT  # noqa: E402
+from ..operators import offers as OF  # noqa: E402
+from ..operators import quality as QC  # noqa: E402
+from ..operators import scenarios as SC  # noqa: E402
+from ..operators import survival as SV  # noqa: E402
+from ..operators import value as VL  # noqa: E402
+
+
+def _checks(c: Context) -> DataFrame:
+    s = c.settings
+    return QC.run_checks(c.features(), c.customer, c.account, c.service, s.services, s.quality)
+
+
+@register("dq_checks", "Q2-Q10 A4 A6 A17 A18 J3 T5", lambda o: o.sql_dq_checks())
+def q_dq_checks(c: Context) -> DataFrame:
+    return _checks(c)
+
+
+@register("dq_summary", "Q12", lambda o: o.sql_dq_summary())
+def q_dq_summary(c: Context) -> DataFrame:
+    return QC.summarize(_checks(c))
+
+
+@register("dq_freshness", "Q1")
+def q_dq_freshness(c: Context) -> DataFrame:
+    return QC.freshness(c.table("orders"), c.settings.quality)
+
+
+@register("feature_label_correlation", "A6", lambda o: o.sql_label_corr())
+def q_feature_label_correlation(c: Context) -> DataFrame:
+    return QC.label_correlations(c.features(), c.settings.quality)
+
+
+@register("lineitem_key_duplicates", "A4 Q3", lambda o: """
+SELECT count(*) AS dup_groups, CAST(COALESCE(sum(n), 0) AS BIGINT) AS dup_rows
+FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
+      GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) t""")
+def q_lineitem_key_duplicates(c: Context) -> DataFrame:
+    d = QC.duplicate_groups(c.table("lineitem"), ["l_orderkey", "l_linenumber"])
+    return d.agg(F.count(F.lit(1)).alias("dup_groups"),
+                 F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("dup_rows"))
+
+
+@register("orphan_keys", "J12", lambda o: """
+SELECT (SELECT count(*) FROM orders o WHERE NOT EXISTS
+          (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)) AS orphan_orders,
+       (SELECT count(*) FROM lineitem l WHERE NOT EXISTS
+          (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)) AS orphan_lineitems""")
+def q_orphan_keys(c: Context) -> DataFrame:
+    o, cu, li = c.table("orders"), c.table("customer"), c.table("lineitem")
+    oo = o.join(cu, o.o_custkey == cu.c_custkey, "left_anti")
+    ol = li.join(o, li.l_orderkey == o.o_orderkey, "left_anti")
+    return oo.agg(F.count(F.lit(1)).alias("orphan_orders")).select(
+        "orphan_orders", ol.select(F.count(F.lit(1))).scalar().alias("orphan_lineitems"))
+
+
+# ---------------------------------------------------------------- cohorts / adoption
+@register("tenure_cohorts", "P5 A3", lambda o: o.build("""
+SELECT tenure_bucket, count(*) AS customers,
+  FLOOR(CAST(avg(CAST(churned AS INTEGER)) AS DOUBLE) * 1000 + 0.5) / 1000 AS churn_rate
+FROM features GROUP BY tenure_bucket""", "features"))
+def q_tenure_cohorts(c: Context) -> DataFrame:
+    return CO.tenure_cohorts(c.features())
+
+
+@register("tem_segments", "W9 P14", lambda o: o.sql_tem("SELECT customer_id, tenure_score, "
+          "engagement_score, monetary_score, tem_score, rfm_segment FROM tem"))
+def q_tem_segments(c: Context) -> DataFrame:
+    return CO.tem_segments(c.features()).select(
+        "customer_id", "tenure_score", "engagement_score", "monetary_score", "tem_score",
+        "rfm_segment")
+
+
+@register("segment_profile", "A8", lambda o: o.sql_tem("""SELECT rfm_segment,
+  count(*) AS customers, FLOOR(CAST(avg(monthly_charges) AS DOUBLE) * 10 + 0.5) / 10 AS avg_arpu,
+  FLOOR(CAST(avg(CAST(churned AS INTEGER)) AS DOUBLE) * 1000 + 0.5) / 1000 AS churn_rate
+FROM tem GROUP BY rfm_segment"""))
+def q_segment_profile(c: Context) -> DataFrame:
+    return CO.segment_profile(CO.tem_segments(c.features()))
+
+
+@register("value_loyalty_matrix", "A9", lambda o: o.build(f"""
+SELECT customer_value_segment,
+  FLOOR(CAST(avg(CASE WHEN tenure_months <= {o.s.features.loyalty_split}
+    THEN CAST(churned AS INTEGER) END) AS DOUBLE) * 1000 + 0.5) / 1000 AS churn_new,
+  FLOOR(CAST(avg(CASE WHEN tenure_months > {o.s.features.loyalty_split}
+    THEN CAST(churned AS INTEGER) END) AS DOUBLE) * 1000 + 0.5) / 1000 AS churn_tenured
+FROM features GROUP BY customer_value_segment""", "features"))
+def q_value_loyalty_matrix(c: Context) -> DataFrame:
+    return CO.value_loyalty_matrix(c.features(), c.settings.features)
+
+
+@register("service_lift", "A11 J4", lambda o: o.sql_service_lift())
+def q_service_lift(c: Context) -> DataFrame:
+    return CO.service_lift(c.account, c.service, c.settings.services)
+
+
+# ---------------------------------------------------------------- hypothesis tests
+CHI_FACTORS = ["contract_type", "payment_method", "internet_type", "senior_citizen"]
+T_FACTORS = ["tenure_months", "monthly_charges"]
+
+
+@register("chi_square_tests", "H1 H2 A10", lambda o: o.sql_chi_square(CHI_FACTORS))
+def q_chi_square_tests(c: Context) -> DataFrame:
+    return HT.chi_square(c.features(), CHI_FACTORS).drop("_stat_raw")
+
+
+@register("welch_tests", "H3 H4 A12", lambda o: o.sql_welch(T_FACTORS))
+def q_welch_tests(c: Context) -> DataFrame:
+    return HT.welch(c.features(), T_FACTORS).drop("_stat_raw", "_dof_raw")
+
+
+@register("hypothesis_report", "H1-H5")
+def q_hypothesis_report(c: Context) -> DataFrame:
+    f = c.features()
+    return HT.report(HT.chi_square(f, CHI_FACTORS), HT.welch(f, T_FACTORS), c.settings.alpha)
+
+
+# ---------------------------------------------------------------- survival
+@register("km_curve_overall", "K1 W14", lambda o: o.sql_km(None, "SELECT * FROM km"))
+def q_km_overall(c: Context) -> DataFrame:
+    return SV.km_curve(c.account, "tenure_months", "churned").withColumn(
+        "survival", fround("survival", 6))
+
+
+@register("km_curve_by_contract", "K2 W14", lambda o: o.sql_km("contract_type",
+                                                              "SELECT * FROM km"))
+def q_km_by_contract(c: Context) -> DataFrame:
+    return SV.km_curve(c.account, "tenure_months", "churned", "contract_type").withColumn(
+        "survival", fround("survival", 6))
+
+
+@register("km_horizons", "K3 J11", lambda o: o.sql_km_horizons())
+def q_km_horizons(c: Context) -> DataFrame:
+    a = c.account
+    h = list(c.settings.horizons)
+    return (SV.horizons(SV.km_curve(a, "tenure_months", "churned"), h)
+            .unionByName(SV.horizons(SV.km_curve(a, "tenure_months", "churned",
+                                                 "contract_type"), h)))
+
+
+@register("km_median", "K4", lambda o: o.sql_km_median())
+def q_km_median(c: Context) -> DataFrame:
+    a = c.account
+    return (SV.median_survival(SV.km_curve(a, "tenure_months", "churned"))
+            .unionByName(SV.median_survival(SV.km_curve(a, "tenure_months", "churned",
+                                                        "contract_type"))))
+
+
+@register("logrank_by_group", "K5", lambda o: o.sql_logrank())
+def q_logrank_by_group(c: Context) -> DataFrame:
+    return SV.logrank_by_group(c.account, "tenure_months", "churned", "contract_type")
+
+
+@register("logrank_test", "K5")
+def q_logrank_test(c: Context) -> DataFrame:
+    return SV.logrank_test(c.account, "tenure_months", "churned", "contract_type")
+
+
+@register("survival_factors", "K6 J11", lambda o: o.build("SELECT * FROM km_factor",
+                                                          "km_factor"))
+def q_survival_factors(c: Context) -> DataFrame:
+    return c.km_factors()
+
+
+# ---------------------------------------------------------------- value
+@register("customer_value", "D1 J6 S5 S6", lambda o: o.build("SELECT * FROM cv", "cv"))
+def q_customer_value(c: Context) -> DataFrame:
+    return c.customer_value()
+
+
+@register("value_portfolio", "A13", lambda o: o.sql_portfolio())
+def q_value_portfolio(c: Context) -> DataFrame:
+    return VL.portfolio(c.customer_value())
+
+
+@register("value_by_contract", "A14", lambda o: o.build("""
+SELECT contract_type, count(*) AS n,
+  FLOOR(CAST(avg(ltv) AS DOUBLE) * 100 + 0.5) / 100 AS mean_ltv,
+  FLOOR(CAST(avg(churn_probability) AS DOUBLE) * 10000 + 0.5) / 10000 AS mean_churn,
+  FLOOR(CAST(avg(value_at_risk) AS DOUBLE) * 100 + 0.5) / 100 AS mean_var
+FROM cv GROUP BY contract_type""", "cv"))
+def q_value_by_contract(c: Context) -> DataFrame:
+    return VL.by_contract(c.customer_value())
+
+
+@register("profit_curve", "D2 D3 W12 J10", lambda o: o.build(
+    "SELECT * FROM pcurve", "pcurve"))
+def q_profit_curve(c: Context) -> DataFrame:
+    return VL.profit_curve(c.customer_value(), c.settings.economics.offer_cost)
+
+
+@register("profit_summary", "D4 D5 T2", lambda o: o.sql_profit_summary())
+def q_profit_summary(c: Context) -> DataFrame:
+    cost = c.settings.economics.offer_cost
+    cv = c.customer_value()
+    return VL.profit_summary(cv, VL.profit_curve(cv, cost), cost)
+
+
+# ---------------------------------------------------------------- offers / allocation
+@register("offer_assignment", "D6 D7 J5 J7 T3", lambda o: o.build(
+    "SELECT customer_id, offer, offer_cost, offer_acceptance, offer_benefit, offer_net, "
+    "roi_per_rupee, eligible FROM assigned", "assigned"))
+def q_offer_assignment(c: Context) -> DataFrame:
+    return c.assigned().select("customer_id", "offer", "offer_cost", "offer_acceptance",
+                               "offer_benefit", "offer_net", "roi_per_rupee", "eligible")
+
+
+@register("offer_summary", "A16 P15", lambda o: o.sql_offer_summary())
+def q_offer_summary(c: Context) -> DataFrame:
+    return OF.offer_summary(c.assigned())
+
+
+@register("contact_list", "D8 W11 S7 T1", lambda o: o.sql_contact_list())
+def q_contact_list(c: Context) -> DataFrame:
+    return OF.contact_list(c.assigned(), c.settings.economics.budget)
+
+
+@register("strategy_scorecard", "D9 D10 D12", lambda o: o.sql_scorecard())
+def q_strategy_scorecard(c: Context) -> DataFrame:
+    return OF.scorecard(c.assigned(), c.settings.economics.budget, c.settings.seed)
+
+
+@register("selected_offer_mix", "A15", lambda o: o.sql_offer_mix())
+def q_selected_offer_mix(c: Context) -> DataFrame:
+    return OF.offer_mix(OF.greedy_roi(c.assigned(), c.settings.economics.budget))
+
+
+@register("knapsack_bound", "D13", lambda o: o.sql_knapsack())
+def q_knapsack_bound(c: Context) -> DataFrame:
+    return OF.knapsack_bound(c.assigned(), c.settings.economics.budget)
+
+
+# ---------------------------------------------------------------- scenarios
+@register("sweep_one_way", "D14 J8", lambda o: o.sql_scen(
+    "SELECT sweep, value, FLOOR(CAST(net_retained AS DOUBLE) + 0.5) AS net_retained FROM sres "
+    "WHERE sweep IN ('acceptance_scale', 'offer_cost_multiplier', 'gross_margin', 'budget')"))
+def q_sweep_one_way(c: Context) -> DataFrame:
+    return SC.one_way(c.scenario_results())
+
+
+@register("sweep_two_way", "D15 J8", lambda o: o.sql_scen(
+    "SELECT acceptance_scale, cost_multiplier, "
+    "FLOOR(CAST(net_retained AS DOUBLE) + 0.5) AS net_retained FROM sres WHERE sweep = 'grid'"))
+def q_sweep_two_way(c: Context) -> DataFrame:
+    return SC.two_way(c.scenario_results())
+
+
+@register("assumption_swing", "D17", lambda o: o.sql_swing())
+def q_assumption_swing(c: Context) -> DataFrame:
+    return SC.swing(c.scenario_results())
+
+
+@register("named_scenarios", "D18 D20", lambda o: o.sql_named())
+def q_named_scenarios(c: Context) -> DataFrame:
+    return SC.named(c.scenario_results(), c.settings.sweeps)
+
+
+@register("budget_response", "D19", lambda o: o.sql_budget_response())
+def q_budget_response(c: Context) -> DataFrame:
+    return SC.budget_response(c.scenario_results(), c.settings.sweeps)
+
+
+@register("break_even_acceptance", "D16", lambda o: o.sql_break_even())
+def q_break_even(c: Context) -> DataFrame:
+    return SC.break_even_scale(c.customer_value(), c.settings.offers, c.settings.sweeps)
+
+
+@register("kpi_tree", "D21", lambda o: o.sql_kpi())
+def q_kpi_tree(c: Context) -> DataFrame:
+    s = c.settings
+    a = c.assigned()
+    return SC.kpi_tree(OF.greedy_roi(a, s.economics.budget), a, s.economics, s.offers)

@@ -9,6 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import features as FT
+from ..operators import offers as OF
+from ..operators import scenarios as SC
+from ..operators import survival as SV
+from ..operators import value as VL
 from ..params import Settings, driver_settings
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import roles as R
@@ -61,6 +65,34 @@ class Context:
             return materialize(fv, "feature_customer")
         return self._once("features", build)
 
+    def km_factors(self) -> DataFrame:
+        def build():
+            e = self.settings.economics
+            curve = SV.km_curve(self.account, "tenure_months", "churned", "contract_type")
+            return materialize(SV.discounted_factor(curve, e.horizon_months,
+                                                    e.monthly_discount_rate), "km_factors")
+        return self._once("km_factors", build)
+
+    def scored(self) -> DataFrame:
+        return self._once("scored", lambda: VL.tenure_score(self.features()))
+
+    def customer_value(self) -> DataFrame:
+        def build():
+            cv = VL.customer_value(self.scored(), self.km_factors(), self.settings.economics)
+            return materialize(cv, "customer_value")
+        return self._once("customer_value", build)
+
+    def assigned(self) -> DataFrame:
+        return self._once("assigned", lambda: OF.assign_offers(
+            self.customer_value(), self.settings.offers))
+
+    def scenario_results(self) -> DataFrame:
+        def build():
+            s = self.settings
+            r = SC.scenario_results(self.customer_value(), s.economics, s.offers, s.sweeps)
+            return materialize(r, "scenario_results")
+        return self._once("scenario_results", build)
+
     def memo(self, key: str, build):
         return self._once(key, build)
 
