@@ -8,14 +8,19 @@ same exact answers as a distributed scan:
 1. range-partition on the total order (a unique tie-break key is required, so
    one hot value is still split across many partitions) and sort each
    partition locally;
-2. compute the local running sum inside every partition (Arrow batches via
-   ``mapInPandas``);
-3. aggregate one total per (partition, group) - a table whose size is bounded
-   by partitions x groups - turn it into offsets and broadcast-join them back.
-
-Only one full shuffle (the range exchange) touches the data.  The exchange is
-``REPARTITION_BY_NUM`` so AQE does not coalesce it, and partition ids seen by
-the two branches are identical.
+2. compute the local running value inside every partition (JVM
+   ``monotonically_increasing_id`` for row numbers, Arrow batches via
+   ``mapInPandas`` for weighted sums) and write the rows, with their partition
+   id, to the checkpoint folder;
+3. from the stored rows, aggregate one total per (partition, group) - a table
+   bounded by partitions x groups - turn it into offsets and broadcast-join
+   them back.
+
+Step 2 is written out because Spark seeds the range partitioner's sampling
+with the RDD id: two branches that re-plan the same exchange may draw
+different boundaries, so partition ids are only trustworthy once stored.
+The stored copy also means a lost executor re-reads files instead of
+re-running the sort.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 _PID = "_hf_pid"
 
 
@@ -53,13 +60,6 @@ def running_sum(df: DataFrame, order: Sequence[Column], value: str | None = None
          .sortWithinPartitions(*keys)
          .withColumn(_PID, F.spark_partition_id()))
 
-    # per (partition, group) totals -> exclusive offsets across partitions
-    totals = s.groupBy(_PID, *by).agg(F.sum(weight).alias("_hf_tot"))
-    w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1) \
-        if by else Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PID, *by, F.coalesce(F.sum("_hf_tot").over(w),
-                                                  F.lit(0)).alias("_hf_off"))
-
     value_type = base.schema[weight].dataType
     is_int = isinstance(value_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     out_type = T.LongType() if is_int else T.DoubleType()
@@ -86,12 +86,22 @@ def running_sum(df: DataFrame, order: Sequence[Column], value: str | None = None
             carry = cs.iloc[-1]
             yield pdf.assign(_hf_local=cs.astype("int64" if is_int else "float64"))
 
-    local = s.mapInPandas(scan, schema)
-    small = F.broadcast(offsets)  # rows <= partitions x groups
-    cond = [local[_PID] == small[_PID]] + [local[c].eqNullSafe(small[c]) for c in by]
+    local = materialize(s.mapInPandas(scan, schema), "running_sum")
+
+    # per (partition, group) totals -> exclusive offsets across partitions
+    totals = local.groupBy(_PID, *by).agg(F.sum(weight).alias("_hf_tot"))
+    w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1) \
+        if by else Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(_PID).alias("_hf_p"),
+                            *[F.col(c).alias(f"_hf_b{i}") for i, c in enumerate(by)],
+                            F.coalesce(F.sum("_hf_tot").over(w), F.lit(0)).alias("_hf_off"))
+    # rows <= partitions x groups; renamed columns keep the self-join unambiguous
+    small = F.broadcast(offsets)
+    cond = [F.col(_PID) == F.col("_hf_p")] + [
+        F.col(c).eqNullSafe(F.col(f"_hf_b{i}")) for i, c in enumerate(by)]
     res = (local.join(small, cond, "inner")
-           .select(*[local[c] for c in base.columns],
-                   (small["_hf_off"] + local["_hf_local"]).cast(out_type).alias(out)))
+           .select(*base.columns,
+                   (F.col("_hf_off") + F.col("_hf_local")).cast(out_type).alias(out)))
     if value is None:
         res = res.drop(weight)
     return res
@@ -112,18 +122,23 @@ def row_number_global(df: DataFrame, order: Sequence[Column], out: str = "rn",
          .sortWithinPartitions(*keys)
          .withColumn("_hf_mid", F.monotonically_increasing_id())
          .withColumn(_PID, F.shiftright("_hf_mid", 33).cast("int"))
-         .withColumn("_hf_loc", F.col("_hf_mid").bitwiseAND((1 << 33) - 1)))
+         .withColumn("_hf_loc", F.col("_hf_mid").bitwiseAND((1 << 33) - 1))
+         .drop("_hf_mid"))
+    s = materialize(s, "row_number")
     summary = s.groupBy(_PID, *by).agg(F.count(F.lit(1)).alias("_hf_cnt"),
                                        F.min("_hf_loc").alias("_hf_first"))
     w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1) \
         if by else Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = summary.select(_PID, *by, "_hf_first",
+    offsets = summary.select(F.col(_PID).alias("_hf_p"),
+                             *[F.col(c).alias(f"_hf_b{i}") for i, c in enumerate(by)],
+                             "_hf_first",
                              F.coalesce(F.sum("_hf_cnt").over(w), F.lit(0)).alias("_hf_off"))
     small = F.broadcast(offsets)  # rows <= partitions x groups
-    cond = [s[_PID] == small[_PID]] + [s[c].eqNullSafe(small[c]) for c in by]
+    cond = [F.col(_PID) == F.col("_hf_p")] + [
+        F.col(c).eqNullSafe(F.col(f"_hf_b{i}")) for i, c in enumerate(by)]
     return s.join(small, cond, "inner").select(
-        *[s[c] for c in df.columns],
-        (small["_hf_off"] + s["_hf_loc"] - small["_hf_first"] + 1).cast("long").alias(out))
+        *df.columns,
+        (F.col("_hf_off") + F.col("_hf_loc") - F.col("_hf_first") + 1).cast("long").alias(out))
 
 
 def ntile_expr(rn: str | Column, n_rows: Column, buckets: int) -> Column:
