@@ -420,3 +420,46 @@ def q_kpi_tree(c: Context) -> DataFrame:
     s = c.settings
     a = c.assigned()
     return SC.kpi_tree(OF.greedy_roi(a, s.economics.budget), a, s.economics, s.offers)
+
+
+# ---------------------------------------------------------------- evaluation
+from ..operators import evaluate as EV  # noqa: E402
+
+
+def _test(c: Context) -> DataFrame:
+    return c.test_set().filter("is_test")
+
+
+@register("eval_split", "M3", lambda o: o.sql_eval(
+    "SELECT churned, is_test, count(*) AS n FROM split GROUP BY churned, is_test"))
+def q_eval_split(c: Context) -> DataFrame:
+    return c.test_set().groupBy("churned", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("eval_confusion", "E1", lambda o: o.sql_eval("""
+SELECT count(*) FILTER (WHERE churn_proba < 0.5 AND churned = 0) AS tn,
+       count(*) FILTER (WHERE churn_proba >= 0.5 AND churned = 0) AS fp,
+       count(*) FILTER (WHERE churn_proba < 0.5 AND churned = 1) AS fn,
+       count(*) FILTER (WHERE churn_proba >= 0.5 AND churned = 1) AS tp FROM test"""))
+def q_eval_confusion(c: Context) -> DataFrame:
+    return EV.confusion(_test(c), "churned", "churn_proba")
+
+
+@register("eval_metrics", "M7 M8 M9", lambda o: o.sql_eval_metrics())
+def q_eval_metrics(c: Context) -> DataFrame:
+    return EV.metrics(_test(c), "churned", "churn_proba")
+
+
+@register("eval_threshold_sweep", "E4 T2", lambda o: o.sql_eval_sweep())
+def q_eval_threshold_sweep(c: Context) -> DataFrame:
+    return EV.threshold_sweep(_test(c), "churned", "churn_proba")
+
+
+@register("eval_decile_lift", "E5 E6 W10 W13", lambda o: o.sql_eval_lift())
+def q_eval_decile_lift(c: Context) -> DataFrame:
+    return EV.decile_lift(_test(c), "churned", "churn_proba")
+
+
+@register("eval_reliability", "E3", lambda o: o.sql_eval_reliability())
+def q_eval_reliability(c: Context) -> DataFrame:
+    return EV.reliability(_test(c), "churned", "churn_proba")

@@ -93,6 +93,14 @@ class Context:
             return materialize(r, "scenario_results")
         return self._once("scenario_results", build)
 
+    def test_set(self) -> DataFrame:
+        """Held-out 20 % (stratified, md5 order) of the scored population."""
+        def build():
+            from ..operators.evaluate import stratified_split
+            sp = stratified_split(self.customer_value(), "churned", self.settings.seed)
+            return materialize(sp, "split")
+        return self._once("split", build)
+
     def memo(self, key: str, build):
         return self._once(key, build)
 
