@@ -463,3 +463,31 @@ def q_eval_decile_lift(c: Context) -> DataFrame:
 @register("eval_reliability", "E3", lambda o: o.sql_eval_reliability())
 def q_eval_reliability(c: Context) -> DataFrame:
     return EV.reliability(_test(c), "churned", "churn_proba")
+
+
+# ---------------------------------------------------------------- experiment
+from ..operators import experiment as XP  # noqa: E402
+
+
+def _arms(c: Context) -> DataFrame:
+    def build():
+        s = c.settings
+        sel = OF.greedy_roi(c.assigned(), s.economics.budget)
+        return XP.assign_arms(sel, ["risk_segment", "offer"], s.seed)
+    return c.memo("arms", build)
+
+
+@register("ab_assignment", "B1", lambda o: o.sql_ab(
+    "SELECT customer_id, risk_segment, offer, arm FROM arms"))
+def q_ab_assignment(c: Context) -> DataFrame:
+    return _arms(c).select("customer_id", "risk_segment", "offer", "arm")
+
+
+@register("ab_power", "B2", lambda o: o.sql_ab_power())
+def q_ab_power(c: Context) -> DataFrame:
+    return XP.power_table(OF.greedy_roi(c.assigned(), c.settings.economics.budget))
+
+
+@register("ab_readout", "B3 B6", lambda o: o.sql_ab_readout())
+def q_ab_readout(c: Context) -> DataFrame:
+    return XP.readout(_arms(c))
