@@ -1,0 +1,2 @@
+"""No streaming operators: the reference has no stream, watermark or state
+(streaming is declared out of scope there), so nothing is built here."""
