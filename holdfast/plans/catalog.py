@@ -491,3 +491,59 @@ def q_ab_power(c: Context) -> DataFrame:
 @register("ab_readout", "B3 B6", lambda o: o.sql_ab_readout())
 def q_ab_readout(c: Context) -> DataFrame:
     return XP.readout(_arms(c))
+
+
+# ---------------------------------------------------------------- Spark ML model
+from ..operators import model as MD  # noqa: E402
+from ..session import materialize  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+
+def _model_scores(c: Context) -> DataFrame:
+    def build():
+        m = c.models()
+        return materialize(MD.predict_calibrated(m["calibrated"], c.model_input()),
+                           "model_scores")
+    return c.memo("model_scores", build)
+
+
+@register("model_scores", "M2 M5 M11")
+def q_model_scores(c: Context) -> DataFrame:
+    return _model_scores(c)
+
+
+@register("model_metrics", "M4 M6 M7-M9 M12")
+def q_model_metrics(c: Context) -> DataFrame:
+    m = c.models()
+    test = c.model_input().filter("is_test")
+    raw = m["raw"].transform(test).select(
+        "customer_id", MD.LABEL, vector_to_array("probability")[1].alias("p"))
+    cal = _model_scores(c).join(test.select("customer_id", MD.LABEL), "customer_id") \
+        .withColumnRenamed("churn_probability", "p")
+    rf = c.forest().transform(test).select(
+        "customer_id", MD.LABEL, vector_to_array("probability")[1].alias("p"))
+    # scored frames are written once: metrics re-read them several times and
+    # model UDF lineage is not allowed inside scalar subqueries
+    parts = [EV.metrics(materialize(d, f"scores_{name}"), MD.LABEL, "p")
+             .select(F.lit(name).alias("model"), "*")
+             for name, d in (("logistic_raw", raw), ("logistic_calibrated", cal),
+                             ("random_forest", rf))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("model_drivers", "E8")
+def q_model_drivers(c: Context) -> DataFrame:
+    m = c.models()
+    mi = c.model_input()
+    return MD.driver_table(m["raw"], mi.filter("is_test"), mi.filter(~F.col("is_test")))
+
+
+@register("contact_list_model", "D1 D7 D8 M11")
+def q_contact_list_model(c: Context) -> DataFrame:
+    s = c.settings
+    scored = c.features().join(_model_scores(c), "customer_id")
+    cv = VL.customer_value(scored, c.km_factors(), s.economics)
+    return OF.contact_list(OF.assign_offers(cv, s.offers), s.economics.budget)

@@ -7,6 +7,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import features as FT
 from ..operators import offers as OF
@@ -101,6 +102,32 @@ class Context:
             return materialize(sp, "split")
         return self._once("split", build)
 
+    def model_input(self) -> DataFrame:
+        """Model columns plus the held-out flag of the shared stratified split."""
+        def build():
+            from ..operators import model as MD
+            flags = self.test_set().select("customer_id", "is_test")
+            return MD.prepare(self.features()).join(flags, "customer_id")
+        return self._once("model_input", build)
+
+    def models(self) -> dict:
+        """Raw logistic, fold-calibrated logistic and forest, trained once."""
+        def build():
+            from ..operators import model as MD
+            p = MD.ModelParams(seed=self.settings.seed)
+            train = self.model_input().filter(~F.col("is_test"))
+            raw = MD.save_or_reuse(MD.fit_logistic(train, p), self.spark, "logistic")
+            return {"params": p, "raw": raw, "calibrated": MD.fit_calibrated(train, p)}
+        return self._once("models", build)
+
+    def forest(self):
+        def build():
+            from ..operators import model as MD
+            p = MD.ModelParams(seed=self.settings.seed)
+            train = self.model_input().filter(~F.col("is_test"))
+            return MD.fit_forest(train, p)
+        return self._once("forest", build)
+
     def memo(self, key: str, build):
         return self._once(key, build)
 
