@@ -138,3 +138,19 @@ def reliability(df: DataFrame, label: str, proba: str, bins: int = 10) -> DataFr
     return g.select("bin", "n", fround("t", 6).alias("frac_positive"),
                     fround("m", 6).alias("mean_predicted"),
                     fround(F.abs(F.col("t") - F.col("m")), 6).alias("gap"))
+
+
+def roc_pr_points(df: DataFrame, label: str, proba: str) -> DataFrame:
+    """ROC and precision-recall points at every distinct score, highest first
+    (E2; every point is kept, none dropped as collinear)."""
+    vc = score_counts(df, label, proba)
+    npos = vc.select(F.sum("pos")).scalar()
+    nneg = vc.select(F.sum(F.col("cnt") - F.col("pos"))).scalar()
+    tp = running_sum(vc, [F.col("p").desc()], "pos", "_tp")
+    al = running_sum(vc, [F.col("p").desc()], "cnt", "_all").select("p", "_all")
+    j = tp.join(al, "p")
+    fp = F.col("_all") - F.col("_tp")
+    return j.select(F.col("p").alias("threshold"),
+                    fround(F.try_divide(fp, nneg), 6).alias("fpr"),
+                    fround(F.try_divide(F.col("_tp"), npos), 6).alias("tpr"),
+                    fround(F.col("_tp") / F.col("_all"), 6).alias("precision"))

@@ -547,3 +547,47 @@ def q_contact_list_model(c: Context) -> DataFrame:
     scored = c.features().join(_model_scores(c), "customer_id")
     cv = VL.customer_value(scored, c.km_factors(), s.economics)
     return OF.contact_list(OF.assign_offers(cv, s.offers), s.economics.budget)
+
+
+@register("eval_roc_pr_points", "E2", lambda o: o.sql_roc_points())
+def q_eval_roc_pr_points(c: Context) -> DataFrame:
+    return EV.roc_pr_points(_test(c), "churned", "churn_proba")
+
+
+def _arms_reach(c: Context) -> DataFrame:
+    reach = c.account.select("customer_id", "paperless_billing")
+    return _arms(c).join(reach, "customer_id").withColumn(
+        "received", (F.col("arm") == "treatment") & F.col("paperless_billing"))
+
+
+@register("ab_itt_wald", "B5", lambda o: o.sql_ab_itt())
+def q_ab_itt_wald(c: Context) -> DataFrame:
+    """Offer delivery is taken as reaching paperless-billing customers only."""
+    return XP.itt_wald(_arms_reach(c), "churned", "received")
+
+
+@register("ab_bootstrap", "B4")
+def q_ab_bootstrap(c: Context) -> DataFrame:
+    return XP.bootstrap_diff(_arms(c), "churned", seed=c.settings.seed)
+
+
+# ---------------------------------------------------------------- sinks
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+
+def _out(c: Context, name: str) -> str:
+    import uuid
+    return f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/holdfast/out/{name}-{uuid.uuid4().hex}"
+
+
+@register("sink_roundtrip", "S2 S5 S7 S8")
+def q_sink_roundtrip(c: Context) -> DataFrame:
+    s = c.settings
+    contacts = OF.contact_list(c.assigned(), s.economics.budget)
+    n_csv = SK.write_contact_list(contacts, _out(c, "contact_list"))
+    n_val = SK.write_table(c.customer_value(), _out(c, "customer_value"))
+    n_dq = SK.write_report(_checks(c), _out(c, "dq_report"))
+    return c.spark.createDataFrame(
+        [("contact_list.csv", n_csv), ("customer_value.parquet", n_val),
+         ("dq_report.json", n_dq)], "artifact string, rows_read_back long")
