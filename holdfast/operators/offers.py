@@ -103,9 +103,13 @@ def _totals(sel: DataFrame, strategy: str) -> DataFrame:
                    fround(F.coalesce(F.sum("offer_net"), F.lit(0.0)), 2).alias("net_retained"))
 
 
-def scorecard(assigned: DataFrame, budget: float, seed: int) -> DataFrame:
+def scorecard(assigned: DataFrame, budget: float, seed: int,
+              greedy: DataFrame | None = None) -> DataFrame:
     """All four strategies, utilisation and uplift of ROI greedy vs each."""
-    t = (_totals(greedy_roi(assigned, budget), "optimizer_roi")
+    assigned = assigned.select("customer_id", "churn_proba", "roi_per_rupee", "eligible",
+                               "offer_cost", "offer_benefit", "offer_net")
+    greedy = greedy if greedy is not None else greedy_roi(assigned, budget)
+    t = (_totals(greedy, "optimizer_roi")
          .unionByName(_totals(rank_by_probability(assigned, budget), "rank_by_probability"))
          .unionByName(_totals(random_selection(assigned, budget, seed), "random"))
          .unionByName(_totals(assigned, "contact_everyone")))
@@ -124,17 +128,18 @@ def offer_mix(selected: DataFrame) -> DataFrame:
                                          fround(F.sum("offer_net"), 0).alias("net"))
 
 
-def knapsack_bound(assigned: DataFrame, budget: float) -> DataFrame:
+def knapsack_bound(assigned: DataFrame, budget: float,
+                   greedy: DataFrame | None = None) -> DataFrame:
     """Fractional-knapsack upper bound on any selection's net under the budget,
     and the greedy gap against it (D13)."""
-    el = assigned.filter("eligible").withColumn(
+    el = assigned.filter("eligible").select("customer_id", "offer_cost", "offer_net").withColumn(
         "_ratio", F.col("offer_net") / F.col("offer_cost"))
     run = running_sum(el, [F.col("_ratio").desc(), F.col("customer_id")], "offer_cost", "_cum")
     prev = F.col("_cum") - F.col("offer_cost")
     frac = F.when(F.col("_cum") <= budget, 1.0).when(
         prev < budget, (F.lit(budget) - prev) / F.col("offer_cost")).otherwise(0.0)
     bound = run.agg(F.coalesce(F.sum(frac * F.col("offer_net")), F.lit(0.0)).alias("bound"))
-    greedy = greedy_roi(assigned, budget).select(
+    greedy = (greedy if greedy is not None else greedy_roi(assigned, budget)).select(
         F.coalesce(fround(F.sum("offer_net"), 2), F.lit(0.0))).scalar()
     gap = F.when(F.col("bound") > 0, fround((F.col("bound") - greedy) / F.col("bound") * 100, 3)
                  ).otherwise(0.0)

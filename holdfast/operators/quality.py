@@ -155,13 +155,83 @@ def freshness(df: DataFrame, q: QualityParams) -> DataFrame:
                 F.col("age") <= q.freshness_sla_days)
 
 
+def _bad_values(column: str, allowed: tuple[str, ...]):
+    """Distinct values outside the allowed set, NULL counted as one value -
+    the same answer as :func:`domain_violations`, as an aggregate."""
+    c = F.col(column)
+    return (F.count_distinct(F.when(~c.isin(*allowed), c))
+            + F.max(F.when(c.isNull(), 1).otherwise(0)))
+
+
+def _rows(wide: DataFrame, specs: list[tuple]) -> DataFrame:
+    """One-row aggregate -> check rows; spec = (dimension, name, metric, passed, severity)."""
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.lit(n).alias("name"),
+                 m.cast("double").alias("metric"), p.alias("passed"),
+                 F.lit(sev).alias("severity")) for d, n, m, p, sev in specs])))
+
+
 def run_checks(features: DataFrame, customer: DataFrame, account: DataFrame,
                service: DataFrame, roles: ServiceRoles, q: QualityParams) -> DataFrame:
-    return (completeness(features, q)
-            .unionByName(uniqueness(customer, service))
-            .unionByName(consistency(account, service, roles, q))
-            .unionByName(accuracy(account, customer, q))
-            .unionByName(leakage(features, q)))
+    """All checks in five scans: one aggregate over the feature view (null
+    rates and label correlations together), one over accounts (rules, ranges,
+    domains), one over customers, and the two key-uniqueness group-bys; the
+    add-on dependency reads the service table once more."""
+    cols = features.columns
+    num = numeric_features(features, q.model_excludes)
+    y = F.col("churned").cast("int")
+    fw = features.agg(
+        *[F.avg(F.col(c).isNull().cast("int")).alias(f"_n{i}") for i, c in enumerate(cols)],
+        *[F.corr(F.col(c).cast("double"), y).alias(f"_c{i}") for i, c in enumerate(num)])
+    absc = [fround(F.coalesce(F.nanvl(F.abs(f"_c{i}"), F.lit(0.0)), F.lit(0.0)), 4)
+            for i in range(len(num))]
+    worst = F.greatest(*absc) if len(absc) > 1 else (absc[0] if absc else F.lit(0.0))
+    specs = []
+    for i, c in enumerate(cols):
+        allowed = q.total_null_allowance if c == "total_charges" else 0.0
+        specs.append(("completeness", f"nonnull:{c}", fround(f"_n{i}", 5),
+                      F.col(f"_n{i}") <= allowed, "hard"))
+    specs.append(("leakage", "no_near_perfect_predictor", worst, worst < q.leakage_alarm,
+                  "hard"))
+    specs.append(("leakage", "target_excluded_from_X", F.lit(0.0), F.lit(True), "hard"))
+    feature_rows = _rows(fw, specs)
+
+    lo_t, hi_t = q.tenure_range
+    lo_c, hi_c = q.charge_range
+    tot, ten, mon = F.col("total_charges"), F.col("tenure_months"), F.col("monthly_charges")
+    aw = account.agg(
+        F.count_if((ten == 0) != tot.isNull()).alias("bicond"),
+        F.count_if(mon <= 0).alias("nonpos"),
+        F.avg(F.when(tot.isNotNull(), ((F.abs(tot - ten * mon) / F.nullif(tot, F.lit(0.0)))
+                                      < q.total_tolerance).cast("int"))).alias("within"),
+        F.count_if((ten < lo_t) | (ten > hi_t)).alias("bt"),
+        F.count_if((mon < lo_c) | (mon > hi_c)).alias("bm"),
+        _bad_values("contract_type", q.contract_domain).alias("bad_contract"),
+        _bad_values("payment_method", q.payment_domain).alias("bad_payment"))
+    zero = [("consistency", "tenure0_iff_null_total", "bicond"),
+            ("consistency", "monthly_charges_positive", "nonpos"),
+            ("accuracy", "tenure_in_range", "bt"),
+            ("accuracy", "monthly_charges_in_range", "bm"),
+            ("accuracy", "domain:contract_type", "bad_contract"),
+            ("accuracy", "domain:payment_method", "bad_payment")]
+    account_rows = _rows(aw, [(d, n, F.col(k), F.col(k) == 0, "hard") for d, n, k in zero] + [
+        ("consistency", "total_within_tolerance", fround("within", 4),
+         F.coalesce(F.col("within") >= q.soft_pass_share, F.lit(False)), "soft")])
+
+    cw = customer.agg(_bad_values("gender", q.gender_domain).alias("bad_gender"))
+    customer_rows = _rows(cw, [("accuracy", "domain:gender", F.col("bad_gender"),
+                                F.col("bad_gender") == 0, "hard")])
+
+    itype = F.max(F.when(F.col("service_name") == roles.internet, F.col("status"))) \
+        .over(Window.partitionBy("customer_id"))
+    dep = (service.withColumn("itype", itype)
+           .filter(F.col("service_name").isin(*roles.addons))
+           .agg(F.count_if((F.col("itype") == "No")
+                           != (F.col("status") == "No internet service")).alias("v")))
+    dep_rows = _rows(dep, [("consistency", "internet_dependency", F.col("v"),
+                            F.col("v") == 0, "hard")])
+    return (feature_rows.unionByName(uniqueness(customer, service))
+            .unionByName(account_rows).unionByName(customer_rows).unionByName(dep_rows))
 
 
 def summarize(checks: DataFrame) -> DataFrame:

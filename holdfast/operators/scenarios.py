@@ -73,7 +73,10 @@ def scenario_selection(cv: DataFrame, econ: Economics, catalog: OfferCatalog,
     assigned = assign_offers(x, catalog, scale=F.col("acc_scale"),
                              cost_mult=F.col("cost_mult"),
                              ltv=F.col("ltv") * F.col("ltv_ratio"))
-    return greedy_roi(assigned, F.col("budget"), by=["scenario_id"])
+    # only what the per-scenario prefix and totals need crosses the range exchange
+    narrow = assigned.select("scenario_id", "customer_id", "budget", "offer", "offer_cost",
+                             "offer_net", "roi_per_rupee", "eligible")
+    return greedy_roi(narrow, F.col("budget"), by=["scenario_id"])
 
 
 def scenario_results(cv: DataFrame, econ: Economics, catalog: OfferCatalog,

@@ -362,22 +362,23 @@ def q_offer_summary(c: Context) -> DataFrame:
 
 @register("contact_list", "D8 W11 S7 T1", lambda o: o.sql_contact_list())
 def q_contact_list(c: Context) -> DataFrame:
-    return OF.contact_list(c.assigned(), c.settings.economics.budget)
+    return c.greedy().select(*OF.CONTACT_COLUMNS)
 
 
 @register("strategy_scorecard", "D9 D10 D12", lambda o: o.sql_scorecard())
 def q_strategy_scorecard(c: Context) -> DataFrame:
-    return OF.scorecard(c.assigned(), c.settings.economics.budget, c.settings.seed)
+    return OF.scorecard(c.assigned(), c.settings.economics.budget, c.settings.seed,
+                        greedy=c.greedy())
 
 
 @register("selected_offer_mix", "A15", lambda o: o.sql_offer_mix())
 def q_selected_offer_mix(c: Context) -> DataFrame:
-    return OF.offer_mix(OF.greedy_roi(c.assigned(), c.settings.economics.budget))
+    return OF.offer_mix(c.greedy())
 
 
 @register("knapsack_bound", "D13", lambda o: o.sql_knapsack())
 def q_knapsack_bound(c: Context) -> DataFrame:
-    return OF.knapsack_bound(c.assigned(), c.settings.economics.budget)
+    return OF.knapsack_bound(c.assigned(), c.settings.economics.budget, greedy=c.greedy())
 
 
 # ---------------------------------------------------------------- scenarios
@@ -419,7 +420,7 @@ def q_break_even(c: Context) -> DataFrame:
 def q_kpi_tree(c: Context) -> DataFrame:
     s = c.settings
     a = c.assigned()
-    return SC.kpi_tree(OF.greedy_roi(a, s.economics.budget), a, s.economics, s.offers)
+    return SC.kpi_tree(c.greedy(), a, s.economics, s.offers)
 
 
 # ---------------------------------------------------------------- evaluation
@@ -472,8 +473,7 @@ from ..operators import experiment as XP  # noqa: E402
 def _arms(c: Context) -> DataFrame:
     def build():
         s = c.settings
-        sel = OF.greedy_roi(c.assigned(), s.economics.budget)
-        return XP.assign_arms(sel, ["risk_segment", "offer"], s.seed)
+        return XP.assign_arms(c.greedy(), ["risk_segment", "offer"], s.seed)
     return c.memo("arms", build)
 
 
@@ -485,7 +485,7 @@ def q_ab_assignment(c: Context) -> DataFrame:
 
 @register("ab_power", "B2", lambda o: o.sql_ab_power())
 def q_ab_power(c: Context) -> DataFrame:
-    return XP.power_table(OF.greedy_roi(c.assigned(), c.settings.economics.budget))
+    return XP.power_table(c.greedy())
 
 
 @register("ab_readout", "B3 B6", lambda o: o.sql_ab_readout())
@@ -584,7 +584,7 @@ def _out(c: Context, name: str) -> str:
 @register("sink_roundtrip", "S2 S5 S7 S8")
 def q_sink_roundtrip(c: Context) -> DataFrame:
     s = c.settings
-    contacts = OF.contact_list(c.assigned(), s.economics.budget)
+    contacts = c.greedy().select(*OF.CONTACT_COLUMNS)
     n_csv = SK.write_contact_list(contacts, _out(c, "contact_list"))
     n_val = SK.write_table(c.customer_value(), _out(c, "customer_value"))
     n_dq = SK.write_report(_checks(c), _out(c, "dq_report"))

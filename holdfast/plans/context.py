@@ -40,11 +40,8 @@ class Context:
     # ------------------------------------------------------------ base tables
     def roles(self) -> R.Roles:
         def build():
-            r = R.from_orders(self.spark, self.sf_dir, self.settings.services,
-                              self.settings.adapter)
-            return R.Roles(materialize(r.customer, "customer"),
-                           materialize(r.account, "account"),
-                           materialize(r.service, "service_subscription"), r.cutoff)
+            return R.from_orders(self.spark, self.sf_dir, self.settings.services,
+                                 self.settings.adapter, persist=materialize)
         return self._once("roles", build)
 
     @property
@@ -87,6 +84,12 @@ class Context:
         return self._once("assigned", lambda: OF.assign_offers(
             self.customer_value(), self.settings.offers))
 
+    def greedy(self) -> DataFrame:
+        """The ROI-greedy selection under the budget (D8); already written to
+        the checkpoint folder by the distributed running sum."""
+        return self._once("greedy", lambda: OF.greedy_roi(
+            self.assigned(), self.settings.economics.budget))
+
     def scenario_results(self) -> DataFrame:
         def build():
             s = self.settings

@@ -47,8 +47,15 @@ def _ts(value: dt.datetime):
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 
 
+def _lazy(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
 def from_orders(spark: SparkSession, sf_dir: str, services: ServiceRoles,
-                params: AdapterParams = AdapterParams()) -> Roles:
+                params: AdapterParams = AdapterParams(), persist=_lazy) -> Roles:
+    """``persist(df, name)`` may write shared intermediates (the context passes
+    :func:`holdfast.session.materialize`): the per-customer base is then
+    computed once for both the customer and the account table."""
     orders = table(spark, sf_dir, "orders")
     cutoff = resolve_cutoff(orders, params)
     k = _ts(cutoff)
@@ -85,7 +92,7 @@ def from_orders(spark: SparkSession, sf_dir: str, services: ServiceRoles,
     tenure = (F.floor(F.datediff(F.to_date("last_ts"), F.to_date("first_ts"))
                       / params.tenure_unit_days)).cast("int")
     spend = fround("spend", 2)
-    account = base.select(
+    subscriber = persist(base.select(
         "customer_id",
         tenure.alias("tenure_months"),
         F.col("c_mktsegment").alias("contract_type"),
@@ -94,14 +101,16 @@ def from_orders(spark: SparkSession, sf_dir: str, services: ServiceRoles,
         fround(spend / F.greatest(tenure, F.lit(1)), 2).alias("monthly_charges"),
         F.when(tenure > 0, spend).alias("total_charges"),
         (F.col("n_future") == 0).alias("churned"),
-    )
-    customer = base.select(
-        "customer_id",
         F.col("r_name").alias("gender"),
         (F.col("c_acctbal") < 0).alias("senior_citizen"),
         (F.col("c_acctbal") >= params.partner_balance).alias("has_partner"),
         (F.col("c_nationkey") % 2 == 1).alias("has_dependents"),
-    )
+    ), "subscriber")
+    account = subscriber.select(
+        "customer_id", "tenure_months", "contract_type", "paperless_billing",
+        "payment_method", "monthly_charges", "total_charges", "churned")
+    customer = subscriber.select(
+        "customer_id", "gender", "senior_citizen", "has_partner", "has_dependents")
 
     # Purchases by part type up to the cut-off, folded to one row per customer.
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
@@ -117,8 +126,9 @@ def from_orders(spark: SparkSession, sf_dir: str, services: ServiceRoles,
         F.when(F.col(f"_last_{i}") > recent, "Yes")
         .when(F.col(f"_last_{i}").isNotNull(), "Lapsed").otherwise("No").alias(s)
         for i, s in enumerate(services.services)]
-    service = wide.select("customer_id", *statuses).unpivot(
-        ["customer_id"], list(services.services), "service_name", "status")
+    service = persist(wide.select("customer_id", *statuses).unpivot(
+        ["customer_id"], list(services.services), "service_name", "status"),
+        "service_subscription")
     return Roles(customer, account, service, cutoff.strftime("%Y-%m-%d %H:%M:%S"))
 
 
