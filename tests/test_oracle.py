@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_CHECK
-from oracle_check import compare, duck
+from oracle_check import compare, duck, type_mismatches
 
 SQL = E.oracle_sql()
 QUERIES = E.queries()
@@ -17,9 +17,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_oracle(spark, con, name):
-    got = QUERIES[name](spark, SF_CHECK).toPandas()
-    ok, msg = compare(got, con.execute(SQL[name]).df())
+    sdf = QUERIES[name](spark, SF_CHECK)
+    ok, msg = compare(sdf.toPandas(), con.execute(SQL[name]).df())
     assert ok, msg
+    assert not type_mismatches(sdf.dtypes, con.sql(SQL[name]))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
