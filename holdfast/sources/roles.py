@@ -170,3 +170,33 @@ FLAT_SERVICE_ROLES = ServiceRoles(
     internet_held=("DSL", "Fiber optic"), fiber_status="Fiber optic",
     streaming=("StreamingTV", "StreamingMovies"),
     protection=("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport"))
+
+
+def to_flat_file(roles: Roles, services: ServiceRoles) -> DataFrame:
+    """The inverse of :func:`from_flat_file`: one wide row per customer in the
+    reference's extract layout.  Service statuses are pivoted back to columns
+    by role (phone, internet, streaming, protection); extract columns with no
+    counterpart are "No".  Booleans become Yes/No, NULL totals a blank."""
+    def yn(c):
+        return F.when(F.col(c), "Yes").when(~F.col(c), "No")
+
+    by_name = {"PhoneService": services.phone, "InternetService": services.internet}
+    by_name.update(zip(("StreamingTV", "StreamingMovies"), services.streaming))
+    by_name.update(zip(("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport"),
+                       services.protection))
+    wide = roles.service.groupBy("customer_id").pivot(
+        "service_name", list(services.services)).agg(F.first("status"))
+    svc_cols = [F.col(by_name[n]).alias(n) if n in by_name else F.lit("No").alias(n)
+                for n in FLAT_SERVICES]
+    return (roles.customer.join(roles.account, "customer_id").join(wide, "customer_id", "left")
+            .select(F.col("customer_id").cast("string").alias("customerID"), "gender",
+                    F.col("senior_citizen").cast("int").alias("SeniorCitizen"),
+                    yn("has_partner").alias("Partner"), yn("has_dependents").alias("Dependents"),
+                    F.col("tenure_months").alias("tenure"), *svc_cols,
+                    F.col("contract_type").alias("Contract"),
+                    yn("paperless_billing").alias("PaperlessBilling"),
+                    F.col("payment_method").alias("PaymentMethod"),
+                    F.col("monthly_charges").alias("MonthlyCharges"),
+                    F.coalesce(F.col("total_charges").cast("string"), F.lit(" "))
+                    .alias("TotalCharges"),
+                    yn("churned").alias("Churn")))
