@@ -109,8 +109,9 @@ def fit_calibrated(train: DataFrame, p: ModelParams) -> list[tuple[PipelineModel
         held = t.filter(F.col("_fold") == k)
         clf = fit_logistic(inner, p)
         scored = decision_value(clf, held).select("_f", LABEL)
-        n_pos = scored.filter(F.col(LABEL) == 1).count()
-        n_neg = scored.filter(F.col(LABEL) == 0).count()
+        counts = scored.agg(F.count_if(F.col(LABEL) == 1).alias("pos"),
+                            F.count_if(F.col(LABEL) == 0).alias("neg")).first()
+        n_pos, n_neg = counts["pos"], counts["neg"]
         t_pos = (n_pos + 1.0) / (n_pos + 2.0)
         t_neg = 1.0 / (n_neg + 2.0)
         target = F.when(F.col(LABEL) == 1, t_pos).otherwise(t_neg)
@@ -128,14 +129,19 @@ def fit_calibrated(train: DataFrame, p: ModelParams) -> list[tuple[PipelineModel
 
 def predict_calibrated(models: list[tuple[PipelineModel, float, float]], df: DataFrame,
                        key: str = "customer_id") -> DataFrame:
-    """Average of the fold-calibrated probabilities."""
-    acc = None
+    """Average of the fold-calibrated probabilities.
+
+    The fold pipelines are applied one after another on the same rows (each
+    transform is row-local), keeping only each fold's probability, so scoring
+    the population needs no join and no shuffle.
+    """
+    cur, kept = df, []
     for i, (clf, a, b) in enumerate(models):
-        s = decision_value(clf, df).select(
-            key, (1.0 / (1.0 + F.exp(F.col("_f") * a + b))).alias(f"_p{i}"))
-        acc = s if acc is None else acc.join(s, key)
-    avg = sum(F.col(f"_p{i}") for i in range(len(models))) / len(models)
-    return acc.select(key, avg.alias("churn_probability"))
+        cur = decision_value(clf, cur).select(
+            *df.columns, *kept, (1.0 / (1.0 + F.exp(F.col("_f") * a + b))).alias(f"_p{i}"))
+        kept.append(f"_p{i}")
+    avg = sum(F.col(c) for c in kept) / len(kept)
+    return cur.select(key, avg.alias("churn_probability"))
 
 
 def fit_forest(train: DataFrame, p: ModelParams) -> PipelineModel:

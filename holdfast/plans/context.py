@@ -110,7 +110,10 @@ class Context:
         def build():
             from ..operators import model as MD
             flags = self.test_set().select("customer_id", "is_test")
-            return MD.prepare(self.features()).join(flags, "customer_id")
+            # written once: every fit (imputer, scaler, indexer, L-BFGS passes)
+            # re-reads it instead of re-running the join
+            return materialize(MD.prepare(self.features()).join(flags, "customer_id"),
+                               "model_input")
         return self._once("model_input", build)
 
     def models(self) -> dict:
