@@ -615,3 +615,21 @@ def q_flat_file_roundtrip(c: Context) -> DataFrame:
         back.service.select(F.count(F.lit(1))).scalar().alias("service_rows"),
         diff_a.select(F.count(F.lit(1))).scalar().alias("account_rows_changed"),
         diff_c.select(F.count(F.lit(1))).scalar().alias("customer_rows_changed"))
+
+
+@register("sql_views", "S4 A3", lambda o: o.build("""
+SELECT f.services_held, count(*) AS customers,
+  FLOOR(CAST(avg(CAST(f.churned AS INTEGER)) AS DOUBLE) * 10000 + 0.5) / 10000 AS churn_rate,
+  (SELECT count(*) FROM account) AS cum_customers_at_max_tenure
+FROM features f GROUP BY f.services_held""", "features", "account"))
+def q_sql_views(c: Context) -> DataFrame:
+    """The same question through Spark SQL on the registered views."""
+    c.register_views()
+    return c.spark.sql("""
+        SELECT f.services_held, count(*) AS customers,
+               CAST(FLOOR(avg(CAST(f.churned AS INT)) * 10000 + 0.5) / 10000 AS DOUBLE)
+                   AS churn_rate,
+               (SELECT max(cum_customers) FROM tenure_churn_gradient)
+                   AS cum_customers_at_max_tenure
+        FROM feature_customer f
+        GROUP BY f.services_held""")

@@ -134,6 +134,16 @@ class Context:
             return MD.fit_forest(train, p)
         return self._once("forest", build)
 
+    def register_views(self) -> list[str]:
+        """Replaceable temp views over the shared tables, so the same data can
+        be queried with ``spark.sql`` (S4)."""
+        views = {"customer": self.customer, "account": self.account,
+                 "service_subscription": self.service, "feature_customer": self.features(),
+                 "tenure_churn_gradient": FT.tenure_gradient(self.account)}
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return list(views)
+
     def memo(self, key: str, build):
         return self._once(key, build)
 

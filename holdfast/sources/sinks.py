@@ -18,7 +18,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    from .tables import read_parquet
+    return read_parquet(df.sparkSession, path, produced_by="write_table").count()
 
 
 def write_contact_list(df: DataFrame, path: str, order: list | None = None) -> int:
