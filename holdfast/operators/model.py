@@ -186,7 +186,8 @@ def driver_table(model: PipelineModel, scored_input: DataFrame, train: DataFrame
 
 def _slot_names(model: PipelineModel, df: DataFrame) -> list[str]:
     """Slot names from the assembled vector's ML attribute metadata."""
-    meta = model.transform(df.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
+    # analysis only: the schema carries the metadata, no job runs
+    meta = model.transform(df).schema["features"].metadata["ml_attr"]["attrs"]
     slots: dict[int, str] = {}
     for group in meta.values():
         for a in group:

@@ -98,29 +98,28 @@ def logrank_by_group(df: DataFrame, duration: str, event: str, group: str) -> Da
 def logrank_test(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
     """k-sample log-rank chi-square and p (K5).
 
-    The (time, group) aggregate - bounded by distinct durations x groups - is
-    collected and the (k-1) x (k-1) covariance solved on the driver.
+    Per-time at-risk counts are pivoted by group (the group list is a small
+    categorical domain), then one aggregate returns observed, expected and the
+    k x k hypergeometric covariance; only those k + k^2 numbers reach the
+    driver for the (k-1) x (k-1) solve.
     """
-    rows = logrank_components(df, duration, event, group).collect()
-    groups = sorted({r[GROUP] for r in rows})
-    gi = {g: i for i, g in enumerate(groups)}
+    comp = logrank_components(df, duration, event, group)
+    groups = sorted(r[0] for r in comp.select(GROUP).distinct().collect())
     k = len(groups)
-    o = np.zeros(k)
-    e = np.zeros(k)
-    v = np.zeros((k, k))
-    by_t: dict = {}
-    for r in rows:
-        by_t.setdefault(r["time"], []).append(r)
-    for t_rows in by_t.values():
-        n_t, d_t = float(t_rows[0]["n_t"]), float(t_rows[0]["d_t"])
-        n_g = np.zeros(k)
-        for r in t_rows:
-            n_g[gi[r[GROUP]]] = r["at_risk"]
-            o[gi[r[GROUP]]] += r["events"]
-        p = n_g / n_t
-        e += p * d_t
-        if n_t > 1:
-            v += d_t * (n_t - d_t) / (n_t - 1) * (np.diag(p) - np.outer(p, p))
+    per_t = (comp.groupBy("time", "n_t", "d_t").pivot(GROUP, groups)
+             .agg(F.first("at_risk")).na.fill(0, subset=groups))
+    w = F.when(F.col("n_t") > 1, F.col("d_t") * (F.col("n_t") - F.col("d_t"))
+               / (F.col("n_t") - 1)).otherwise(0.0)
+    frac = [F.col(f"`{g}`") / F.col("n_t") for g in groups]
+    aggs = [F.sum(frac[i] * F.col("d_t")).alias(f"e{i}") for i in range(k)]
+    aggs += [F.sum(w * frac[i] * ((1.0 if i == j else 0.0) - frac[j])).alias(f"v{i}_{j}")
+             for i in range(k) for j in range(k)]
+    row = per_t.agg(*aggs).first()
+    obs = {r[GROUP]: r["o"] for r in
+           comp.groupBy(GROUP).agg(F.sum("events").alias("o")).collect()}
+    o = np.array([float(obs[g]) for g in groups])
+    e = np.array([float(row[f"e{i}"]) for i in range(k)])
+    v = np.array([[float(row[f"v{i}_{j}"]) for j in range(k)] for i in range(k)])
     diff = (o - e)[:-1]
     stat = float(diff @ np.linalg.pinv(v[:-1, :-1]) @ diff) if k > 1 else 0.0
     dof = k - 1

@@ -29,3 +29,34 @@ def test_logrank_identical_groups_is_zero(spark):
     df = spark.createDataFrame(rows, "t int, e int, g string")
     r = SV.logrank_test(df, "t", "e", "g").first()
     assert abs(r["chi2"]) < 1e-9 and r["dof"] == 1
+
+
+def _logrank_numpy(t, e, g):
+    import numpy as np
+    groups = sorted(set(g))
+    k = len(groups)
+    o, ex, v = np.zeros(k), np.zeros(k), np.zeros((k, k))
+    t, e, g = np.array(t), np.array(e), np.array(g)
+    for time in sorted(set(t[e == 1])):
+        at = t >= time
+        n = at.sum()
+        d = ((t == time) & (e == 1)).sum()
+        ng = np.array([(at & (g == x)).sum() for x in groups], dtype=float)
+        dg = np.array([((t == time) & (e == 1) & (g == x)).sum() for x in groups], dtype=float)
+        o += dg
+        ex += ng * d / n
+        if n > 1:
+            p = ng / n
+            v += d * (n - d) / (n - 1) * (np.diag(p) - np.outer(p, p))
+    diff = (o - ex)[:-1]
+    return float(diff @ np.linalg.inv(v[:-1, :-1]) @ diff)
+
+
+def test_logrank_matches_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(rnd.randint(0, 30), int(rnd.random() < 0.6), rnd.choice("abc")) for _ in range(400)]
+    df = spark.createDataFrame(rows, "t int, e int, g string")
+    got = SV.logrank_test(df, "t", "e", "g").first()["chi2"]
+    want = _logrank_numpy(*zip(*rows))
+    assert math.isclose(got, round(want, 4), abs_tol=1e-4)
