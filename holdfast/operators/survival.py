@@ -75,12 +75,27 @@ def discounted_factor(curve: DataFrame, horizon: int, rate: float) -> DataFrame:
 
 
 def logrank_components(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
-    """Per (time, group): at-risk and events, plus totals at that time (K5 input)."""
-    curve = km_curve(df, duration, event, group)
+    """Per (group, time) on the full grid of groups x distinct durations:
+    at-risk (members with duration >= time, also at times where the group has
+    no exits), events, and the totals at that time (K5 input).
+
+    The grid is built from the aggregated table: each group row explodes the
+    array of distinct durations (a bounded domain), so no join of raw rows.
+    """
+    agg = _prep(df, duration, event, group).groupBy(GROUP, "time").agg(
+        F.sum("e").alias("events"), F.count(F.lit(1)).alias("exits"))
+    times = agg.select(F.sort_array(F.collect_set("time"))).scalar()
+    grid = agg.select(GROUP).distinct().select(GROUP, F.explode(times).alias("time"))
+    full = grid.join(agg, [GROUP, "time"], "left").select(
+        GROUP, "time", F.coalesce("events", F.lit(0)).cast("long").alias("events"),
+        F.coalesce("exits", F.lit(0)).cast("long").alias("exits"))
+    rev = Window.partitionBy(GROUP).orderBy(F.col("time").desc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy("time")
-    return curve.select(
-        GROUP, "time", "at_risk", "events",
-        F.sum("at_risk").over(tot).alias("n_t"), F.sum("events").over(tot).alias("d_t"))
+    c = full.withColumn("at_risk", F.sum("exits").over(rev))
+    return c.select(GROUP, "time", "at_risk", "events",
+                    F.sum("at_risk").over(tot).alias("n_t"),
+                    F.sum("events").over(tot).alias("d_t"))
 
 
 def logrank_by_group(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
