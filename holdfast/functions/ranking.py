@@ -187,3 +187,43 @@ def rank_within(df: DataFrame, by: Sequence[str], value: str,
                     .otherwise(below / (F.col("_hf_n") - 1)).cast("double")
                     .alias(pct_rank_asc))
     return df.join(per_value.select(*cols), [*by, value], "left")
+
+
+def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
+                      bucket_order: Column, weight: str, budget: Column | float,
+                      out: str = "cum_cost", by: Sequence[str] = (),
+                      partitions: int | None = None) -> DataFrame:
+    """Rows of the buckets that start under the budget, with their exact
+    inclusive running ``weight``; see :func:`budget_prefix`.  The result also
+    holds the first row that overflows the budget."""
+    by = list(by)
+    b = df.withColumn("_hf_bk", bucket)
+    bud = F.lit(budget) if not isinstance(budget, Column) else budget
+    tot = b.groupBy(*by, "_hf_bk").agg(F.sum(weight).alias("_hf_bt"),
+                                       F.min(bud).alias("_hf_budget"))
+    run = running_sum(tot, [bucket_order], "_hf_bt", "_hf_bcum", by, partitions)
+    keep = run.filter(F.col("_hf_bcum") - F.col("_hf_bt") < F.col("_hf_budget")) \
+        .select(*by, "_hf_bk")
+    cand = b.join(keep, [*by, "_hf_bk"], "left_semi").drop("_hf_bk")
+    return running_sum(cand, order, weight, out, by, partitions)
+
+
+def budget_prefix(df: DataFrame, order: Sequence[Column], bucket: Column,
+                  bucket_order: Column, weight: str, budget: Column | float,
+                  out: str = "cum_cost", by: Sequence[str] = (),
+                  partitions: int | None = None) -> DataFrame:
+    """Rows whose inclusive running ``weight`` in ``by + order`` is <= budget
+    (stop-at-first-overflow prefix), sorting only rows that can still fit.
+
+    ``bucket`` must be a monotone function of the leading order key and
+    ``bucket_order`` its matching direction (e.g. ROI rounded to 3 dp, a score
+    at 6 dp, a hash prefix).  Costs are summed per bucket (partial aggregation,
+    so a hot bucket is one row), prefix-summed, and only buckets that start
+    under the budget are kept; the exact row-level running sum then runs on
+    those candidate rows.  Rows in later buckets start at or above the budget
+    and, with positive weights, can never be selected.  ``budget`` may be a
+    column that is constant within each ``by`` group.
+    """
+    bud = F.lit(budget) if not isinstance(budget, Column) else budget
+    return budget_candidates(df, order, bucket, bucket_order, weight, budget, out, by,
+                             partitions).filter(F.col(out) <= bud)

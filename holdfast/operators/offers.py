@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fround
-from ..functions.ranking import running_sum
+from ..functions.ranking import budget_candidates, budget_prefix, running_sum
 from ..params import OfferCatalog
 
 CONTACT_COLUMNS = ("customer_id", "churn_proba", "ltv", "offer", "offer_cost",
@@ -66,22 +66,26 @@ def offer_summary(assigned: DataFrame) -> DataFrame:
         fround(F.sum("offer_cost"), 2).alias("total_cost"))
 
 
-def _prefix(df: DataFrame, order: list[Column], budget, by: list[str]) -> DataFrame:
-    """Rows whose running cost in ``order`` stays within the budget."""
-    b = F.lit(budget) if not isinstance(budget, Column) else budget
-    return running_sum(df, order, "offer_cost", "cum_cost", by).filter(F.col("cum_cost") <= b)
+def _prefix(df: DataFrame, order: list[Column], budget, by: list[str],
+            bucket: Column, bucket_order: Column) -> DataFrame:
+    """Rows whose running cost in ``order`` stays within the budget (W11);
+    only rows in buckets that start under the budget are sorted."""
+    return budget_prefix(df, order, bucket, bucket_order, "offer_cost", budget,
+                         "cum_cost", by)
 
 
 def greedy_roi(assigned: DataFrame, budget, by: list[str] = ()) -> DataFrame:
-    """+EV customers by ROI (ties by key) until the budget is exhausted."""
+    """+EV customers by ROI (ties by key) until the budget is exhausted.
+    ROI is carried at 3 dp, so the ROI value itself is the bucket."""
     return _prefix(assigned.filter("eligible"),
-                   [F.col("roi_per_rupee").desc(), F.col("customer_id")], budget, list(by))
+                   [F.col("roi_per_rupee").desc(), F.col("customer_id")], budget, list(by),
+                   F.col("roi_per_rupee"), F.col("_hf_bk").desc())
 
 
 def rank_by_probability(assigned: DataFrame, budget, by: list[str] = ()) -> DataFrame:
-    """Riskiest first, ignoring value and cost."""
+    """Riskiest first, ignoring value and cost (D9); the 6-dp score is the bucket."""
     return _prefix(assigned, [F.col("churn_proba").desc(), F.col("customer_id")],
-                   budget, list(by))
+                   budget, list(by), F.col("churn_proba"), F.col("_hf_bk").desc())
 
 
 def random_order_key(seed: int) -> Column:
@@ -89,9 +93,11 @@ def random_order_key(seed: int) -> Column:
 
 
 def random_selection(assigned: DataFrame, budget, seed: int, by: list[str] = ()) -> DataFrame:
-    """A reproducible random order (md5 of key and seed) under the budget."""
+    """A reproducible random order (md5 of key and seed) under the budget (D10);
+    the first four hex digits of the hash are the bucket."""
     return _prefix(assigned.withColumn("_rk", random_order_key(seed)),
-                   [F.col("_rk"), F.col("customer_id")], budget, list(by)).drop("_rk")
+                   [F.col("_rk"), F.col("customer_id")], budget, list(by),
+                   F.substring("_rk", 1, 4), F.col("_hf_bk")).drop("_rk")
 
 
 def _totals(sel: DataFrame, strategy: str) -> DataFrame:
@@ -134,7 +140,11 @@ def knapsack_bound(assigned: DataFrame, budget: float,
     and the greedy gap against it (D13)."""
     el = assigned.filter("eligible").select("customer_id", "offer_cost", "offer_net").withColumn(
         "_ratio", F.col("offer_net") / F.col("offer_cost"))
-    run = running_sum(el, [F.col("_ratio").desc(), F.col("customer_id")], "offer_cost", "_cum")
+    # only rows up to the first overflow matter; floor(ratio * 1000) is a
+    # monotone bucket of the ratio order
+    run = budget_candidates(el, [F.col("_ratio").desc(), F.col("customer_id")],
+                            F.floor(F.col("_ratio") * 1000), F.col("_hf_bk").desc(),
+                            "offer_cost", budget, "_cum")
     prev = F.col("_cum") - F.col("offer_cost")
     frac = F.when(F.col("_cum") <= budget, 1.0).when(
         prev < budget, (F.lit(budget) - prev) / F.col("offer_cost")).otherwise(0.0)

@@ -44,3 +44,21 @@ def test_rank_and_percent_rank_match(spark):
     j = got.join(ref, "k")
     assert j.filter((F.col("rk") != F.col("rk2"))
                     | (F.abs(F.col("pr") - F.col("pr2")) > 1e-12)).count() == 0
+
+
+def test_budget_prefix_matches_window(spark):
+    from holdfast.functions.ranking import budget_prefix
+    # a third of the rows share one bucket value; costs 1..5
+    df = spark.range(0, 6000).select(
+        F.col("id").alias("k"), (F.col("id") % 2).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(500)).otherwise(F.col("id") * 7 % 991).alias("s"),
+        (F.col("id") % 5 + 1).cast("double").alias("c"))
+    order = [F.col("s").desc(), F.col("k")]
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("cum", F.sum("c").over(w))
+    for budget in (10.0, 2500.0, 3500.0):    # 3500 ends inside the hot bucket
+        got = budget_prefix(df, order, F.col("s"), F.col("_hf_bk").desc(), "c", budget,
+                            by=["g"]).select("k")
+        want = ref.filter(F.col("cum") <= budget).select("k")
+        assert got.count() == want.count()
+        assert got.exceptAll(want).count() == 0
