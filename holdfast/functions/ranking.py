@@ -189,23 +189,47 @@ def rank_within(df: DataFrame, by: Sequence[str], value: str,
     return df.join(per_value.select(*cols), [*by, value], "left")
 
 
+def log_bucket(c: Column, per_octave: int = 16) -> Column:
+    """Monotone bucket of a positive value with a bounded count: ``per_octave``
+    buckets per power of two, so any double falls in at most ~33k buckets;
+    non-positive values share one bucket below all others."""
+    return F.when(c > 0, F.floor(F.log2(c) * per_octave)).otherwise(F.lit(-(1 << 20)))
+
+
 def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
                       bucket_order: Column, weight: str, budget: Column | float,
                       out: str = "cum_cost", by: Sequence[str] = (),
                       partitions: int | None = None) -> DataFrame:
     """Rows of the buckets that start under the budget, with their exact
     inclusive running ``weight``; see :func:`budget_prefix`.  The result also
-    holds the first row that overflows the budget."""
+    holds the first row that overflows the budget.
+
+    ``bucket`` must take a bounded number of values (e.g. :func:`log_bucket`,
+    a score at 1/1024 resolution, a 2-hex-digit hash prefix), so the bucket
+    table has at most groups x buckets rows: its prefix sum is an ordinary
+    window and the surviving buckets are broadcast to the semi-join.
+    """
     by = list(by)
     b = df.withColumn("_hf_bk", bucket)
     bud = F.lit(budget) if not isinstance(budget, Column) else budget
     tot = b.groupBy(*by, "_hf_bk").agg(F.sum(weight).alias("_hf_bt"),
                                        F.min(bud).alias("_hf_budget"))
-    run = running_sum(tot, [bucket_order], "_hf_bt", "_hf_bcum", by, partitions)
-    keep = run.filter(F.col("_hf_bcum") - F.col("_hf_bt") < F.col("_hf_budget")) \
-        .select(*by, "_hf_bk")
-    cand = b.join(keep, [*by, "_hf_bk"], "left_semi").drop("_hf_bk")
-    return running_sum(cand, order, weight, out, by, partitions)
+    w = (Window.partitionBy(*by) if by else Window).orderBy(bucket_order) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_hf_bt").over(w), F.lit(0))
+    kept = (tot.withColumn("_hf_start", start)
+            .filter(F.col("_hf_start") < F.col("_hf_budget")))
+    # kept buckets are a prefix in bucket order: one cut-off per group suffices
+    desc = "DESC" in str(bucket_order).upper()
+    cut = F.min("_hf_bk") if desc else F.max("_hf_bk")
+    inside = (lambda c: F.col("_hf_bk") >= c) if desc else (lambda c: F.col("_hf_bk") <= c)
+    if by:
+        lim = kept.groupBy(*by).agg(cut.alias("_hf_cut"))       # one row per group
+        cand = b.join(F.broadcast(lim), by, "inner").filter(inside(F.col("_hf_cut"))) \
+            .drop("_hf_cut")
+    else:
+        cand = b.filter(inside(kept.select(cut).scalar()))
+    return running_sum(cand.drop("_hf_bk"), order, weight, out, by, partitions)
 
 
 def budget_prefix(df: DataFrame, order: Sequence[Column], bucket: Column,

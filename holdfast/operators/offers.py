@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fround
-from ..functions.ranking import budget_candidates, budget_prefix, running_sum
+from ..functions.ranking import budget_candidates, budget_prefix, log_bucket, running_sum
 from ..params import OfferCatalog
 
 CONTACT_COLUMNS = ("customer_id", "churn_proba", "ltv", "offer", "offer_cost",
@@ -76,16 +76,17 @@ def _prefix(df: DataFrame, order: list[Column], budget, by: list[str],
 
 def greedy_roi(assigned: DataFrame, budget, by: list[str] = ()) -> DataFrame:
     """+EV customers by ROI (ties by key) until the budget is exhausted.
-    ROI is carried at 3 dp, so the ROI value itself is the bucket."""
+    Buckets: 16 per power of two of the ROI."""
     return _prefix(assigned.filter("eligible"),
                    [F.col("roi_per_rupee").desc(), F.col("customer_id")], budget, list(by),
-                   F.col("roi_per_rupee"), F.col("_hf_bk").desc())
+                   log_bucket(F.col("roi_per_rupee")), F.col("_hf_bk").desc())
 
 
 def rank_by_probability(assigned: DataFrame, budget, by: list[str] = ()) -> DataFrame:
-    """Riskiest first, ignoring value and cost (D9); the 6-dp score is the bucket."""
+    """Riskiest first, ignoring value and cost (D9); buckets of 1/1024."""
     return _prefix(assigned, [F.col("churn_proba").desc(), F.col("customer_id")],
-                   budget, list(by), F.col("churn_proba"), F.col("_hf_bk").desc())
+                   budget, list(by), F.floor(F.col("churn_proba") * 1024),
+                   F.col("_hf_bk").desc())
 
 
 def random_order_key(seed: int) -> Column:
@@ -94,10 +95,10 @@ def random_order_key(seed: int) -> Column:
 
 def random_selection(assigned: DataFrame, budget, seed: int, by: list[str] = ()) -> DataFrame:
     """A reproducible random order (md5 of key and seed) under the budget (D10);
-    the first four hex digits of the hash are the bucket."""
+    the first two hex digits of the hash are the bucket."""
     return _prefix(assigned.withColumn("_rk", random_order_key(seed)),
                    [F.col("_rk"), F.col("customer_id")], budget, list(by),
-                   F.substring("_rk", 1, 4), F.col("_hf_bk")).drop("_rk")
+                   F.substring("_rk", 1, 2), F.col("_hf_bk")).drop("_rk")
 
 
 def _totals(sel: DataFrame, strategy: str) -> DataFrame:
@@ -140,10 +141,9 @@ def knapsack_bound(assigned: DataFrame, budget: float,
     and the greedy gap against it (D13)."""
     el = assigned.filter("eligible").select("customer_id", "offer_cost", "offer_net").withColumn(
         "_ratio", F.col("offer_net") / F.col("offer_cost"))
-    # only rows up to the first overflow matter; floor(ratio * 1000) is a
-    # monotone bucket of the ratio order
+    # only rows up to the first overflow matter (log buckets of the ratio)
     run = budget_candidates(el, [F.col("_ratio").desc(), F.col("customer_id")],
-                            F.floor(F.col("_ratio") * 1000), F.col("_hf_bk").desc(),
+                            log_bucket(F.col("_ratio")), F.col("_hf_bk").desc(),
                             "offer_cost", budget, "_cum")
     prev = F.col("_cum") - F.col("offer_cost")
     frac = F.when(F.col("_cum") <= budget, 1.0).when(
