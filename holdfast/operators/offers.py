@@ -19,41 +19,73 @@ CONTACT_COLUMNS = ("customer_id", "churn_proba", "ltv", "offer", "offer_cost",
                    "customer_value_segment")
 
 
-def best_offer(catalog: OfferCatalog, p: Column, ltv: Column, protected: Column,
-               scale: Column | float = 1.0, cost_mult: Column | float = 1.0) -> Column:
-    """Struct (net, -index, offer, cost, benefit) of the highest unrounded net;
-    ties go to the first offer in the catalogue (D6, D7, T3)."""
+def offer_terms(catalog: OfferCatalog, p: Column, ltv: Column, protected: Column,
+                scale: Column | float = 1.0, cost_mult: Column | float = 1.0) -> list[dict]:
+    """Per catalogue offer: acceptance (base x scale, x0.6 for the bundle if
+    already protected, capped), cost, benefit = p x LTV x acceptance, and the
+    unrounded net (D6)."""
     scale = F.lit(scale) if not isinstance(scale, Column) else scale
     cost_mult = F.lit(cost_mult) if not isinstance(cost_mult, Column) else cost_mult
     cap = F.lit(catalog.acceptance_cap)
-    cands = []
-    for i, o in enumerate(catalog.offers):
+    out = []
+    for o in catalog.offers:
         acc = F.least(F.lit(o.base_acceptance) * scale, cap)
         if o.protection:
             acc = acc * F.when(protected > 0, F.lit(catalog.protected_modifier)).otherwise(1.0)
         acc = F.least(acc, cap)
         cost = F.lit(o.cost) * cost_mult
         benefit = p * ltv * acc
-        cands.append(F.struct((benefit - cost).alias("net"), F.lit(-i).alias("neg_idx"),
-                              F.lit(o.name).alias("offer"), cost.alias("cost"),
-                              benefit.alias("benefit"), acc.alias("acceptance")))
-    return F.greatest(*cands)
+        out.append({"acceptance": acc, "cost": cost, "benefit": benefit, "net": benefit - cost})
+    return out
 
 
 def assign_offers(cv: DataFrame, catalog: OfferCatalog, scale=1.0, cost_mult=1.0,
                   ltv: Column | None = None) -> DataFrame:
+    """Best offer per row: highest unrounded net, ties to the first offer in
+    the catalogue (D7, T3), with rounded benefit / net, ROI and eligibility
+    (positive rounded net).
+
+    Three steps keep the generated code small: the per-offer terms are one
+    projection, the argmax index the next, and the chosen offer's fields come
+    out of a one-row ``inline``.  Filters on the chosen fields (eligibility,
+    ROI buckets) cannot be pushed below a generator, so the optimizer does not
+    copy the offer arithmetic into them; when it did, the filter's generated
+    method outgrew the JVM's 8 KB JIT limit and ran interpreted (about 10x
+    slower on the scenario sweep).
+    """
     ltv = F.col("ltv") if ltv is None else ltv
-    b = best_offer(catalog, F.col("churn_proba"), ltv, F.col("protection_count"),
-                   scale, cost_mult)
-    return (cv.withColumn("_b", b)
-            .withColumn("offer", F.col("_b.offer"))
-            .withColumn("offer_cost", F.col("_b.cost"))
-            .withColumn("offer_acceptance", F.col("_b.acceptance"))
-            .withColumn("offer_benefit", fround("_b.benefit", 2))
-            .withColumn("offer_net", fround("_b.net", 2))
-            .withColumn("roi_per_rupee", fround(F.col("_b.benefit") / F.col("_b.cost"), 3))
-            .withColumn("eligible", F.col("offer_net") > 0)
-            .drop("_b"))
+    terms = offer_terms(catalog, F.col("churn_proba"), ltv, F.col("protection_count"),
+                        scale, cost_mult)
+    k = len(terms)
+    fields = ("acceptance", "cost", "benefit", "net")
+    per_offer = cv.select("*", *[t[f].alias(f"_hf_{f}{i}")
+                                 for i, t in enumerate(terms) for f in fields])
+    nets = [F.col(f"_hf_net{i}") for i in range(k)]
+    top = F.greatest(*nets) if k > 1 else nets[0]
+    # 1-based position of the first offer reaching the top net (all nets NULL
+    # -> the first offer, as a struct comparison would pick)
+    ranked = per_offer.withColumn(
+        "_hf_offer", F.coalesce(F.array_position(F.array(*nets), top), F.lit(1)).cast("int"))
+
+    def pick(f: str) -> Column:
+        return F.element_at(F.array(*[F.col(f"_hf_{f}{i}") for i in range(k)]),
+                            F.col("_hf_offer"))
+
+    chosen = F.inline(F.array(F.struct(
+        F.element_at(F.array(*[F.lit(o.name) for o in catalog.offers]), F.col("_hf_offer"))
+        .alias("offer"),
+        pick("cost").alias("offer_cost"), pick("acceptance").alias("offer_acceptance"),
+        pick("benefit").alias("_hf_benefit"), pick("net").alias("_hf_net"))))
+    out = {"offer": F.col("offer"), "offer_cost": F.col("offer_cost"),
+           "offer_acceptance": F.col("offer_acceptance"),
+           "offer_benefit": fround("_hf_benefit", 2), "offer_net": fround("_hf_net", 2),
+           "roi_per_rupee": fround(F.col("_hf_benefit") / F.col("offer_cost"), 3)}
+    # like withColumn: an input column of the same name is replaced in place
+    kept = [c for c in cv.columns if c not in out]
+    cols = [out[c].alias(c) if c in out else F.col(c) for c in cv.columns]
+    cols += [e.alias(c) for c, e in out.items() if c not in cv.columns]
+    return (ranked.select(*kept, chosen).select(*cols)
+            .withColumn("eligible", F.col("offer_net") > 0))
 
 
 def offer_summary(assigned: DataFrame) -> DataFrame:
