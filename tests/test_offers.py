@@ -34,3 +34,29 @@ def test_offer_argmax_and_allocation(spark):
 def test_protection_modifier(spark):
     a = OF.assign_offers(_cv(spark), OfferCatalog()).filter("customer_id = 5").first()
     assert a["offer_acceptance"] <= 0.95
+
+
+def test_argmax_ties_nulls_and_struct_reference(spark):
+    """Equal nets go to the first offer in the catalogue, all-NULL nets to the
+    first offer, and every row equals the struct-``greatest`` definition."""
+    from holdfast.params import Offer
+    tied = OfferCatalog(offers=(Offer("first", 10.0, 0.5), Offer("second", 10.0, 0.5),
+                                Offer("third", 30.0, 0.5)))
+    rows = [(1, 0.5, 100.0, 0), (2, None, 100.0, 0), (3, 0.0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "customer_id long, churn_proba double, ltv double, "
+                                     "protection_count long")
+    got = {r["customer_id"]: r["offer"] for r in OF.assign_offers(df, tied).collect()}
+    assert got == {1: "first", 2: "first", 3: "first"}
+
+    cat = OfferCatalog()
+    rnd = spark.range(0, 3000).select(
+        F.col("id").alias("customer_id"),
+        (F.rand(7) * 0.9).alias("churn_proba"), (F.rand(11) * 5000).alias("ltv"),
+        (F.col("id") % 3).alias("protection_count"))
+    terms = OF.offer_terms(cat, F.col("churn_proba"), F.col("ltv"), F.col("protection_count"))
+    ref = F.greatest(*[F.struct(t["net"].alias("net"), F.lit(-i).alias("neg"),
+                                F.lit(o.name).alias("offer"))
+                       for i, (t, o) in enumerate(zip(terms, cat.offers))])
+    want = rnd.select("customer_id", ref.offer.alias("want"))
+    have = OF.assign_offers(rnd, cat).select("customer_id", "offer")
+    assert have.join(want, "customer_id").filter(F.col("offer") != F.col("want")).count() == 0
