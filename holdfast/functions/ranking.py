@@ -229,7 +229,12 @@ def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
             .drop("_hf_cut")
     else:
         cand = b.filter(inside(kept.select(cut).scalar()))
-    return running_sum(cand.drop("_hf_bk"), order, weight, out, by, partitions)
+    # Written once: the range partitioner samples its input before the
+    # exchange, so without the write both the sample and the sort would
+    # re-run the whole upstream (e.g. every customer x scenario row) instead
+    # of reading the candidates, whose number is bounded by budget / min cost.
+    cand = materialize(cand.drop("_hf_bk"), "budget_candidates")
+    return running_sum(cand, order, weight, out, by, partitions)
 
 
 def budget_prefix(df: DataFrame, order: Sequence[Column], bucket: Column,
