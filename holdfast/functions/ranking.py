@@ -36,6 +36,24 @@ from ..session import materialize
 
 _PID = "_hf_pid"
 
+# Largest grouped offset / cut-off table that is broadcast; a bigger one is
+# joined back with an ordinary (sort-merge) join instead.
+BROADCAST_ROWS = 1_000_000
+
+
+def _small_side(df: DataFrame, grouped: bool) -> DataFrame:
+    """``df`` with a broadcast hint when its size is proven small.
+
+    Without groups an offset table has one row per partition.  With groups
+    its size depends on the caller's group count: the table is written once
+    (so counting it does not re-run the aggregate behind it), counted, and
+    broadcast only up to :data:`BROADCAST_ROWS`.
+    """
+    if not grouped:
+        return F.broadcast(df)
+    df = materialize(df, "group_offsets")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -95,8 +113,8 @@ def running_sum(df: DataFrame, order: Sequence[Column], value: str | None = None
     offsets = totals.select(F.col(_PID).alias("_hf_p"),
                             *[F.col(c).alias(f"_hf_b{i}") for i, c in enumerate(by)],
                             F.coalesce(F.sum("_hf_tot").over(w), F.lit(0)).alias("_hf_off"))
-    # rows <= partitions x groups; renamed columns keep the self-join unambiguous
-    small = F.broadcast(offsets)
+    # rows = partitions x groups; renamed columns keep the self-join unambiguous
+    small = _small_side(offsets, bool(by))
     cond = [F.col(_PID) == F.col("_hf_p")] + [
         F.col(c).eqNullSafe(F.col(f"_hf_b{i}")) for i, c in enumerate(by)]
     res = (local.join(small, cond, "inner")
@@ -133,7 +151,7 @@ def row_number_global(df: DataFrame, order: Sequence[Column], out: str = "rn",
                              *[F.col(c).alias(f"_hf_b{i}") for i, c in enumerate(by)],
                              "_hf_first",
                              F.coalesce(F.sum("_hf_cnt").over(w), F.lit(0)).alias("_hf_off"))
-    small = F.broadcast(offsets)  # rows <= partitions x groups
+    small = _small_side(offsets, bool(by))  # rows = partitions x groups
     cond = [F.col(_PID) == F.col("_hf_p")] + [
         F.col(c).eqNullSafe(F.col(f"_hf_b{i}")) for i, c in enumerate(by)]
     return s.join(small, cond, "inner").select(
@@ -225,8 +243,8 @@ def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
     inside = (lambda c: F.col("_hf_bk") >= c) if desc else (lambda c: F.col("_hf_bk") <= c)
     if by:
         lim = kept.groupBy(*by).agg(cut.alias("_hf_cut"))       # one row per group
-        cand = b.join(F.broadcast(lim), by, "inner").filter(inside(F.col("_hf_cut"))) \
-            .drop("_hf_cut")
+        cand = b.join(_small_side(lim, True), by, "inner") \
+            .filter(inside(F.col("_hf_cut"))).drop("_hf_cut")
     else:
         cand = b.filter(inside(kept.select(cut).scalar()))
     # Written once: the range partitioner samples its input before the
