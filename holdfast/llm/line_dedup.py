@@ -26,11 +26,12 @@ def line_windows(text: str, min_words: int):
     """Windows of ``text`` by fingerprint: (hash, line, [(content, from, to)]).
 
     Lines are compared without white space at their ends; blank ones do not
-    count.  A window is listed with the line of its smallest hash, the last
+    count, and go with the line before them.  A window is listed with the line of its smallest hash, the last
     one of equals.
     """
     at, hashes, words, lines = [], [], [], []
-    for i, line in enumerate(text.split("\n")):
+    every = text.split("\n")
+    for i, line in enumerate(every):
         line = line.strip()
         if line:
             raw = line.encode("utf-8")
@@ -46,11 +47,12 @@ def line_windows(text: str, min_words: int):
     starts = (np.searchsorted(total, total[1:] - min_words, "right") - 1).tolist()
     spans = {(i, j) for i, j in enumerate(ends) if j <= n}
     spans |= {(i, j + 1) for j, i in enumerate(starts) if i >= 0}
+    at.append(len(every))
     best: dict[int, list] = {}
     for i, j in sorted(spans):
         k = i if j - i == 1 else min(range(j - 1, i - 1, -1), key=hashes.__getitem__)
         content = xxhash.xxh3_128_digest(b"\n".join(lines[i:j]))
-        best.setdefault(k, []).append((content, at[i], at[j - 1]))
+        best.setdefault(k, []).append((content, at[i], at[j] - 1))
     for k, windows in best.items():
         yield hashes[k], at[k], windows
 

@@ -13,6 +13,7 @@ def brute(docs, min_words):
     first, gone = {}, {d: set() for d, _ in docs}
     for d in sorted(split):
         live = [(i, s.strip()) for i, s in enumerate(split[d]) if s.strip()]
+        to = [i for i, _ in live[1:]] + [len(split[d])]
         for a in range(len(live)):
             n = 0
             for b in range(a, len(live)):
@@ -20,7 +21,7 @@ def brute(docs, min_words):
                 if n >= min_words:
                     key = tuple(s for _, s in live[a:b + 1])
                     if first.setdefault(key, (d, a)) != (d, a):
-                        gone[d] |= set(range(live[a][0], live[b][0] + 1))
+                        gone[d] |= set(range(live[a][0], to[b]))
     return {d: "\n".join(s for i, s in enumerate(split[d]) if i not in gone[d]) for d in split}
 
 
