@@ -37,8 +37,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def with_ids(df: DataFrame, ids: DataFrame, key: str, max_bytes: int = 32 << 20) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` is among ``ids``.
+
+    ``ids`` (a written table) is counted first: up to ``max_bytes`` of ids are
+    sent to all tasks, so wide rows need no shuffle; more are joined by sort.
+    """
+    small = ids.count() * 16 <= max_bytes
+    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
 class WordCache(dict):

@@ -8,9 +8,10 @@ join runs over classes:
   have, the overlap that a link needs is known; two linked small sets share a
   subset of that size, and sharing it proves the link.
 * Large sets scan inverted lists.  In one global order of shingles (frequent
-  ones last) linked sets share ``depth`` of the first n - ceil(0.75 n) + depth
-  shingles of either, so only those are indexed; candidates must share that
-  many, and are checked on their whole sets.
+  ones last) a pair that needs an overlap of o shares one of the first
+  n - o + 1 shingles of either, so only those are indexed, with their places.
+  A pair is a candidate where both places are early enough for its own o, and
+  candidates are checked on their whole sets.
 
 The boundary between small and large is the size at which the enumeration
 costs more than the lists, both taken from the histogram of sizes.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, with_ids
 
 WORDS = 5
 NUM, DEN = 75, 100                 # a link: DEN * overlap >= NUM * union
@@ -93,19 +94,19 @@ def needed(n: int) -> int:
     return -(-NUM * n // DEN)
 
 
-def prefix_size(n: int, depth: int) -> int:
-    return min(n, n - needed(n) + depth)
+def overlap(n: int, m: int) -> int:
+    """Overlap that sets of ``n`` and ``m`` need to link."""
+    return -(-NUM * (n + m) // (NUM + DEN))
 
 
-def depth_of(n: int) -> int:
-    """Shingles that a candidate must share in the prefixes; grows with the
-    set, so that a shared passage alone seldom makes a candidate."""
-    return 1 + n // 16
+def prefix_size(n: int) -> int:
+    """Indexed shingles of a set of ``n``: enough for any partner."""
+    return n - needed(n) + 1
 
 
 def subset_sizes(n: int, below: int) -> set[int]:
     """Overlaps that a set of ``n`` needs with partners smaller than ``below``."""
-    return {-(-NUM * (n + m) // (NUM + DEN)) for m in range(needed(n), n * DEN // NUM + 1)
+    return {overlap(n, m) for m in range(needed(n), n * DEN // NUM + 1)
             if 0 < m < below}
 
 
@@ -122,7 +123,7 @@ def boundary(sizes: dict[int, int]) -> int:
     best = 1
     for n in range(1, MAX_SMALL + 1):
         near = sum(sizes.get(m, 0) for m in range(needed(n), n * DEN // NUM + 1))
-        lists = prefix_size(n, depth_of(n)) * (2 + math.log2(1 + near))
+        lists = prefix_size(n) * (2 + math.log2(1 + near))
         if subset_cost(n, n + 1) > lists:
             break
         best = n + 1
@@ -182,7 +183,7 @@ def _sets(rows: DataFrame, heavy: np.ndarray) -> DataFrame:
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     common = last[at] == s
                     s = np.concatenate([s[~common], s[common]])
-                take = len(s) if len(s) <= MAX_SMALL else prefix_size(len(s), depth_of(len(s)))
+                take = len(s) if len(s) <= MAX_SMALL else prefix_size(len(s))
                 prefix.append(s[:take].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
@@ -200,14 +201,14 @@ def _whole_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s"])
 
-    return rows.join(ids, "id", "left_semi").select("id", "text") \
+    return with_ids(rows, ids, "id").select("id", "text") \
         .mapInArrow(run, "id long, s binary")
 
 
 def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the ``pairs`` (a, b) whose whole sets link."""
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = materialize(_whole_sets(rows, ids), "sets")
 
     def run(batches):
@@ -226,9 +227,12 @@ def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         .mapInArrow(run, "a long, b long")
 
 
-def _comparable(a: Column, b: Column) -> Column:
-    """Sizes with which two sets can link at all."""
-    return (DEN * a >= NUM * b) & (DEN * b >= NUM * a)
+def _early(a: str, b: str) -> Column:
+    """Whether two sets can link by their sizes, and the places of a common
+    shingle are among the first n - o + 1 of both."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    o = F.expr(f"({NUM} * (n{a} + n{b}) + {NUM + DEN - 1}) div {NUM + DEN}")
+    return ((o <= F.least(n, m)) & (F.col(f"at{a}") <= n - o) & (F.col(f"at{b}") <= m - o))
 
 
 def _small_links(classes: DataFrame, below: int) -> DataFrame:
@@ -242,7 +246,7 @@ def _small_links(classes: DataFrame, below: int) -> DataFrame:
                 v = np.sort(np.asarray(s, np.int64))
                 n = len(v)
                 for m in range(needed(n), n * DEN // NUM + 1):
-                    c = -(-NUM * (n + m) // (NUM + DEN))
+                    c = overlap(n, m)
                     if not 0 < m < below or c > n:
                         continue
                     # both sizes are in the key: each pair of sizes has its own overlap
@@ -274,7 +278,7 @@ def _small_links(classes: DataFrame, below: int) -> DataFrame:
 def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
     """(node, component) of the classes that link to another one."""
     entries = (classes.filter(F.col("n") >= needed(below))
-               .select("id", "n", F.explode("prefix").alias("h")))
+               .select("id", "n", F.posexplode("prefix").alias("at", "h")))
     lists = Window.partitionBy("h")
     entries = materialize(
         entries.withColumn("size", F.count(F.lit(1)).over(lists)).filter("size > 1")
@@ -289,7 +293,7 @@ def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
     edges = materialize(_small_links(classes, below).unionByName(_links(rows, stars)), "links")
     near = connected_components(edges)
 
-    tagged = entries.select("h", "id", "n").join(
+    tagged = entries.select("h", "id", "n", "at").join(
         near.select(F.col("node").alias("id"), "component"), "id", "left") \
         .withColumn("component", F.coalesce("component", "id"))
     groups = tagged.select("h", "component").distinct()
@@ -299,15 +303,11 @@ def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
     groups = tagged.select("h", "component").distinct()
     meets = groups.select("h", F.col("component").alias("ca")).join(
         groups.select("h", F.col("component").alias("cb")), "h").filter("ca < cb")
-    pairs = (meets
-             .join(tagged.select("h", F.col("component").alias("ca"), F.col("id").alias("a"),
-                                 F.col("n").alias("na")), ["h", "ca"])
-             .join(tagged.select("h", F.col("component").alias("cb"), F.col("id").alias("b"),
-                                 F.col("n").alias("nb")), ["h", "cb"])
-             .filter(_comparable(F.col("na"), F.col("nb")))
-             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"),
-                                    F.min(F.least("na", "nb")).alias("n")))
-    pairs = pairs.filter(F.col("shared") >= 1 + F.expr("n div 16")).select("a", "b")
+    side = lambda k: tagged.select(
+        "h", F.col("component").alias(f"c{k}"), F.col("id").alias(k), F.col("n").alias(f"n{k}"),
+        F.col("at").alias(f"at{k}"))
+    pairs = (meets.join(side("a"), ["h", "ca"]).join(side("b"), ["h", "cb"])
+             .filter(_early("a", "b")).select("a", "b").distinct())
     return connected_components(edges.unionByName(_links(rows, pairs)))
 
 
