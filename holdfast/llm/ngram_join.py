@@ -227,12 +227,11 @@ def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         .mapInArrow(run, "a long, b long")
 
 
-def _early(a: str, b: str) -> Column:
-    """Whether two sets can link by their sizes, and the places of a common
-    shingle are among the first n - o + 1 of both."""
-    n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    o = F.expr(f"({NUM} * (n{a} + n{b}) + {NUM + DEN - 1}) div {NUM + DEN}")
-    return ((o <= F.least(n, m)) & (F.col(f"at{a}") <= n - o) & (F.col(f"at{b}") <= m - o))
+def _room(n: Column, at: Column) -> Column:
+    """A common shingle at place ``at`` of a set of n is early enough for a
+    partner of m, that is at <= n - overlap(n, m), if room >= NUM * m.  This
+    also holds the sizes to those that can link."""
+    return (NUM + DEN) * (n - at) - NUM * n
 
 
 def _small_links(classes: DataFrame, below: int) -> DataFrame:
@@ -293,21 +292,25 @@ def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
     edges = materialize(_small_links(classes, below).unionByName(_links(rows, stars)), "links")
     near = connected_components(edges)
 
-    tagged = entries.select("h", "id", "n", "at").join(
+    tagged = entries.select("h", "id", "n", _room(F.col("n"), F.col("at")).alias("room")).join(
         near.select(F.col("node").alias("id"), "component"), "id", "left") \
         .withColumn("component", F.coalesce("component", "id"))
-    groups = tagged.select("h", "component").distinct()
-    several = groups.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+    several = tagged.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .filter("lo <> hi").select("h")
     tagged = materialize(tagged.join(several, "h", "left_semi"), "open_lists")
-    groups = tagged.select("h", "component").distinct()
-    meets = groups.select("h", F.col("component").alias("ca")).join(
-        groups.select("h", F.col("component").alias("cb")), "h").filter("ca < cb")
-    side = lambda k: tagged.select(
-        "h", F.col("component").alias(f"c{k}"), F.col("id").alias(k), F.col("n").alias(f"n{k}"),
-        F.col("at").alias(f"at{k}"))
-    pairs = (meets.join(side("a"), ["h", "ca"]).join(side("b"), ["h", "cb"])
-             .filter(_early("a", "b")).select("a", "b").distinct())
+    # components that meet in a list, if any of their members can link there
+    groups = tagged.groupBy("h", "component").agg(F.max("room").alias("room"), F.min("n").alias("n"))
+    of = lambda df, k, *more: df.select(
+        "h", F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"),
+        F.col("room").alias(f"room{k}"), *more)
+    fit = lambda a, b: (F.col(f"room{a}") >= NUM * F.col(f"n{b}"))
+    meets = of(groups, "A").join(of(groups, "B"), "h") \
+        .filter((F.col("cA") < F.col("cB")) & fit("A", "B") & fit("B", "A"))
+    half = meets.select("h", F.col("cA").alias("ca"), F.col("cB").alias("cb"), "nB", "roomB") \
+        .join(of(tagged, "a", F.col("id").alias("a")), ["h", "ca"]) \
+        .filter(fit("a", "B") & fit("B", "a"))
+    pairs = half.join(of(tagged, "b", F.col("id").alias("b")), ["h", "cb"]) \
+        .filter(fit("a", "b") & fit("b", "a")).select("a", "b").distinct()
     return connected_components(edges.unionByName(_links(rows, pairs)))
 
 
