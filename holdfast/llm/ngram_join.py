@@ -304,11 +304,11 @@ def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
         "h", F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"),
         F.col("room").alias(f"room{k}"), *more)
     fit = lambda a, b: (F.col(f"room{a}") >= NUM * F.col(f"n{b}"))
-    meets = of(groups, "A").join(of(groups, "B"), "h") \
-        .filter((F.col("cA") < F.col("cB")) & fit("A", "B") & fit("B", "A"))
-    half = meets.select("h", F.col("cA").alias("ca"), F.col("cB").alias("cb"), "nB", "roomB") \
+    meets = of(groups, "p").join(of(groups, "q"), "h") \
+        .filter((F.col("cp") < F.col("cq")) & fit("p", "q") & fit("q", "p"))
+    half = meets.select("h", F.col("cp").alias("ca"), F.col("cq").alias("cb"), "nq", "roomq") \
         .join(of(tagged, "a", F.col("id").alias("a")), ["h", "ca"]) \
-        .filter(fit("a", "B") & fit("B", "a"))
+        .filter(fit("a", "q") & fit("q", "a"))
     pairs = half.join(of(tagged, "b", F.col("id").alias("b")), ["h", "cb"]) \
         .filter(fit("a", "b") & fit("b", "a")).select("a", "b").distinct()
     return connected_components(edges.unionByName(_links(rows, pairs)))
