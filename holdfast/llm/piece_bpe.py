@@ -4,7 +4,7 @@ A sequence of pieces is the encoding of a text exactly if every two adjacent
 pieces are what merging makes of their joined text.  So the encoder walks the
 text with the longest matching piece (an Aho-Corasick automaton over the
 reversed pieces gives, in one pass, the longest piece that starts at every
-position), checks it against its left neighbour by merging both again, falls
+position), checks it against its left neighbour by re-merging both, falls
 back to shorter pieces, and steps back over a position from which nothing
 fits; a bit per position keeps such failures from being tried twice.
 
@@ -54,20 +54,52 @@ class PieceBpe:
                for p in self.ids):
             raise ValueError(f"{path}: word marks inside pieces")
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.reachable = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
+        if any("\n" in p for p in self.ids):
+            raise ValueError(f"{path}: line feeds inside pieces")
+        # the last merge of every piece that merging reaches
+        self.split = {p: parts for p in self.ids if len(p) > 1
+                      and len(parts := self.merge(p, 2)) == 2}
+        self.reachable = {p for p in self.ids if len(p) == 1 or p in self.split}
         self.automaton = ahocorasick.Automaton()
         for p in self.reachable:
             self.automaton.add_word(p[::-1], len(p))
         self.automaton.make_automaton()
         self.shorter = WordCache(self._shorter, 100_000)
-        self.fits = WordCache(lambda pair: self.merge(pair[0] + pair[1]) == list(pair), 400_000)
+        self.fits = WordCache(lambda pair: self.compatible(*pair), 300_000)
         self.words = WordCache(lambda w: self._encoded(MARK + w))
+        self.heads = WordCache(self._encoded, 50_000)
+        self.feed = self._encoded("\n")
+
+    def compatible(self, left: str, right: str) -> bool:
+        """Whether merging ``left + right`` ends in just these two pieces.
+
+        Goes through the merges of both backwards: before the later of the two
+        last merges was made, the parts at the border stood side by side, and
+        must not have merged first.
+        """
+        scores, split = self.scores, self.split
+        if left + right in scores:
+            return False
+        while True:
+            a, b = split.get(left), split.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and scores[left] < scores[right]:
+                bar, left = scores[left], a[1]
+                s = scores.get(left + right)
+                if s is not None and s > bar:
+                    return False
+            else:
+                bar, right = scores[right], b[0]
+                s = scores.get(left + right)
+                if s is not None and s >= bar:      # of equals the leftmost merges first
+                    return False
 
-    def merge(self, text: str) -> list[str]:
+    def merge(self, text: str, until: int = 1) -> list[str]:
         """Pieces of a short text by the merge rule itself: always the best
         scored adjacent pair, the leftmost of equals."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > until:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = self.scores.get(parts[i] + parts[i + 1])
@@ -135,7 +167,15 @@ class PieceBpe:
         if MARK * 2 in marked or marked[0] == MARK:
             got = [self.words[u[1:]] for u in _UNIT.findall(MARK + marked)]
         else:
-            got = list(map(self.words.__getitem__, marked.split(MARK)))
+            first, *lines = marked.split("\n")
+            words = self.words.__getitem__
+            got = list(map(words, first.split(MARK)))
+            for line in lines:                  # a line feed is a piece of its own
+                got.append(self.feed)
+                head, *rest = line.split(MARK)
+                if head:
+                    got.append(self.heads[head])
+                got += map(words, rest)
         return (",".join([g[0] for g in got]),
                 np.frombuffer(b"".join([g[1] for g in got]), "<i4").tolist())
 

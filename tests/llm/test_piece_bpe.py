@@ -53,6 +53,17 @@ def test_backtracking_steps_back(encoder):
     assert differ > 50
 
 
+def test_compatible_is_what_merging_gives(encoder):
+    rnd = random.Random(6)
+    pieces = sorted(encoder.reachable)
+    marks = [p for p in pieces if not p.strip(piece_bpe.MARK)]
+    for _ in range(30_000):
+        a, b = rnd.choice(pieces), rnd.choice(pieces)
+        if rnd.random() < 0.1:
+            a, b = rnd.choice(marks), rnd.choice(marks)
+        assert encoder.compatible(a, b) == (encoder.merge(a + b) == [a, b]), (a, b)
+
+
 def test_documents(spark, library):
     docs = texts_given() + [(9001, None), (9002, ""), (9003, " \n "), (9004, "wort " * 20_000),
                             (9004, "wort " * 20_000), (None, "no id")]
