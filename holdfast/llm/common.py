@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+_WRITTEN: set[str] = set()         # folders written by materialize
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,6 +26,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -34,7 +36,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables of which nothing lazy is left."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
+
+
+def written() -> set[str]:
+    """Folders of all written tables that still exist."""
+    return set(_WRITTEN)
+
+
+def discard_unread(paths: set[str], docs: DataFrame) -> None:
+    """Delete those of the written ``paths`` from which ``docs`` does not read."""
+    files = docs.inputFiles() if paths else []
+    for path in list(paths):
+        if not any(f"{path.split(':')[-1].lstrip('/')}/" in f for f in files):
+            _delete(docs.sparkSession, path)
+            paths.discard(path)
 
 
 def with_ids(df: DataFrame, ids: DataFrame, key: str, max_bytes: int = 32 << 20) -> DataFrame:
@@ -93,7 +123,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b",
                                   F.least("component", F.coalesce("up", "component"))
                                   .alias("component")), "labels")
         changed = new.filter("component <> old").limit(1).count()
-        labels = new.select("node", "component")
+        discard(labels)
+        labels = new
         if not changed:
-            return labels
+            discard(both)
+            return labels.select("node", "component")
     raise RuntimeError("connected components did not settle")

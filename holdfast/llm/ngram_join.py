@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, with_ids
+from .common import connected_components, discard, materialize, with_ids
 
 WORDS = 5
 NUM, DEN = 75, 100                 # a link: DEN * overlap >= NUM * union
@@ -206,7 +206,7 @@ def _whole_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose whole sets link."""
+    """Those of the ``pairs`` (a, b) whose whole sets link, written."""
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = materialize(_whole_sets(rows, ids), "sets")
@@ -223,8 +223,10 @@ def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                  batch.column(1).filter(pa.array(yes, pa.bool_()))], ["a", "b"])
 
     side = lambda k: sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb") \
-        .mapInArrow(run, "a long, b long")
+    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b")
+                        .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    discard(pairs, ids, sets)
+    return links
 
 
 def _room(n: Column, at: Column) -> Column:
@@ -289,7 +291,7 @@ def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
     stars = entries.filter("p1 is not null") \
         .select("id", "n", F.explode(F.array("p1", "p2")).alias("b")).filter("id <> b") \
         .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    edges = materialize(_small_links(classes, below).unionByName(_links(rows, stars)), "links")
+    edges = _small_links(classes, below).unionByName(_links(rows, stars))
     near = connected_components(edges)
 
     tagged = entries.select("h", "id", "n", _room(F.col("n"), F.col("at")).alias("room")).join(
@@ -298,6 +300,7 @@ def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
     several = tagged.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .filter("lo <> hi").select("h")
     tagged = materialize(tagged.join(several, "h", "left_semi"), "open_lists")
+    discard(entries)
     # components that meet in a list, if any of their members can link there
     groups = tagged.groupBy("h", "component").agg(F.max("room").alias("room"), F.min("n").alias("n"))
     of = lambda df, k, *more: df.select(
@@ -311,7 +314,9 @@ def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
         .filter(fit("a", "q") & fit("q", "a"))
     pairs = half.join(of(tagged, "b", F.col("id").alias("b")), ["h", "cb"]) \
         .filter(fit("a", "b") & fit("b", "a")).select("a", "b").distinct()
-    return connected_components(edges.unionByName(_links(rows, pairs)))
+    found = _links(rows, pairs)
+    discard(tagged)
+    return connected_components(edges.unionByName(found))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

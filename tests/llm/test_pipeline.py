@@ -53,8 +53,9 @@ def test_stages(spark, sf_dir):
 
 def test_run_equals_the_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{sf_dir}/again-{name}")
+        docs = spark.read.parquet(f"{sf_dir}/again-{name}")
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     got = corpus_pipeline.run(spark, sf_dir).select(*key)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.select(*key).collect()))
