@@ -36,23 +36,15 @@ from ..session import materialize
 
 _PID = "_hf_pid"
 
-# Largest grouped offset / cut-off table that is broadcast; a bigger one is
-# joined back with an ordinary (sort-merge) join instead.
-BROADCAST_ROWS = 1_000_000
-
 
 def _small_side(df: DataFrame, grouped: bool) -> DataFrame:
-    """``df`` with a broadcast hint when its size is proven small.
+    """``df`` with a broadcast hint where its size is proven small.
 
     Without groups an offset table has one row per partition.  With groups
-    its size depends on the caller's group count: the table is written once
-    (so counting it does not re-run the aggregate behind it), counted, and
-    broadcast only up to :data:`BROADCAST_ROWS`.
+    its size depends on the caller's group count, so the join strategy is left
+    to Spark's own size check at run time.
     """
-    if not grouped:
-        return F.broadcast(df)
-    df = materialize(df, "group_offsets")
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return df if grouped else F.broadcast(df)
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
@@ -215,10 +207,10 @@ def log_bucket(c: Column, per_octave: int = 16) -> Column:
 
 
 def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
-                      bucket_order: Column, weight: str, budget: Column | float,
+                      descending: bool, weight: str, budget: Column | float,
                       out: str = "cum_cost", by: Sequence[str] = (),
                       partitions: int | None = None) -> DataFrame:
-    """Rows of the buckets that start under the budget, with their exact
+    """Rows of the buckets that start within the budget, with their exact
     inclusive running ``weight``; see :func:`budget_prefix`.  The result also
     holds the first row that overflows the budget.
 
@@ -229,24 +221,28 @@ def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
     """
     by = list(by)
     b = df.withColumn("_hf_bk", bucket)
+    bk = F.col("_hf_bk")
     bud = F.lit(budget) if not isinstance(budget, Column) else budget
     tot = b.groupBy(*by, "_hf_bk").agg(F.sum(weight).alias("_hf_bt"),
                                        F.min(bud).alias("_hf_budget"))
-    w = (Window.partitionBy(*by) if by else Window).orderBy(bucket_order) \
+    w = (Window.partitionBy(*by) if by else Window).orderBy(
+        bk.isNull(), bk.desc() if descending else bk.asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_hf_bt").over(w), F.lit(0))
+    # a bucket that starts exactly at the budget may still hold free rows
     kept = (tot.withColumn("_hf_start", start)
-            .filter(F.col("_hf_start") < F.col("_hf_budget")))
-    # kept buckets are a prefix in bucket order: one cut-off per group suffices
-    desc = "DESC" in str(bucket_order).upper()
-    cut = F.min("_hf_bk") if desc else F.max("_hf_bk")
-    inside = (lambda c: F.col("_hf_bk") >= c) if desc else (lambda c: F.col("_hf_bk") <= c)
+            .filter(F.col("_hf_start") <= F.col("_hf_budget")))
+    # kept buckets are a prefix in bucket order, NULL last: one cut-off per group
+    cut = F.min("_hf_bk") if descending else F.max("_hf_bk")
+    nulls = F.coalesce(F.max(bk.isNull()), F.lit(False))
+    inside = lambda c, n: F.coalesce(bk >= c if descending else bk <= c, F.lit(False)) \
+        | (bk.isNull() & n)
     if by:
-        lim = kept.groupBy(*by).agg(cut.alias("_hf_cut"))       # one row per group
+        lim = kept.groupBy(*by).agg(cut.alias("_hf_cut"), nulls.alias("_hf_nulls"))
         cand = b.join(_small_side(lim, True), by, "inner") \
-            .filter(inside(F.col("_hf_cut"))).drop("_hf_cut")
+            .filter(inside(F.col("_hf_cut"), F.col("_hf_nulls"))).drop("_hf_cut", "_hf_nulls")
     else:
-        cand = b.filter(inside(kept.select(cut).scalar()))
+        cand = b.filter(inside(kept.select(cut).scalar(), kept.select(nulls).scalar()))
     # Written once: the range partitioner samples its input before the
     # exchange, so without the write both the sample and the sort would
     # re-run the whole upstream (e.g. every customer x scenario row) instead
@@ -256,21 +252,22 @@ def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
 
 
 def budget_prefix(df: DataFrame, order: Sequence[Column], bucket: Column,
-                  bucket_order: Column, weight: str, budget: Column | float,
+                  descending: bool, weight: str, budget: Column | float,
                   out: str = "cum_cost", by: Sequence[str] = (),
                   partitions: int | None = None) -> DataFrame:
     """Rows whose inclusive running ``weight`` in ``by + order`` is <= budget
     (stop-at-first-overflow prefix), sorting only rows that can still fit.
 
-    ``bucket`` must be a monotone function of the leading order key and
-    ``bucket_order`` its matching direction (e.g. ROI rounded to 3 dp, a score
-    at 6 dp, a hash prefix).  Costs are summed per bucket (partial aggregation,
+    ``bucket`` must be a monotone function of the leading order key, NULL where
+    the key is NULL (such rows come last, so ``order`` must put them last), and
+    ``descending`` its direction (e.g. ROI rounded to 3 dp, a score at 6 dp, a
+    hash prefix).  Costs are summed per bucket (partial aggregation,
     so a hot bucket is one row), prefix-summed, and only buckets that start
     under the budget are kept; the exact row-level running sum then runs on
-    those candidate rows.  Rows in later buckets start at or above the budget
-    and, with positive weights, can never be selected.  ``budget`` may be a
+    those candidate rows.  Rows in later buckets start above the budget and, as
+    weights are not negative, can never be selected.  ``budget`` may be a
     column that is constant within each ``by`` group.
     """
     bud = F.lit(budget) if not isinstance(budget, Column) else budget
-    return budget_candidates(df, order, bucket, bucket_order, weight, budget, out, by,
+    return budget_candidates(df, order, bucket, descending, weight, budget, out, by,
                              partitions).filter(F.col(out) <= bud)

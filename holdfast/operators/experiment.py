@@ -87,14 +87,17 @@ def itt_wald(assigned: DataFrame, outcome: str, received: str) -> DataFrame:
 
 
 def poisson1_weight(u):
-    """Poisson(1) draw by inverting the CDF at a uniform u (support truncated
-    at 12; the tail mass beyond it is below 1e-9)."""
-    cdf, term, k = 0.0, 0.36787944117144233, 0
+    """Poisson(1) draw by inverting the CDF at a uniform u, over every value
+    that a double below 1 can reach."""
+    cdf, term, k = 0.36787944117144233, 0.36787944117144233, 0
     expr = F.lit(0)
-    for k in range(13):
-        cdf += term
+    while cdf < 1.0 - 2.0 ** -53:
         expr = expr + F.when(u > cdf, 1).otherwise(0)
-        term /= (k + 1)
+        k += 1
+        term /= k
+        cdf += term
+        if term < 2.0 ** -60:
+            break
     return expr
 
 

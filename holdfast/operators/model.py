@@ -161,10 +161,9 @@ def save_or_reuse(model: PipelineModel, spark, name: str) -> PipelineModel:
         return model
 
 
-def driver_table(model: PipelineModel, scored_input: DataFrame, train: DataFrame,
-                 top: int = 12) -> DataFrame:
-    """Per-slot coefficient, odds ratio, direction and mean |coef (x - mean)|
-    over ``scored_input`` with means from ``train`` (E8)."""
+def driver_table(model: PipelineModel, scored_input: DataFrame, train: DataFrame) -> DataFrame:
+    """Every slot's coefficient, odds ratio, direction and mean |coef (x - mean)|
+    over ``scored_input`` with means from ``train``, and its rank (E8)."""
     spark = scored_input.sparkSession
     lr = model.stages[-1]
     coefs = [float(c) for c in lr.coefficients]
@@ -179,9 +178,11 @@ def driver_table(model: PipelineModel, scored_input: DataFrame, train: DataFrame
     rows = [(names[i], round(coefs[i], 3), round(math.exp(coefs[i]), 3),
              "raises churn" if coefs[i] > 0 else "lowers churn",
              round(float(contrib[f"c{i}"]), 4)) for i in range(len(coefs))]
-    df = spark.createDataFrame(rows, "feature string, coef double, odds_ratio double, "
-                                     "direction string, mean_abs_contribution double")
-    return df.orderBy(F.col("mean_abs_contribution").desc(), "feature").limit(top)
+    rows.sort(key=lambda r: (-r[4], r[0]))      # one row per model slot
+    return spark.createDataFrame(
+        [(n + 1, *r) for n, r in enumerate(rows)],
+        "rank int, feature string, coef double, odds_ratio double, direction string, "
+        "mean_abs_contribution double").orderBy("rank")
 
 
 def _slot_names(model: PipelineModel, df: DataFrame) -> list[str]:

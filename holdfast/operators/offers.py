@@ -99,10 +99,10 @@ def offer_summary(assigned: DataFrame) -> DataFrame:
 
 
 def _prefix(df: DataFrame, order: list[Column], budget, by: list[str],
-            bucket: Column, bucket_order: Column) -> DataFrame:
+            bucket: Column, descending: bool) -> DataFrame:
     """Rows whose running cost in ``order`` stays within the budget (W11);
-    only rows in buckets that start under the budget are sorted."""
-    return budget_prefix(df, order, bucket, bucket_order, "offer_cost", budget,
+    only rows in buckets that start within the budget are sorted."""
+    return budget_prefix(df, order, bucket, descending, "offer_cost", budget,
                          "cum_cost", by)
 
 
@@ -111,14 +111,13 @@ def greedy_roi(assigned: DataFrame, budget, by: list[str] = ()) -> DataFrame:
     Buckets: 16 per power of two of the ROI."""
     return _prefix(assigned.filter("eligible"),
                    [F.col("roi_per_rupee").desc(), F.col("customer_id")], budget, list(by),
-                   log_bucket(F.col("roi_per_rupee")), F.col("_hf_bk").desc())
+                   log_bucket(F.col("roi_per_rupee")), True)
 
 
 def rank_by_probability(assigned: DataFrame, budget, by: list[str] = ()) -> DataFrame:
     """Riskiest first, ignoring value and cost (D9); buckets of 1/1024."""
     return _prefix(assigned, [F.col("churn_proba").desc(), F.col("customer_id")],
-                   budget, list(by), F.floor(F.col("churn_proba") * 1024),
-                   F.col("_hf_bk").desc())
+                   budget, list(by), F.floor(F.col("churn_proba") * 1024), True)
 
 
 def random_order_key(seed: int) -> Column:
@@ -130,7 +129,7 @@ def random_selection(assigned: DataFrame, budget, seed: int, by: list[str] = ())
     the first two hex digits of the hash are the bucket."""
     return _prefix(assigned.withColumn("_rk", random_order_key(seed)),
                    [F.col("_rk"), F.col("customer_id")], budget, list(by),
-                   F.substring("_rk", 1, 2), F.col("_hf_bk")).drop("_rk")
+                   F.substring("_rk", 1, 2), False).drop("_rk")
 
 
 def _totals(sel: DataFrame, strategy: str) -> DataFrame:
@@ -175,7 +174,7 @@ def knapsack_bound(assigned: DataFrame, budget: float,
         "_ratio", F.col("offer_net") / F.col("offer_cost"))
     # only rows up to the first overflow matter (log buckets of the ratio)
     run = budget_candidates(el, [F.col("_ratio").desc(), F.col("customer_id")],
-                            log_bucket(F.col("_ratio")), F.col("_hf_bk").desc(),
+                            log_bucket(F.col("_ratio")), True,
                             "offer_cost", budget, "_cum")
     prev = F.col("_cum") - F.col("offer_cost")
     frac = F.when(F.col("_cum") <= budget, 1.0).when(

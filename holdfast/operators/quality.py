@@ -76,7 +76,7 @@ def consistency(account: DataFrame, service: DataFrame, roles: ServiceRoles,
     itype = F.max(F.when(F.col("service_name") == roles.internet, F.col("status"))) \
         .over(Window.partitionBy("customer_id"))
     dep = (service.withColumn("itype", itype)
-           .filter(F.col("service_name").isin(*roles.addons))
+           .filter(F.col("service_name").isin(*roles.internet_addons))
            .agg(F.count_if((F.col("itype") == "No")
                            != (F.col("status") == "No internet service")).alias("v")))
     return (_row(a, "consistency", "tenure0_iff_null_total", F.col("bicond"),
@@ -124,8 +124,8 @@ def numeric_features(df: DataFrame, excludes: tuple[str, ...]) -> list[str]:
             if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in excludes]
 
 
-def label_correlations(features: DataFrame, q: QualityParams, label: str = "churned"
-                       ) -> DataFrame:
+def label_correlations(features: DataFrame, q: QualityParams, label: str = "churned",
+                       rounded: bool = True) -> DataFrame:
     """|corr(feature, label)| for every numeric/boolean column, one pass."""
     cols = numeric_features(features, q.model_excludes)
     y = F.col(label).cast("int")
@@ -133,17 +133,20 @@ def label_correlations(features: DataFrame, q: QualityParams, label: str = "chur
                           for i, c in enumerate(cols)])
     stacked = _stack(wide, cols, "_c")
     val = F.coalesce(F.nanvl(F.abs("value"), F.lit(0.0)), F.lit(0.0))
-    return stacked.select(F.col("key").alias("feature"), fround(val, 4).alias("abs_corr"))
+    return stacked.select(F.col("key").alias("feature"),
+                          (fround(val, 4) if rounded else val).alias("abs_corr"))
 
 
 def leakage(features: DataFrame, q: QualityParams, label: str = "churned") -> DataFrame:
     """Worst predictor (T5) against the alarm level (Q10)."""
-    corr = label_correlations(features, q, label)
+    corr = label_correlations(features, q, label, rounded=False)
     worst = corr.agg(F.max("abs_corr").alias("m"))
     m = F.coalesce(F.col("m"), F.lit(0.0))
-    return (_row(worst, "leakage", "no_near_perfect_predictor", m, m < q.leakage_alarm)
-            .unionByName(_row(worst, "leakage", "target_excluded_from_X", F.lit(0.0),
-                              F.lit(True))))
+    inside = label in numeric_features(features, q.model_excludes)
+    return (_row(worst, "leakage", "no_near_perfect_predictor", fround(m, 4),
+                 m < q.leakage_alarm)
+            .unionByName(_row(worst, "leakage", "target_excluded_from_X", F.lit(float(inside)),
+                              F.lit(not inside))))
 
 
 def freshness(df: DataFrame, q: QualityParams) -> DataFrame:
@@ -183,7 +186,8 @@ def run_checks(features: DataFrame, customer: DataFrame, account: DataFrame,
     fw = features.agg(
         *[F.avg(F.col(c).isNull().cast("int")).alias(f"_n{i}") for i, c in enumerate(cols)],
         *[F.corr(F.col(c).cast("double"), y).alias(f"_c{i}") for i, c in enumerate(num)])
-    absc = [fround(F.coalesce(F.nanvl(F.abs(f"_c{i}"), F.lit(0.0)), F.lit(0.0)), 4)
+    # compared raw, rounded for display only
+    absc = [F.coalesce(F.nanvl(F.abs(f"_c{i}"), F.lit(0.0)), F.lit(0.0))
             for i in range(len(num))]
     worst = F.greatest(*absc) if len(absc) > 1 else (absc[0] if absc else F.lit(0.0))
     specs = []
@@ -191,9 +195,10 @@ def run_checks(features: DataFrame, customer: DataFrame, account: DataFrame,
         allowed = q.total_null_allowance if c == "total_charges" else 0.0
         specs.append(("completeness", f"nonnull:{c}", fround(f"_n{i}", 5),
                       F.col(f"_n{i}") <= allowed, "hard"))
-    specs.append(("leakage", "no_near_perfect_predictor", worst, worst < q.leakage_alarm,
-                  "hard"))
-    specs.append(("leakage", "target_excluded_from_X", F.lit(0.0), F.lit(True), "hard"))
+    specs.append(("leakage", "no_near_perfect_predictor", fround(worst, 4),
+                  worst < q.leakage_alarm, "hard"))
+    specs.append(("leakage", "target_excluded_from_X", F.lit(float("churned" in num)),
+                  F.lit("churned" not in num), "hard"))
     feature_rows = _rows(fw, specs)
 
     lo_t, hi_t = q.tenure_range
@@ -225,7 +230,7 @@ def run_checks(features: DataFrame, customer: DataFrame, account: DataFrame,
     itype = F.max(F.when(F.col("service_name") == roles.internet, F.col("status"))) \
         .over(Window.partitionBy("customer_id"))
     dep = (service.withColumn("itype", itype)
-           .filter(F.col("service_name").isin(*roles.addons))
+           .filter(F.col("service_name").isin(*roles.internet_addons))
            .agg(F.count_if((F.col("itype") == "No")
                            != (F.col("status") == "No internet service")).alias("v")))
     dep_rows = _rows(dep, [("consistency", "internet_dependency", F.col("v"),

@@ -89,11 +89,17 @@ class ServiceRoles:
     streaming: tuple[str, ...]
     protection: tuple[str, ...]
     not_held: tuple[str, ...] = NOT_HELD
+    phone_addons: tuple[str, ...] = ()  # add-ons that need no internet
 
     @property
     def addons(self) -> tuple[str, ...]:
         return tuple(s for s in self.services if s not in (self.phone, self.internet))
 
+    @property
+    def internet_addons(self) -> tuple[str, ...]:
+        """Add-ons that cannot be held without internet."""
+        return tuple(s for s in self.addons if s not in self.phone_addons)
+
 
 @dataclass(frozen=True)
 class FeatureParams:

@@ -44,7 +44,7 @@ def resolve_cutoff(orders: DataFrame, params: AdapterParams) -> dt.datetime:
 
 
 def _ts(value: dt.datetime):
-    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 def _lazy(df: DataFrame, name: str) -> DataFrame:
@@ -169,7 +169,8 @@ FLAT_SERVICE_ROLES = ServiceRoles(
     services=FLAT_SERVICES, phone="PhoneService", internet="InternetService",
     internet_held=("DSL", "Fiber optic"), fiber_status="Fiber optic",
     streaming=("StreamingTV", "StreamingMovies"),
-    protection=("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport"))
+    protection=("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport"),
+    phone_addons=("MultipleLines",))
 
 
 def to_flat_file(roles: Roles, services: ServiceRoles) -> DataFrame:
