@@ -10,8 +10,9 @@ join runs over classes:
 * Large sets scan inverted lists.  In one global order of shingles (frequent
   ones last) a pair that needs an overlap of o shares one of the first
   n - o + 1 shingles of either, so only those are indexed, with their places.
-  A pair is a candidate where both places are early enough for its own o, and
-  candidates are checked on their whole sets.
+  A pair is a candidate where both places are early enough for its own o.
+  Parity bitmaps bound a candidate's overlap from above; those that may still
+  link are checked on their whole sets.
 
 The boundary between small and large is the size at which the enumeration
 costs more than the lists, both taken from the histogram of sizes.
@@ -130,6 +131,27 @@ def boundary(sizes: dict[int, int]) -> int:
     return best
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set of n: bit i tells if an odd number of its values is i
+    modulo the number of bits, a power of two of 2n or more."""
+    bits = max(64, 1 << (2 * len(s)).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def may_link(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+    """False only if sets of ``n`` and ``m`` with those bitmaps can not link.
+
+    Common values cancel, so bitmaps differ in at most as many places as there
+    are values in just one of the sets.  The longer bitmap is folded first."""
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    spare = n + m - 2 * overlap(n, m)
+    return overlap(n, m) <= min(n, m) and int(np.bitwise_count(x ^ y).sum()) <= spare
+
+
 # --- passes over the texts --------------------------------------------------
 
 def _long(h: np.ndarray) -> pa.Array:
@@ -192,41 +214,60 @@ def _sets(rows: DataFrame, heavy: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, sig binary, prefix array<long>")
 
 
-def _whole_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, s): the whole sets of the rows with those ids, as bytes."""
+def _of_ids(rows: DataFrame, ids: DataFrame, code) -> DataFrame:
+    """(id, n, s) of the rows with those ids: the set's size and what ``code``
+    makes of it, as bytes."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            n, coded = [], []
+            for t in batch.column(1).to_pylist():
+                s = shingles(t)
+                n.append(len(s))
+                coded.append(code(s).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.binary())],
+                ["id", "n", "s"])
 
     return with_ids(rows, ids, "id").select("id", "text") \
-        .mapInArrow(run, "id long, s binary")
+        .mapInArrow(run, "id long, n long, s binary")
 
 
-def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose whole sets link, written."""
-    pairs = materialize(pairs, "pairs")
+def _hold(rows: DataFrame, pairs: DataFrame, name: str, code, test) -> DataFrame:
+    """Those of the written ``pairs`` (a, b) for which ``test(n, s, m, t)``
+    holds on what ``code`` makes of the two sets; written.  The pairs go."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = materialize(_whole_sets(rows, ids), "sets")
+    coded = materialize(_of_ids(rows, ids, code), f"{name}_sets")
 
     def run(batches):
         for batch in batches:
-            yes = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
+            yes = pa.array([test(n, s, m, t) for n, s, m, t in
+                            zip(*(batch.column(i).to_pylist() for i in range(2, 6)))], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(yes, pa.bool_())),
-                 batch.column(1).filter(pa.array(yes, pa.bool_()))], ["a", "b"])
+                [batch.column(0).filter(yes), batch.column(1).filter(yes)], ["a", "b"])
 
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"))
-    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b")
-                        .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
-    discard(pairs, ids, sets)
-    return links
+    side = lambda k: coded.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"),
+                                  F.col("s").alias(f"s{k}"))
+    out = materialize(pairs.join(side("a"), "a").join(side("b"), "b")
+                      .select("a", "b", "na", "sa", "nb", "sb")
+                      .mapInArrow(run, "a long, b long").distinct(), name)
+    discard(pairs, ids, coded)
+    return out
+
+
+def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose whole sets link, written."""
+
+    def near(n, s, m, t):
+        return may_link(n, np.frombuffer(s, np.uint8), m, np.frombuffer(t, np.uint8))
+
+    def linked(n, s, m, t):
+        both = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64),
+                                  assume_unique=True))
+        return both > 0 and DEN * both >= NUM * (n + m - both)
+
+    close = _hold(rows, materialize(pairs, "pairs"), "close", parity, near)
+    return _hold(rows, close, "links", lambda s: s, linked)
 
 
 def _room(n: Column, at: Column) -> Column:
@@ -277,7 +318,8 @@ def _small_links(classes: DataFrame, below: int) -> DataFrame:
 # --- the join ---------------------------------------------------------------
 
 def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
-    """(node, component) of the classes that link to another one."""
+    """(node, component) of the classes that link to another one.  The written
+    ``classes`` go as soon as nothing reads them."""
     entries = (classes.filter(F.col("n") >= needed(below))
                .select("id", "n", F.posexplode("prefix").alias("at", "h")))
     lists = Window.partitionBy("h")
@@ -291,7 +333,9 @@ def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
     stars = entries.filter("p1 is not null") \
         .select("id", "n", F.explode(F.array("p1", "p2")).alias("b")).filter("id <> b") \
         .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    edges = _small_links(classes, below).unionByName(_links(rows, stars))
+    starred = _links(rows, stars)
+    edges = materialize(_small_links(classes, below).unionByName(starred), "edges")
+    discard(starred, classes)
     near = connected_components(edges)
 
     tagged = entries.select("h", "id", "n", _room(F.col("n"), F.col("at")).alias("room")).join(
@@ -316,7 +360,9 @@ def _components(rows: DataFrame, classes: DataFrame, below: int) -> DataFrame:
         .filter(fit("a", "b") & fit("b", "a")).select("a", "b").distinct()
     found = _links(rows, pairs)
     discard(tagged)
-    return connected_components(edges.unionByName(found))
+    out = connected_components(edges.unionByName(found))
+    discard(edges, found)
+    return out
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -332,12 +378,16 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sets = materialize(_sets(rows, _heavy(rows, "text")), "sets")
     linkable = sets.filter("n > 0 and id is not null")
-    # equal sets are one class, named by its smallest id
-    named = linkable.groupBy("sig").agg(F.min("id").alias("rep"))
-    # rows of a class agree in n and prefix, so any of them will do
+    # equal sets are one class, named by its smallest id; its rows agree in n
+    # and prefix, so any of them will do
     classes = materialize(linkable.groupBy("sig").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .drop("sig"), "classes")
+    # from here on the prefixes are only needed once per class
+    wide, sets = sets, materialize(sets.drop("prefix"), "sizes")
+    discard(wide)
+    linkable = sets.filter("n > 0 and id is not null")
+    named = linkable.groupBy("sig").agg(F.min("id").alias("rep"))
     sizes = {r["n"]: r["count"] for r in
              classes.filter(F.col("n") <= 2 * MAX_SMALL).groupBy("n").count().collect()}
     comps = _components(rows, classes, boundary(sizes))

@@ -133,3 +133,19 @@ def test_one_per_group(spark):
     out = ngram_join.one_per_group(df)
     assert out.columns == df.columns
     assert sorted(repr(r["doc_id"]) for r in out.collect()) == ["3", "4", "6", "6", "None"]
+
+
+def test_bitmaps_only_drop_pairs_that_can_not_link():
+    rnd = np.random.default_rng(3)
+    dropped = 0
+    for _ in range(3000):
+        n, m = int(rnd.integers(1, 300)), int(rnd.integers(1, 300))
+        both = int(rnd.integers(0, min(n, m) + 1)) if rnd.random() < 0.5 else min(n, m) * 9 // 10
+        v = rnd.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        s, t = np.unique(v[:n]), np.unique(v[n - both:])
+        common = len(np.intersect1d(s, t))
+        links = 100 * common >= 75 * (len(s) + len(t) - common) and common > 0
+        may = ngram_join.may_link(len(s), ngram_join.parity(s), len(t), ngram_join.parity(t))
+        assert may or not links
+        dropped += not may
+    assert dropped > 1000
