@@ -75,20 +75,24 @@ def scenario_selection(cv: DataFrame, econ: Economics, catalog: OfferCatalog,
                              ltv=F.col("ltv") * F.col("ltv_ratio"))
     # only what the per-scenario prefix and totals need crosses the range exchange
     narrow = assigned.select("scenario_id", "customer_id", "budget", "offer", "offer_cost",
-                             "offer_net", "roi_per_rupee", "eligible")
+                             "offer_net", "roi_per_rupee", "eligible",
+                             (F.col("churn_proba") * F.col("offer_acceptance"))
+                             .alias("expected_saves"))
     return greedy_roi(narrow, F.col("budget"), by=["scenario_id"])
 
 
 def scenario_results(cv: DataFrame, econ: Economics, catalog: OfferCatalog,
                      sw: SweepParams) -> DataFrame:
-    """One row per scenario: contacts, spend, net, utilisation, cost per save,
-    offer mix (D14, D15, D18, D19, D20)."""
+    """One row per scenario: contacts, spend, net, utilisation, cost per
+    expected save of the selection under the scenario's own acceptance, offer
+    mix (D14, D15, D18, D19, D20)."""
     scens = scenario_table(econ, sw)
     sel = scenario_selection(cv, econ, catalog, scens)
     names = [o.name for o in catalog.offers]
     agg = sel.groupBy("scenario_id").agg(
         F.count(F.lit(1)).alias("n_contacted"),
         F.sum("offer_cost").alias("_spend"), F.sum("offer_net").alias("_net"),
+        F.sum("expected_saves").alias("_saves"),
         *[F.count_if(F.col("offer") == n).alias(f"n_offer_{i}") for i, n in enumerate(names)])
     spark = cv.sparkSession
     meta = spark.createDataFrame(
@@ -106,7 +110,7 @@ def scenario_results(cv: DataFrame, econ: Economics, catalog: OfferCatalog,
         fround(F.coalesce("_net", F.lit(0.0)), 2).alias("net_retained"),
         F.when(F.col("budget") > 0, fround(spend / F.col("budget") * 100, 1))
         .otherwise(0.0).alias("utilisation_pct"),
-        F.when(n > 0, fround(spend / (n * econ.acceptance_rate), 2)).alias("cost_per_save"),
+        fround(F.try_divide(F.col("_spend"), F.col("_saves")), 2).alias("cost_per_save"),
         *[F.coalesce(f"n_offer_{i}", F.lit(0)).cast("long").alias(f"n_offer_{i}")
           for i in range(len(names))])
 

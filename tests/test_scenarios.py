@@ -81,3 +81,9 @@ def test_crossed_scenarios_equal_single_runs(spark):
         assert res[s.sid]["n_contacted"] == n
         assert math.isclose(res[s.sid]["net_retained"], math.floor(net * 100 + 0.5) / 100,
                             abs_tol=1e-6)
+        saves = sel.agg(F.sum(F.col("churn_proba") * F.col("offer_acceptance"))).first()[0]
+        if saves:
+            spend = sel.agg(F.sum("offer_cost")).first()[0]
+            assert math.isclose(res[s.sid]["cost_per_save"], spend / saves, abs_tol=0.0051)
+        else:
+            assert res[s.sid]["cost_per_save"] is None
