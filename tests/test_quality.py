@@ -28,6 +28,11 @@ def test_duplicate_key_domain_and_biconditional(spark):
     assert dup == 1
     bad = QC.domain_violations(acct, "contract_type", QualityParams().contract_domain)
     assert [r[0] for r in bad.collect()] == ["Weekly"]
+    counts = QC._bad_values(
+        acct.unionByName(acct.limit(1).withColumn("contract_type", F.lit(None).cast("string"))),
+        {"contract_type": QualityParams().contract_domain,
+         "payment_method": QualityParams().payment_domain}).first()
+    assert counts["bad_contract_type"] == 2 and counts["bad_payment_method"] == 0
     cust = spark.createDataFrame([("a", "Female")], "customer_id string, gender string")
     acc = {r["name"]: r for r in QC.accuracy(acct, cust, QualityParams()).collect()}
     assert acc["domain:contract_type"]["passed"] is False
