@@ -1,9 +1,9 @@
 """Assumption sweeps as one crossed job.
 
-Every customer row is expanded into one row per scenario (a generator over a
-parameter array: the factor is the number of scenarios, not a data size);
-offers, eligibility and the ROI-greedy budget prefix are computed per
-scenario with the scenario id as the group of the distributed running sum.
+Every customer row is expanded into one row per distinct offer assignment (a
+generator over a parameter array: the factor is a number of parameters, not a
+data size); offers, eligibility and the ROI-greedy running cost are computed
+per assignment, and every scenario takes its budget's prefix of it.
 """
 
 from __future__ import annotations
@@ -56,29 +56,45 @@ def scenario_table(econ: Economics, sw: SweepParams) -> list[Scenario]:
     return out
 
 
-def _scenario_array(scens: list[Scenario], base_margin: float):
-    return F.array(*[F.struct(
-        F.lit(s.sid).alias("scenario_id"), F.lit(s.acceptance_scale).alias("acc_scale"),
-        F.lit(s.cost_multiplier).alias("cost_mult"),
-        F.lit(s.margin / base_margin).alias("ltv_ratio"),
-        F.lit(s.budget).alias("budget")) for s in scens])
+def _assignments(scens: list[Scenario]) -> list[list[Scenario]]:
+    """Scenarios grouped by what decides their offers: members of a group
+    differ in the budget only."""
+    groups: dict[tuple, list[Scenario]] = {}
+    for s in scens:
+        groups.setdefault((s.acceptance_scale, s.cost_multiplier, s.margin), []).append(s)
+    return list(groups.values())
 
 
 def scenario_selection(cv: DataFrame, econ: Economics, catalog: OfferCatalog,
                        scens: list[Scenario]) -> DataFrame:
-    """Selected rows for every scenario, computed in one job."""
+    """Selected rows for every scenario, computed in one job.
+
+    Scenarios that differ in their budget only share one offer assignment and
+    one running cost, up to the largest of their budgets; each then takes its
+    own prefix of it.
+    """
+    groups = _assignments(scens)
+    assignments = F.array(*[F.struct(
+        F.lit(i).alias("assignment_id"), F.lit(g[0].acceptance_scale).alias("acc_scale"),
+        F.lit(g[0].cost_multiplier).alias("cost_mult"),
+        F.lit(g[0].margin / econ.gross_margin).alias("ltv_ratio"),
+        F.lit(max(s.budget for s in g)).alias("budget")) for i, g in enumerate(groups)])
+    members = F.array(*[F.array(*[F.struct(
+        F.lit(s.sid).alias("scenario_id"), F.lit(s.budget).alias("scenario_budget"))
+        for s in g]) for g in groups])
     x = cv.select("customer_id", "churn_proba", "ltv", "protection_count",
-                  F.explode(_scenario_array(scens, econ.gross_margin)).alias("s")
-                  ).select("*", "s.*").drop("s")
+                  F.inline(assignments))
     assigned = assign_offers(x, catalog, scale=F.col("acc_scale"),
                              cost_mult=F.col("cost_mult"),
                              ltv=F.col("ltv") * F.col("ltv_ratio"))
-    # only what the per-scenario prefix and totals need crosses the range exchange
-    narrow = assigned.select("scenario_id", "customer_id", "budget", "offer", "offer_cost",
+    # only what the prefix and the totals need crosses the range exchange
+    narrow = assigned.select("assignment_id", "customer_id", "budget", "offer", "offer_cost",
                              "offer_net", "roi_per_rupee", "eligible",
                              (F.col("churn_proba") * F.col("offer_acceptance"))
                              .alias("expected_saves"))
-    return greedy_roi(narrow, F.col("budget"), by=["scenario_id"])
+    longest = greedy_roi(narrow, F.col("budget"), by=["assignment_id"])
+    return longest.select("*", F.inline(F.get(members, F.col("assignment_id")))) \
+        .filter(F.col("cum_cost") <= F.col("scenario_budget"))
 
 
 def scenario_results(cv: DataFrame, econ: Economics, catalog: OfferCatalog,
