@@ -46,16 +46,27 @@ def power_table(contacts: DataFrame, proba: str = "churn_proba",
                     (need <= per_arm).alias("feasible"))
 
 
+def net_revenue(outcome: str = "churned", revenue: str = "ltv", cost: str = "offer_cost"):
+    """Revenue of a customer who stays, less the offer's cost if treated."""
+    return ((1.0 - F.col(outcome).cast("double")) * F.col(revenue)
+            - F.when(F.col("arm") == "treatment", F.col(cost)).otherwise(0.0))
+
+
 def readout(assigned: DataFrame, outcome: str = "churned", arpu: str = "monthly_charges",
-            arpu_floor: float = 0.95) -> DataFrame:
+            arpu_floor: float = 0.95, revenue: str = "ltv", cost: str = "offer_cost") -> DataFrame:
     """Two-proportion z-test on the outcome by arm (B3) and a pre-registered
-    ship / iterate / kill label with an ARPU guardrail (B6)."""
+    ship / iterate / kill label (B6).  To ship, churn must fall significantly,
+    the 95 % interval of the difference in net revenue per customer must lie
+    above zero, and ARPU must hold; without the first two it is "iterate"."""
     t, c = F.col("arm") == "treatment", F.col("arm") == "control"
     y = F.col(outcome).cast("double")
+    net = net_revenue(outcome, revenue, cost)
     a = assigned.agg(
         F.count(F.when(t, 1)).alias("n_t"), F.count(F.when(c, 1)).alias("n_c"),
         F.avg(F.when(t, y)).alias("p_t"), F.avg(F.when(c, y)).alias("p_c"),
         F.avg(y).alias("p_pool"),
+        *[f(F.when(arm, net)).alias(f"{name}_{k}") for k, arm in (("t", t), ("c", c))
+          for name, f in (("net", F.avg), ("var", F.var_samp), ("m", F.count))],
         F.avg(F.when(t, F.col(arpu))).alias("arpu_t"), F.avg(F.when(c, F.col(arpu))).alias("arpu_c"))
     se = F.sqrt(F.col("p_pool") * (1 - F.col("p_pool"))
                 * (1.0 / F.col("n_t") + 1.0 / F.col("n_c")))
@@ -63,12 +74,19 @@ def readout(assigned: DataFrame, outcome: str = "churned", arpu: str = "monthly_
     arpu_ratio = F.try_divide(F.col("arpu_t"), F.col("arpu_c"))
     sig = F.abs(z) >= Z_ALPHA
     ok = arpu_ratio >= arpu_floor
-    decision = (F.when(sig & (F.col("p_t") < F.col("p_c")) & ok, "ship")
+    gain = F.col("net_t") - F.col("net_c")
+    half = Z_ALPHA * F.sqrt(F.try_divide("var_t", "m_t") + F.try_divide("var_c", "m_c"))
+    decision = (F.when(sig & (F.col("p_t") < F.col("p_c")) & ok & (gain - half > 0), "ship")
                 .when((F.col("p_t") < F.col("p_c")) & ok, "iterate").otherwise("kill"))
     return a.select("n_t", "n_c", fround("p_t", 4).alias("churn_treatment"),
                     fround("p_c", 4).alias("churn_control"),
                     fround(F.col("p_t") - F.col("p_c"), 4).alias("abs_diff"),
+                    fround(F.try_divide(F.col("p_t") - F.col("p_c"), F.col("p_c")), 4)
+                    .alias("rel_diff"),
                     fround(z, 4).alias("z"), F.coalesce(sig, F.lit(False)).alias("significant"),
+                    fround(gain, 2).alias("net_revenue_diff"),
+                    fround(gain - half, 2).alias("net_revenue_ci_low"),
+                    fround(gain + half, 2).alias("net_revenue_ci_high"),
                     fround(arpu_ratio, 4).alias("arpu_ratio"), decision.alias("decision"))
 
 

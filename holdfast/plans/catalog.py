@@ -568,7 +568,8 @@ def q_ab_itt_wald(c: Context) -> DataFrame:
 
 @register("ab_bootstrap", "B4")
 def q_ab_bootstrap(c: Context) -> DataFrame:
-    return XP.bootstrap_diff(_arms(c), "churned", seed=c.settings.seed)
+    return XP.bootstrap_diff(_arms(c).withColumn("net_revenue", XP.net_revenue()),
+                             "net_revenue", seed=c.settings.seed)
 
 
 # ---------------------------------------------------------------- sinks
