@@ -71,7 +71,10 @@ def fit(labelled: DataFrame, per_language: int = 2_000, max_languages: int = 64,
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = (rows.filter(F.col("lang").isin(top)).select("id", "lang")
            .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language))
-    sample = rows.join(ids.select("id", "lang"), ["id", "lang"], "left_semi")
+    # at most per_language x max_languages pairs of two longs, so the texts stay where they are
+    few = F.broadcast(ids.select(F.col("id").alias("i"), F.xxhash64("lang").alias("l")))
+    sample = rows.join(few, (F.col("id") == F.col("i")) & (F.xxhash64("lang") == F.col("l")),
+                       "left_semi")
 
     def count(batches):
         got: dict[str, np.ndarray] = {}
