@@ -99,9 +99,11 @@ def fit(labelled: DataFrame, per_language: int = 2_000, max_languages: int = 64,
     return Model(langs, np.log(n / n.sum(axis=0)))
 
 
-def text_evidence(docs: DataFrame, model: Model, text: str, temper: float) -> DataFrame:
-    """``docs`` with __ll (log likelihood of the text per language, the last
-    for no language, each relative to the best) and __letters (bytes of words).
+def text_evidence(docs: DataFrame, model: Model, text: str, temper: float,
+                  columns: list[str]) -> DataFrame:
+    """The ``columns`` of ``docs`` with __ll (log likelihood of the text per
+    language, the last for no language, each relative to the best) and
+    __letters (bytes of words).
 
     N-grams overlap, so their sum is tempered by ``temper``; at 0.25 the four
     that end at a character count as one observation.
@@ -119,12 +121,13 @@ def text_evidence(docs: DataFrame, model: Model, text: str, temper: float) -> Da
                 ll.append(((s - s.max()) * temper).tolist())
                 size.append(len(raw))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ll, pa.list_(pa.float64())), pa.array(size, pa.int64())],
-                [*batch.schema.names, "__ll", "__letters"])
+                [*(batch.column(c) for c in columns), pa.array(ll, pa.list_(pa.float64())),
+                 pa.array(size, pa.int64())], [*columns, "__ll", "__letters"])
 
-    schema = docs.withColumns({"__ll": F.array().cast("array<double>"),
-                               "__letters": F.lit(0).cast("long")}).schema
-    return docs.mapInArrow(run, schema)
+    plain = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, text])])
+    schema = plain.select(*[F.col(f"`{c}`") for c in columns]).withColumns(
+        {"__ll": F.array().cast("array<double>"), "__letters": F.lit(0).cast("long")}).schema
+    return plain.mapInArrow(run, schema)
 
 
 def _counts(rows: DataFrame, key: str, k: int) -> DataFrame:
@@ -137,9 +140,10 @@ def _counts(rows: DataFrame, key: str, k: int) -> DataFrame:
 def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column | None = None,
              suffix: Column | None = None, host: Column | None = None,
              domain: Column | None = None, temper: float = 0.25, strength: float = 20.0,
-             min_posterior: float = 0.5) -> DataFrame:
+             min_posterior: float = 0.5, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with lang_id, lang_posterior, lang_text (the text's own vote)
-    and lang_kept.
+    and lang_kept.  With ``columns``, only those of ``docs`` are kept and
+    written on the way; whole texts need not be.
 
     Evidence that is null is left out.  A document is rejected (lang_kept
     false, lang_id null) if its text has no letters or if no language reaches
@@ -150,6 +154,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
     empty table gives no row; other columns are kept.
     """
     k = len(model.languages) + 1
+    columns = docs.columns if columns is None else columns
     null = F.lit(None).cast("string")
     code = F.lower(F.substring(F.trim(declared if declared is not None else null), 1, 2))
     rows = docs.withColumns({
@@ -159,7 +164,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
         "__host": (host if host is not None else null),
         "__domain": (domain if domain is not None else null)})
     seen = materialize(
-        text_evidence(rows, model, text, temper).withColumn(
+        text_evidence(rows, model, text, temper, [
+            *columns, "__declared", "__suffix", "__host", "__domain"]).withColumn(
             "__map", F.when(F.col("__letters") > 0,
                             F.array_position("__ll", F.array_max("__ll")).cast("int") - 1)),
         "text_evidence")
@@ -208,7 +214,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
                lambda a, x: a + x)))
     kept = (F.col("__letters") > 0) & (F.col("__at") < k) & (F.col("__post") >= min_posterior)
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in columns],
         F.when(kept, F.get(names, F.col("__at") - 1)).alias("lang_id"),
         F.round("__post", 6).alias("lang_posterior"),
         F.when(F.col("__map") < k - 1, F.get(names, F.col("__map"))).alias("lang_text"),
@@ -231,11 +237,13 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
         "__domain_of": F.substring_index(host, ".", -2)})
 
 
-def identify_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def identify_documents(docs: DataFrame, model: Model | None = None,
+                       columns: list[str] | None = None) -> DataFrame:
     """:func:`identify` for (doc_id, text, lang, source) documents: ``lang``
     is what they declare, ``source`` their host.  Without a model one is
     fitted on them."""
-    return identify(docs, model or fit(docs), "text", declared=F.col("lang"), host=F.col("source"))
+    return identify(docs, model or fit(docs), "text", declared=F.col("lang"), host=F.col("source"),
+                    columns=columns)
 
 
 def identify_pages(pages: DataFrame, model: Model) -> DataFrame:
@@ -244,5 +252,5 @@ def identify_pages(pages: DataFrame, model: Model) -> DataFrame:
     p = page_evidence(pages)
     return identify(p, model, "__text", declared=F.col("__declared_lang"),
                     suffix=F.col("__suffix_of"), host=F.col("__host_of"),
-                    domain=F.col("__domain_of")) \
+                    domain=F.col("__domain_of"), columns=["page_id"]) \
         .select("page_id", "lang_id", "lang_posterior", "lang_text", "lang_kept")

@@ -40,7 +40,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return language_id.identify_documents(docs).drop("text")
+    return language_id.identify_documents(docs, columns=["doc_id", "lang", "source"])
 
 
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
