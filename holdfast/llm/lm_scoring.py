@@ -1,21 +1,25 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Tokens are words and one end per document.  Smoothed n-grams are states with
-failure arcs: a state is a history of frequent words, an arc carries the log
+failure arcs: a state is a history of one or two words, an arc carries the log
 probability of a token seen after it, and the failure arc leads to the history
-without its oldest word at the cost of the backoff weight.  A text is scored
-in one traversal from left to right that carries the state.
+without its oldest word at the cost of the backoff weight.  The state before a
+token is the history that the tokens to its left have led to; the failure arcs
+are walked for all tokens of a block at once.
 
-The model is an interpolated absolute-discounting one of order three.  All
-words have unigrams; what their discount leaves belongs to the unknown word,
-so the model spreads over the training vocabulary and one unknown word, as the
-add-one base does.  Longer n-grams consist of frequent words (at least one
-token in ``frequent``), of which there can be no more than ``frequent``.
+The model is an interpolated absolute-discounting one of order three over all
+words: every word, bigram and trigram of the training documents counts.  What
+the discount leaves to the unigrams belongs to the unknown word, so the model
+spreads over the training vocabulary and one unknown word, as the add-one base
+does.
 
 The model grows with the corpus and is never sent whole.  Documents are dealt
 into blocks; a block keeps its texts as numbers of its own vocabulary, gets
-the corpus counts of exactly its words and n-grams by joins, and builds its
-own part of the automaton.
+the corpus counts of exactly its words and n-grams, and builds its own part of
+the automaton.  N-grams are known by the numbers of their words in a written
+vocabulary, so they are exact.  A block sends its n-grams as packed messages,
+one per slice of all n-grams (dealt by hash, so no frequent history makes a
+large slice), and gets counts back in the order it sent them.
 """
 
 from __future__ import annotations
@@ -32,9 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 END = b""                      # no word is empty
-BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 24
-BITS = 10                      # of a frequent word's number; FREQUENT is below 2**BITS
-FREQUENT = 1000
+BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
+SLICE_TOKENS, MIN_SLICES = 1 << 19, 64
 DISCOUNT = 0.75                # of n-grams of two or three words
 
 _ROW = ("block long, kind int, doc_id long, held_out boolean, ids binary, word binary, "
@@ -104,44 +107,54 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """(block, number, word, total, leader): corpus counts of every block's
-    words; one block per word is its leader."""
-    same = Window.partitionBy("word")
-    return rows.filter("kind = 1").select(
-        "block", "number", "word", F.sum("n").over(same).alias("total"),
-        (F.col("block") == F.min("block").over(same)).alias("leader"))
-
-
-# --- n-grams of frequent words ----------------------------------------------
-# key: order - 1 above 3 * BITS, then the words' numbers, the oldest first
-
-def _key(*words: np.ndarray) -> np.ndarray:
-    k = np.full(len(words[0]), len(words) - 1, np.int64)
-    k <<= BITS * (3 - len(words))
-    for w in words:
-        k = (k << BITS) | w
-    return k
-
-
-def _keys(f: np.ndarray) -> np.ndarray:
-    """Keys of all n-grams of frequent words in a document of frequent-word
-    numbers (-1: not frequent)."""
-    ok = f >= 0
-    two = ok[:-1] & ok[1:]
-    three = two[:-1] & ok[2:] if len(f) > 2 else two[:0]
-    i, j, m = np.flatnonzero(ok), np.flatnonzero(two), np.flatnonzero(three)
-    return np.concatenate([_key(f[i]), _key(f[j], f[j + 1]), _key(f[m], f[m + 1], f[m + 2])])
-
-
-def _grouped(rows: DataFrame, *more: DataFrame) -> DataFrame:
-    """Everything about a block in one group: documents, and rows (number, a,
-    b, c) of other kinds."""
-    out = rows.filter("kind = 0").select(
-        "block", "kind", "doc_id", "held_out", "ids",
-        *[F.lit(None).cast("long").alias(c) for c in ("number", "a", "b", "c")])
-    for df in more:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out.groupBy("block")
+    """(word, total, number) of all training words, numbered from 0: within a
+    written partition, and by one offset per partition."""
+    at = F.monotonically_increasing_id()
+    words = materialize(
+        rows.filter("kind = 1").groupBy("word").agg(F.sum("n").alias("total"))
+        .filter("total > 0").select("word", "total", F.shiftright(at, 33).alias("part"),
+                                    at.bitwiseAND((1 << 33) - 1).alias("at")), "lm_vocabulary")
+    sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("size"))   # one row per partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("off"))
+    return words.join(F.broadcast(offsets), "part").select(
+        "word", "total", (F.col("off") + F.col("at")).alias("number"))
+
+
+# --- n-grams -----------------------------------------------------------------
+# a history (u,) is the number u, a history (u, v) is (u + 1) << 32 | v
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Integer columns of one length, byte planes one after another."""
+    parts = [np.int64(len(columns[0])).tobytes()]
+    for c in columns:
+        c = np.ascontiguousarray(c, np.int64)
+        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes())
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(raw, np.uint8, offset=8)
+    return [np.ascontiguousarray(p.reshape(8, n).T).view(np.int64).reshape(n)
+            for p in (planes.reshape(-1, 8 * n) if n else [])]
+
+
+def _slice(history: np.ndarray, word: np.ndarray | int, slices: int) -> np.ndarray:
+    h = history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h = (h + np.asarray(word).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return (h % np.uint64(slices)).astype(np.int64)
+
+
+def _dealt(of: np.ndarray):
+    """(slice, positions in it), in order."""
+    order = np.argsort(of, kind="stable")
+    which, start = np.unique(of[order], return_index=True)
+    return zip(which.tolist(), np.split(order, start[1:]))
 
 
 def _column(table: pa.Table, kind: int, name: str) -> np.ndarray:
@@ -151,29 +164,149 @@ def _column(table: pa.Table, kind: int, name: str) -> np.ndarray:
     return pc.fill_null(t, -1).to_numpy(zero_copy_only=False)
 
 
-def _documents(table: pa.Table):
-    import pyarrow.compute as pc
+class Block:
+    """Documents of a block and its distinct n-grams of two and three words,
+    in an order that depends on nothing else."""
+
+    def __init__(self, table: pa.Table):
+        import pyarrow.compute as pc
+
+        self.block = table.column("block")[0].as_py()
+        docs = table.filter(pc.equal(table.column("kind"), 0))
+        self.doc_id, self.held = (docs.column(c).to_pylist() for c in ("doc_id", "held_out"))
+        ids = [np.frombuffer(b, np.int32) for b in docs.column("ids").to_pylist()]
+        self.size = np.array([len(i) for i in ids], np.int64)
+        self.ids = np.concatenate(ids).astype(np.int64)
+        number = _column(table, 1, "number")
+        self.words = int(number.max()) + 1
+        self.total = np.zeros(self.words, np.int64)
+        self.total[number] = _column(table, 1, "b")
+        self.name = np.full(self.words, -1, np.int64)      # -1: in no n-gram
+        self.name[number] = _column(table, 1, "a")
+
+        first = np.zeros(len(self.ids), bool)
+        first[np.cumsum(self.size)[:-1]] = first[0] = True
+        trains = np.repeat(~np.array(self.held, bool), self.size)
+        g = self.name[self.ids]
+        at = np.flatnonzero(~first[1:] & (g[1:] >= 0) & (g[:-1] >= 0)) + 1
+        keys, one, inverse = np.unique(g[at - 1] << 32 | g[at], return_index=True,
+                                       return_inverse=True)
+        #: the n-gram that ends at a position, or -1
+        self.two = np.full(len(self.ids), -1, np.int64)
+        self.two[at] = inverse
+        self.b_first, self.b_last = self.ids[at[one] - 1], self.ids[at[one]]
+        b_n = np.bincount(inverse[trains[at]], minlength=len(keys))
+        at = at[(self.two[at - 1] >= 0) & ~first[at]]
+        keys3, one, inverse = np.unique(self.two[at - 1] << 32 | g[at], return_index=True,
+                                        return_inverse=True)
+        self.t_history, self.t_lower = self.two[at[one] - 1], self.two[at[one]]
+        self.t_last = self.ids[at[one]]
+        t_n = np.bincount(inverse[trains[at]], minlength=len(keys3))
+        mask = (1 << 32) - 1
+        self.pairs = keys + (1 << 32)                       # bigrams as histories
+        self.history = np.concatenate([keys >> 32, self.pairs[self.t_history]])
+        self.last = np.concatenate([keys & mask, keys3 & mask])
+        self.n = np.concatenate([b_n, t_n])
+
+    def histories(self) -> np.ndarray:
+        """Words, then bigrams, that can be histories; words in no n-gram have
+        the number -1."""
+        return np.concatenate([self.name, self.pairs])
+
+    def back(self, table: pa.Table, kind: int, of: np.ndarray, columns: int) -> list[np.ndarray]:
+        """What the slices have answered, in the order of what was sent."""
+        import pyarrow.compute as pc
+
+        t = table.filter(pc.equal(table.column("kind"), kind))
+        data = dict(zip(t.column("number").to_pylist(), t.column("ids").to_pylist()))
+        out = [np.zeros(len(of), np.int64) for _ in range(columns)]
+        for s, at in _dealt(of):
+            if s >= 0:
+                for o, c in zip(out, _unpack(data[s])):
+                    o[at] = c
+        return out
+
+    def gram_slices(self, slices: int) -> np.ndarray:
+        return _slice(self.history, self.last, slices)
+
+    def history_slices(self, slices: int) -> np.ndarray:
+        h = self.histories()
+        return np.where(h >= 0, _slice(h, 0, slices), -1)
+
+    def history_index(self) -> np.ndarray:
+        """The place in :meth:`histories` of every n-gram's history."""
+        return np.concatenate([self.b_first, self.words + self.t_history])
+
+    def messages(self, of: np.ndarray, *columns: np.ndarray) -> pa.Table:
+        rows = [(s, self.block, _pack(*(c[at] for c in columns))) for s, at in _dealt(of) if s >= 0]
+        s, b, d = zip(*rows) if rows else ((), (), ())
+        return _messages(s, b, d)
+
+
+def _messages(slices, blocks_, data) -> pa.Table:
+    return pa.table([pa.array(slices, pa.int64()), pa.array(blocks_, pa.int64()),
+                     pa.array(data, pa.binary())], ["slice", "block", "data"])
+
+
+_MESSAGE = "slice long, block long, data binary"
+
+
+def block_grams(table: pa.Table, slices: int) -> pa.Table:
+    """Messages of one block: its n-grams with their counts in its training
+    documents."""
+    b = Block(table)
+    return b.messages(b.gram_slices(slices), b.history, b.last, b.n)
+
+
+def _of_slice(table: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
+    """Blocks in order, where each one's part ends, and all columns."""
+    t = table.sort_by("block")
+    parts = [_unpack(d) for d in t.column("data").to_pylist()]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    return t.column("block").to_pylist(), ends[:-1], [np.concatenate(c) for c in zip(*parts)]
+
+
+def _answers(table: pa.Table, of: list[int], ends: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    parts = zip(*(np.split(c, ends) for c in columns))
+    return _messages([table.column("slice")[0].as_py()] * len(of), of, [_pack(*p) for p in parts])
+
+
+def _summed(inverse: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, inverse, n)
+    return out
+
+
+def slice_grams(table: pa.Table) -> pa.Table:
+    """To every block of a slice, in its order: the n-grams' corpus counts,
+    and whether it is the first of the blocks that trained them."""
+    of, ends, (history, last, n) = _of_slice(table)
+    rank = np.unique(history, return_inverse=True)[1]
+    keys, inverse = np.unique(rank << 32 | last, return_inverse=True)
+    total = _summed(inverse, n, len(keys))
+    trained = np.flatnonzero(n > 0)
+    leads = np.zeros(len(n), np.int64)
+    leads[trained[np.unique(inverse[trained], return_index=True)[1]]] = 1
+    return _answers(table, of, ends, total[inverse], leads)
 
-    t = table.filter(pc.equal(table.column("kind"), 0))
-    for d, held, ids in zip(*(t.column(c).to_pylist() for c in ("doc_id", "held_out", "ids"))):
-        yield d, held, np.frombuffer(ids, np.int32)
 
+def block_histories(table: pa.Table, slices: int) -> pa.Table:
+    """Messages of one block: its histories, how often its training documents
+    go on after them, and how many n-grams with them it leads."""
+    b = Block(table)
+    _, leads = b.back(table, 2, b.gram_slices(slices), 2)
+    h, at = b.histories(), b.history_index()
+    return b.messages(b.history_slices(slices), h, _summed(at, b.n, len(h)),
+                      _summed(at, leads, len(h)))
 
-def block_grams(table: pa.Table) -> pa.Table:
-    """(block, key, n) of one block: its n-grams of frequent words with their
-    counts in its training documents."""
-    number, f = _column(table, 1, "number"), _column(table, 1, "a")
-    frequent = np.full(int(number.max()) + 1, -1, np.int64)
-    frequent[number] = f
-    seen = {False: [np.zeros(0, np.int64)], True: [np.zeros(0, np.int64)]}
-    for _, held, ids in _documents(table):
-        seen[held].append(_keys(frequent[ids]))
-    trained, n = np.unique(np.concatenate(seen[False]), return_counts=True)
-    only = np.setdiff1d(np.concatenate(seen[True]), trained)
-    keys = np.concatenate([trained, only])
-    block = table.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(keys), pa.int64()), "key": pa.array(keys),
-                     "n": pa.array(np.concatenate([n, np.zeros(len(only), np.int64)]))})
+
+def slice_histories(table: pa.Table) -> pa.Table:
+    """To every block of a slice: how often the corpus goes on after its
+    histories, and with how many different words."""
+    of, ends, (history, n, kinds) = _of_slice(table)
+    keys, inverse = np.unique(history, return_inverse=True)
+    return _answers(table, of, ends, _summed(inverse, n, len(keys))[inverse],
+                    _summed(inverse, kinds, len(keys))[inverse])
 
 
 class Automaton:
@@ -186,65 +319,67 @@ class Automaton:
 
     def __init__(self, unigram: np.ndarray, grams: dict[tuple, int],
                  follow: dict[tuple, tuple[int, int]], discount: float = DISCOUNT):
+        w = len(unigram)
+        pairs = {g: i for i, g in enumerate(g for g in grams if len(g) == 2)}
+        triples = [g for g in grams if len(g) == 3]
+        histories = [(t,) for t in range(w)] + list(pairs)
+        column = lambda x: np.array(x, np.int64)
+        self._build(unigram, column([g[0] for g in pairs]), column([g[1] for g in pairs]),
+                    column([pairs[g[:2]] for g in triples]), column([g[2] for g in triples]),
+                    column([pairs[g[1:]] for g in triples]),
+                    *(column([grams.get(g, 0) for g in x]) for x in (histories, triples)),
+                    *(column([follow.get(h, (0, 0))[i] for h in histories]) for i in (0, 1)),
+                    discount)
+
+    @classmethod
+    def of(cls, *columns) -> Automaton:
+        out = cls.__new__(cls)
+        out._build(*columns)
+        return out
+
+    def _build(self, unigram, b_first, b_last, t_history, t_last, t_lower, count, t_count,
+               follow_n, follow_k, discount=DISCOUNT) -> None:
+        # states: the empty history, words, bigrams.  A history that nothing
+        # follows has no arc and costs nothing to leave.
         w = self.width = len(unigram)
-        state = {(): 0}
-        for h in sorted(follow, key=len):
-            if grams.get(h) and len(h) < 3:
-                state[h] = len(state)
-
-        def longest(h: tuple) -> int:
-            while h not in state:
-                h = h[1:]
-            return state[h]
-
-        self.fail, self.backoff = [0] * len(state), [0.0] * len(state)
-        for h, s in state.items():
-            if h:
-                n, kinds = follow[h]
-                self.fail[s] = longest(h[1:])
-                self.backoff[s] = math.log10(1 - (n - discount * kinds) / grams[h])
-        # arcs of the empty history, for every token
-        self.root = unigram.tolist()
-        self.goto = [0] * w
-        for h, s in state.items():
-            if len(h) == 1:
-                self.goto[h[0]] = s
-        self.arcs: dict[int, tuple[float, int]] = {}
-        for g in sorted((g for g in grams if len(g) > 1 and grams[g]), key=len):
-            s = state.get(g[:-1])
-            if s is not None:
-                p = (grams[g] - discount) / grams[g[:-1]] \
-                    + 10 ** (self.backoff[s] + self.score(self.fail[s], g[-1])[0])
-                self.arcs[s * w + g[-1]] = (math.log10(p), longest(g[-2:]))
-
-    def score(self, s: int, t: int) -> tuple[float, int]:
-        """Log probability of ``t`` in state ``s``, and the next state."""
-        total, w = 0.0, self.width
-        while s:
-            arc = self.arcs.get(s * w + t)
-            if arc is not None:
-                return total + arc[0], arc[1]
-            total += self.backoff[s]
-            s = self.fail[s]
-        return total + self.root[t], self.goto[t]
-
-    def traverse(self, tokens: list[int]) -> float:
-        """Log10 probability of ``tokens``, from left to right."""
-        total, s, w = 0.0, 0, self.width
-        arcs, fail, backoff, root, goto = self.arcs, self.fail, self.backoff, self.root, self.goto
-        for t in tokens:
-            while s:
-                arc = arcs.get(s * w + t)
-                if arc is not None:
-                    total += arc[0]
-                    s = arc[1]
-                    break
-                total += backoff[s]
-                s = fail[s]
-            else:
-                total += root[t]
-                s = goto[t]
-        return total
+        self.root = unigram
+        self.fail = np.concatenate([np.zeros(1 + w, np.int64), 1 + b_last])
+        lost = (follow_n - discount * follow_k) / np.maximum(count, 1)
+        self.backoff = np.concatenate([[0.0], np.log10(1 - np.where(count > 0, lost, 0.0))])
+
+        def arcs(state, token, n, lower):
+            seen = np.flatnonzero(n > 0)
+            state, token, n = state[seen], token[seen], n[seen]
+            p = (n - discount) / count[state - 1] + 10 ** (self.backoff[state] + lower[seen])
+            out = np.full(len(lower), -np.inf)
+            out[seen] = np.log10(p)
+            return state * w + token, out, seen
+
+        k2, p2, at2 = arcs(1 + b_first, b_last, count[w:], unigram[b_last])
+        k3, p3, at3 = arcs(1 + w + t_history, t_last, t_count, p2[t_lower])
+        keys = np.concatenate([k2, k3])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.arc = np.concatenate([p2[at2], p3[at3]])[order]
+        self.next = np.concatenate([1 + w + at2, 1 + w + t_lower[at3]])[order]
+
+    def score(self, s, t):
+        """Log probability of ``t`` in state ``s``, and the next state; both
+        numbers or arrays."""
+        s, t = np.asarray(s, np.int64), np.asarray(t, np.int64)
+        total, to, done = np.zeros(s.shape), 1 + t, np.zeros(s.shape, bool)
+        for _ in range(2):                     # a bigram, a word; then the empty history
+            key = s * self.width + t
+            at = np.searchsorted(self.keys, key)
+            if len(self.keys):
+                at = np.minimum(at, len(self.keys) - 1)
+                hit = ~done & (s > 0) & (self.keys[at] == key)
+                total = np.where(hit, total + self.arc[at], total)
+                to = np.where(hit, self.next[at], to)
+                done = done | hit
+            total = np.where(done, total, total + self.backoff[s])
+            s = np.where(done, s, self.fail[s])
+        return np.where(done, total, total + self.root[t]), to
 
 
 def unigrams(counts: np.ndarray, n: int, distinct: int, discount: float) -> np.ndarray:
@@ -255,81 +390,82 @@ def unigrams(counts: np.ndarray, n: int, distinct: int, discount: float) -> np.n
     return np.log10(np.where(counts > 0, counts - discount, discount * distinct) / n)
 
 
-def block_scores(table: pa.Table, n: int, distinct: int, discount: float) -> pa.Table:
+def block_scores(table: pa.Table, slices: int, n: int, distinct: int,
+                 discount: float) -> pa.Table:
     """Scores of one block's documents."""
-    number, total = _column(table, 1, "number"), _column(table, 1, "b")
-    counts = np.zeros(int(number.max()) + 1, np.int64)
-    counts[number] = total
-    own = np.full(1 << BITS, -1, np.int64)          # frequent word -> number in the block
-    f = _column(table, 1, "a")
-    own[f[f >= 0]] = number[f >= 0]
-    key, count = _column(table, 2, "number"), _column(table, 2, "a")
-    follow_n, follow_k = _column(table, 2, "b"), _column(table, 2, "c")
-    order = key >> (3 * BITS)
-    mask = (1 << BITS) - 1
-    grams: dict[tuple, int] = {}
-    follow: dict[tuple, tuple[int, int]] = {}
-    for o in range(3):
-        at = np.flatnonzero(order == o)
-        parts = [own[(key[at] >> (BITS * i)) & mask].tolist() for i in range(o, -1, -1)]
-        tuples = list(zip(*parts))
-        grams.update(zip(tuples, count[at].tolist()))
-        follow.update((g, (a, b)) for g, a, b in
-                      zip(tuples, follow_n[at].tolist(), follow_k[at].tolist()) if a > 0)
-    model = Automaton(unigrams(counts, n, distinct, discount), grams, follow)
-    base = np.log10((counts + 1) / (n + distinct + 1))
-    out = [(d, held, len(ids), int((counts[ids] > 0).sum()), n, float(base[ids].sum()),
-            model.traverse(ids.tolist())) for d, held, ids in _documents(table)]
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-
-
-def score(docs: DataFrame, frequent: int = FREQUENT, doc_id: str = "doc_id",
+    b = Block(table)
+    count, _ = b.back(table, 2, b.gram_slices(slices), 2)
+    pairs = len(b.pairs)
+    model = Automaton.of(
+        unigrams(b.total, n, distinct, discount), b.b_first, b.b_last, b.t_history, b.t_last,
+        b.t_lower, np.concatenate([b.total, count[:pairs]]), count[pairs:],
+        *b.back(table, 3, b.history_slices(slices), 2))
+    start = np.cumsum(b.size) - b.size
+    # the state before a token: the bigram before it, else the word, else nothing
+    state = np.zeros(len(b.ids), np.int64)
+    state[1:] = np.where(b.two[:-1] >= 0, 1 + b.words + b.two[:-1], 1 + b.ids[:-1])
+    state[start] = 0
+    score_ = np.add.reduceat(model.score(state, b.ids)[0], start)
+    base = np.add.reduceat(np.log10((b.total + 1) / (n + distinct + 1))[b.ids], start)
+    known = np.add.reduceat((b.total > 0)[b.ids].astype(np.int64), start)
+    return pa.table([pa.array(b.doc_id, pa.int64()), pa.array(b.held, pa.bool_()),
+                     pa.array(b.size), pa.array(known), pa.array([n] * len(b.size), pa.int64()),
+                     pa.array(base), pa.array(score_)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
+                     "score"])
+
+
+def _grouped(rows: DataFrame, words: DataFrame, **answers: DataFrame):
+    """Everything about a block in one group: documents, words (number, a, b),
+    and answers of slices (number, ids) as further kinds."""
+    none = F.lit(None).cast("long")
+    out = rows.filter("kind = 0").select(
+        "block", "kind", "doc_id", "held_out", "ids",
+        *[none.alias(c) for c in ("number", "a", "b")]).unionByName(words, allowMissingColumns=True)
+    for kind, df in enumerate(answers.values(), 2):
+        out = out.unionByName(df.select(
+            "block", F.lit(kind).alias("kind"), F.col("slice").alias("number"),
+            F.col("data").alias("ids")), allowMissingColumns=True)
+    return out.groupBy("block")
+
+
+def score(docs: DataFrame, frequent: int | None = None, doc_id: str = "doc_id",
           text: str = "text") -> DataFrame:
     """Per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score
     and score, both log10.
 
     Documents whose crc32(doc_id as text) modulo 7 is 2 are held out, all
-    others train.  A null or empty text is the end alone; a null id counts as
-    empty text for the fold.  Repeated rows train and score like any others;
-    an empty table gives no row; other columns are not read.
+    others train.  With ``frequent``, n-grams of two and three words are kept
+    only over words with at least one training token in ``frequent``; without
+    it, over all words.  A null or empty text is the end alone; a null id
+    counts as empty text for the fold.  Repeated rows train and score like any
+    others; an empty table gives no row; other columns are not read.
     """
-    if frequent >= 1 << BITS:
-        raise ValueError(f"frequent must be below {1 << BITS}")
     rows = materialize(blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                                           F.col(text).alias("text"))), "lm_blocks")
-    words = materialize(vocabulary(rows), "lm_words")
-    known = F.col("leader") & (F.col("total") > 0)
-    s = words.filter(known).agg(
+    known = vocabulary(rows)
+    s = known.agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
         F.count(F.when(F.col("total") == 1, 1)).alias("n1"),
         F.count(F.when(F.col("total") == 2, 1)).alias("n2")).head()
     n, v = int(s["n"]), int(s["v"])
     discount = min(0.95, max(0.05, s["n1"] / (s["n1"] + 2 * s["n2"]))) if s["n1"] else 0.5
-    # shares add up to one, so at most `frequent` words, whatever the corpus
-    top = (words.filter(known & (F.col("total") * frequent >= n)).select("word")
-           .withColumn("f", F.row_number().over(Window.orderBy("word")) - 1))
-    words = materialize(words.join(F.broadcast(top), "word", "left").select(
-        "block", F.lit(1).alias("kind"), F.col("number").cast("long").alias("number"),
-        F.col("f").cast("long").alias("a"), F.col("total").alias("b")), "lm_counts")
-
-    counted = materialize(_grouped(rows, words).applyInArrow(
-        block_grams, "block long, key long, n long"), "lm_block_grams")
-    same = Window.partitionBy("key")
-    grams = counted.select("block", "key", F.sum("n").over(same).alias("n"),
-                           (F.col("block") == F.min("block").over(same)).alias("leader"))
-    grams = materialize(grams, "lm_grams")
-    order = F.shiftright("key", 3 * BITS)
-    body = F.col("key").bitwiseAND((1 << 3 * BITS) - 1)
-    history = F.shiftleft(order - 1, 3 * BITS).bitwiseOR(F.shiftright(body, BITS))
-    follow = (grams.filter(F.col("leader") & (F.col("n") > 0) & (order > 0))
-              .groupBy(history.alias("key"))
-              .agg(F.sum("n").alias("b"), F.count(F.lit(1)).alias("c")))
-    grams = grams.join(follow, "key", "left").select(
-        "block", F.lit(2).alias("kind"), F.col("key").alias("number"), F.col("n").alias("a"),
-        "b", "c")
-    return _grouped(rows, words, grams).applyInArrow(
-        lambda t: block_scores(t, n, v, discount),
+    name = F.col("g") if frequent is None else F.when(F.col("total") * frequent >= n, F.col("g"))
+    words = materialize(
+        rows.filter("kind = 1").select("block", "number", "word")
+        .join(known.withColumnRenamed("number", "g"), "word", "left").select(
+            "block", F.lit(1).alias("kind"), F.col("number").cast("long").alias("number"),
+            name.alias("a"), F.coalesce("total", F.lit(0)).alias("b")), "lm_counts")
+
+    slices = max(MIN_SLICES, -(-n // SLICE_TOKENS))
+    grams = materialize(
+        _grouped(rows, words).applyInArrow(lambda t: block_grams(t, slices), _MESSAGE)
+        .groupBy("slice").applyInArrow(slice_grams, _MESSAGE), "lm_grams")
+    follow = materialize(
+        _grouped(rows, words, grams=grams)
+        .applyInArrow(lambda t: block_histories(t, slices), _MESSAGE)
+        .groupBy("slice").applyInArrow(slice_histories, _MESSAGE), "lm_follow")
+    return _grouped(rows, words, grams=grams, follow=follow).applyInArrow(
+        lambda t: block_scores(t, slices, n, v, discount),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")

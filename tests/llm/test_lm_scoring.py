@@ -112,3 +112,19 @@ def test_edges(spark):
     long = "the of and " * 40_000
     r = lm_scoring.score(documents(spark, [(0, long), (1, "the of")])).filter("doc_id = 0").head()
     assert r["n_tokens"] == 120_001 and math.isfinite(r["score"])
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_rare_words_have_ngrams_too(spark, block, monkeypatch):
+    """By default no word is too rare; about 1,500 words, most of them under
+    one token in 1,000."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_DOCS", block)
+    rnd = random.Random(9)
+    docs = made() + [(200 + i, " ".join(f"r{rnd.randrange(150)} s{rnd.randrange(1500)}" for _ in range(30)))
+                     for i in range(40)]
+    docs += [(300, "left of centre"), (301, "centre of left")]
+    brute = Brute(docs, 10**9)
+    assert Brute(docs, 1000).grams != brute.grams
+    rows = lm_scoring.score(documents(spark, docs)).collect()
+    assert sorted((repr(r["doc_id"]), round(r["score"], 8)) for r in rows) == sorted(
+        (repr(d), round(brute.score(t), 8)) for d, t in docs)
