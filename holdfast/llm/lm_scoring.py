@@ -33,18 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 END = b""                      # no word is empty
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
 SLICE_TOKENS, MIN_SLICES = 1 << 19, 64
 DISCOUNT = 0.75                # of n-grams of two or three words
 
-_ROW = ("block long, kind int, doc_id long, held_out boolean, ids binary, word binary, "
-        "number int, n long")
+_ROW = "block long, kind int, docs binary, ids binary, word binary, number int, n long"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(),
-          pa.int64()]
+_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,58 +65,68 @@ def _batch(size: int, **cols) -> pa.RecordBatch:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) rows as numbers.  kind 0: a document (ids as bytes);
-    kind 1: a word of the block, its number there, its count in the block's
-    training documents.  A block is a run of documents within a task."""
+    """(doc_id, text) rows as numbers.  kind 0: the block's documents (packed:
+    id, whether it is null, held out, length; and all tokens); kind 1: a word
+    of the block, its number there, its count in the block's training
+    documents.  A block is a run of documents within a task."""
 
     def run(batches):
         pid, no = TaskContext.get().partitionId() << 32, 0
         vocab: dict[bytes, int] = {}
-        trained: list[np.ndarray] = []
-        tokens = docs_in = 0
+        found: list[tuple] = []
+        texts: list[np.ndarray] = []
+        tokens = 0
 
         def close():
             k = len(vocab)
+            trained = [i for i, f in zip(texts, found) if not f[2]]
             n = np.bincount(np.concatenate(trained), minlength=k) if trained \
                 else np.zeros(k, np.int64)
-            return _batch(k, block=[pid + no] * k, kind=[1] * k, word=list(vocab),
-                          number=np.arange(k), n=n)
+            yield _batch(1, block=[pid + no], kind=[0], docs=[_pack(*map(np.array, zip(*found)))],
+                         ids=[_pack(np.concatenate(texts))])
+            yield _batch(k, block=[pid + no] * k, kind=[1] * k, word=list(vocab),
+                         number=np.arange(k), n=n)
 
         for batch in batches:
-            rows: list[tuple] = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(t)
                 ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32,
                                   len(words))
-                held = is_held_out(d)
-                if not held:
-                    trained.append(ids)
-                rows.append((pid + no, 0, d, held, ids.tobytes()))
-                docs_in, tokens = docs_in + 1, tokens + len(ids)
-                if docs_in >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
-                    yield close()
-                    vocab, trained, tokens, docs_in, no = {}, [], 0, 0, no + 1
-            if rows:
-                yield _batch(len(rows), **dict(zip(_NAMES, zip(*rows))))
-        if docs_in:
-            yield close()
+                found.append((d or 0, d is None, is_held_out(d), len(ids)))
+                texts.append(ids)
+                tokens += len(ids)
+                if len(found) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
+                    yield from close()
+                    vocab, found, texts, tokens, no = {}, [], [], 0, no + 1
+        if found:
+            yield from close()
 
     return docs.mapInArrow(run, _ROW)
 
 
+def block_words(table: pa.Table) -> pa.Table:
+    """One block's words, packed in the order of their numbers: number in the
+    vocabulary (-1: in no n-gram), corpus count."""
+    t = table.sort_by("number")
+    return pa.table({"block": t.column("block").slice(0, 1), "words": pa.array(
+        [_pack(*(t.column(c).to_numpy() for c in ("a", "b")))], pa.binary())})
+
+
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """(word, total, number) of all training words, numbered from 0: within a
-    written partition, and by one offset per partition."""
+    """(word, total, number) of all training words, numbered from 0, frequent
+    ones first: within a written partition, and by one offset per partition."""
     at = F.monotonically_increasing_id()
     words = materialize(
         rows.filter("kind = 1").groupBy("word").agg(F.sum("n").alias("total"))
-        .filter("total > 0").select("word", "total", F.shiftright(at, 33).alias("part"),
+        .filter("total > 0").orderBy(F.desc("total"), "word").select("word", "total", F.shiftright(at, 33).alias("part"),
                                     at.bitwiseAND((1 << 33) - 1).alias("at")), "lm_vocabulary")
     sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("size"))   # one row per partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("off"))
-    return words.join(F.broadcast(offsets), "part").select(
-        "word", "total", (F.col("off") + F.col("at")).alias("number"))
+    out = words.join(F.broadcast(offsets), "part").select(
+        "word", "total", (F.col("off") + F.col("at")).alias("g"))
+    out.written_to = words.written_to
+    return out
 
 
 # --- n-grams -----------------------------------------------------------------
@@ -142,6 +150,19 @@ def _unpack(data: bytes) -> list[np.ndarray]:
             for p in (planes.reshape(-1, 8 * n) if n else [])]
 
 
+def _pack_grams(history: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Histories, mostly in order, by the differences of their first words."""
+    u, v = history >> 32, history & ((1 << 32) - 1)
+    first, second = np.where(u > 0, u - 1, v), np.where(u > 0, v + 1, 0)
+    return _pack(np.diff(first, prepend=0), second, *columns)
+
+
+def _unpack_grams(data: bytes) -> list[np.ndarray]:
+    first, second, *columns = _unpack(data)
+    first = np.cumsum(first)
+    return [np.where(second > 0, (first + 1) << 32 | second - 1, first), *columns]
+
+
 def _slice(history: np.ndarray, word: np.ndarray | int, slices: int) -> np.ndarray:
     h = history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
@@ -157,13 +178,6 @@ def _dealt(of: np.ndarray):
     return zip(which.tolist(), np.split(order, start[1:]))
 
 
-def _column(table: pa.Table, kind: int, name: str) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    t = table.filter(pc.equal(table.column("kind"), kind)).column(name)
-    return pc.fill_null(t, -1).to_numpy(zero_copy_only=False)
-
-
 class Block:
     """Documents of a block and its distinct n-grams of two and three words,
     in an order that depends on nothing else."""
@@ -171,22 +185,18 @@ class Block:
     def __init__(self, table: pa.Table):
         import pyarrow.compute as pc
 
-        self.block = table.column("block")[0].as_py()
-        docs = table.filter(pc.equal(table.column("kind"), 0))
-        self.doc_id, self.held = (docs.column(c).to_pylist() for c in ("doc_id", "held_out"))
-        ids = [np.frombuffer(b, np.int32) for b in docs.column("ids").to_pylist()]
-        self.size = np.array([len(i) for i in ids], np.int64)
-        self.ids = np.concatenate(ids).astype(np.int64)
-        number = _column(table, 1, "number")
-        self.words = int(number.max()) + 1
-        self.total = np.zeros(self.words, np.int64)
-        self.total[number] = _column(table, 1, "b")
-        self.name = np.full(self.words, -1, np.int64)      # -1: in no n-gram
-        self.name[number] = _column(table, 1, "a")
+        row = table.filter(pc.equal(table.column("kind"), 0)).to_pylist()[0]
+        self.block = row["block"]
+        ids, null, held, self.size = _unpack(row["docs"])
+        self.doc_id = pa.array(ids, mask=null.astype(bool))
+        self.held = held.astype(bool)
+        self.ids, = _unpack(row["ids"])
+        self.name, self.total = _unpack(row["words"])      # name -1: in no n-gram
+        self.words = len(self.name)
 
         first = np.zeros(len(self.ids), bool)
         first[np.cumsum(self.size)[:-1]] = first[0] = True
-        trains = np.repeat(~np.array(self.held, bool), self.size)
+        trains = np.repeat(~self.held, self.size)
         g = self.name[self.ids]
         at = np.flatnonzero(~first[1:] & (g[1:] >= 0) & (g[:-1] >= 0)) + 1
         keys, one, inverse = np.unique(g[at - 1] << 32 | g[at], return_index=True,
@@ -218,7 +228,7 @@ class Block:
         import pyarrow.compute as pc
 
         t = table.filter(pc.equal(table.column("kind"), kind))
-        data = dict(zip(t.column("number").to_pylist(), t.column("ids").to_pylist()))
+        data = dict(zip(t.column("slice").to_pylist(), t.column("data").to_pylist()))
         out = [np.zeros(len(of), np.int64) for _ in range(columns)]
         for s, at in _dealt(of):
             if s >= 0:
@@ -238,7 +248,8 @@ class Block:
         return np.concatenate([self.b_first, self.words + self.t_history])
 
     def messages(self, of: np.ndarray, *columns: np.ndarray) -> pa.Table:
-        rows = [(s, self.block, _pack(*(c[at] for c in columns))) for s, at in _dealt(of) if s >= 0]
+        rows = [(s, self.block, _pack_grams(*(c[at] for c in columns)))
+                for s, at in _dealt(of) if s >= 0]
         s, b, d = zip(*rows) if rows else ((), (), ())
         return _messages(s, b, d)
 
@@ -258,10 +269,18 @@ def block_grams(table: pa.Table, slices: int) -> pa.Table:
     return b.messages(b.gram_slices(slices), b.history, b.last, b.n)
 
 
+def _each(batches, slices: int):
+    """:func:`block_grams` for rows that are whole blocks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield from block_grams(pa.Table.from_batches([batch.slice(i, 1)]),
+                                   slices).to_batches()
+
+
 def _of_slice(table: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
     """Blocks in order, where each one's part ends, and all columns."""
     t = table.sort_by("block")
-    parts = [_unpack(d) for d in t.column("data").to_pylist()]
+    parts = [_unpack_grams(d) for d in t.column("data").to_pylist()]
     ends = np.cumsum([len(p[0]) for p in parts])
     return t.column("block").to_pylist(), ends[:-1], [np.concatenate(c) for c in zip(*parts)]
 
@@ -408,24 +427,19 @@ def block_scores(table: pa.Table, slices: int, n: int, distinct: int,
     score_ = np.add.reduceat(model.score(state, b.ids)[0], start)
     base = np.add.reduceat(np.log10((b.total + 1) / (n + distinct + 1))[b.ids], start)
     known = np.add.reduceat((b.total > 0)[b.ids].astype(np.int64), start)
-    return pa.table([pa.array(b.doc_id, pa.int64()), pa.array(b.held, pa.bool_()),
+    return pa.table([b.doc_id, pa.array(b.held),
                      pa.array(b.size), pa.array(known), pa.array([n] * len(b.size), pa.int64()),
                      pa.array(base), pa.array(score_)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
                      "score"])
 
 
-def _grouped(rows: DataFrame, words: DataFrame, **answers: DataFrame):
-    """Everything about a block in one group: documents, words (number, a, b),
-    and answers of slices (number, ids) as further kinds."""
-    none = F.lit(None).cast("long")
-    out = rows.filter("kind = 0").select(
-        "block", "kind", "doc_id", "held_out", "ids",
-        *[none.alias(c) for c in ("number", "a", "b")]).unionByName(words, allowMissingColumns=True)
-    for kind, df in enumerate(answers.values(), 2):
-        out = out.unionByName(df.select(
-            "block", F.lit(kind).alias("kind"), F.col("slice").alias("number"),
-            F.col("data").alias("ids")), allowMissingColumns=True)
+def _grouped(coded: DataFrame, *answers: DataFrame):
+    """Everything about a block in one group: itself as kind 0, answers of
+    slices as kinds 2 and 3."""
+    out = coded
+    for kind, df in enumerate(answers, 2):
+        out = out.unionByName(df.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
     return out.groupBy("block")
 
 
@@ -452,20 +466,22 @@ def score(docs: DataFrame, frequent: int | None = None, doc_id: str = "doc_id",
     discount = min(0.95, max(0.05, s["n1"] / (s["n1"] + 2 * s["n2"]))) if s["n1"] else 0.5
     name = F.col("g") if frequent is None else F.when(F.col("total") * frequent >= n, F.col("g"))
     words = materialize(
-        rows.filter("kind = 1").select("block", "number", "word")
-        .join(known.withColumnRenamed("number", "g"), "word", "left").select(
-            "block", F.lit(1).alias("kind"), F.col("number").cast("long").alias("number"),
-            name.alias("a"), F.coalesce("total", F.lit(0)).alias("b")), "lm_counts")
+        rows.filter("kind = 1").select("block", "number", "word").join(known, "word", "left")
+        .select("block", "number", F.coalesce(name, F.lit(-1)).alias("a"),
+                F.coalesce("total", F.lit(0)).alias("b"))
+        .groupBy("block").applyInArrow(block_words, "block long, words binary"), "lm_counts")
+    coded = materialize(rows.filter("kind = 0").select("block", "kind", "docs", "ids")
+                        .join(words, "block"), "lm_coded")
+    discard(rows, known, words)
 
     slices = max(MIN_SLICES, -(-n // SLICE_TOKENS))
     grams = materialize(
-        _grouped(rows, words).applyInArrow(lambda t: block_grams(t, slices), _MESSAGE)
+        coded.mapInArrow(lambda batches: _each(batches, slices), _MESSAGE)
         .groupBy("slice").applyInArrow(slice_grams, _MESSAGE), "lm_grams")
     follow = materialize(
-        _grouped(rows, words, grams=grams)
-        .applyInArrow(lambda t: block_histories(t, slices), _MESSAGE)
+        _grouped(coded, grams).applyInArrow(lambda t: block_histories(t, slices), _MESSAGE)
         .groupBy("slice").applyInArrow(slice_histories, _MESSAGE), "lm_follow")
-    return _grouped(rows, words, grams=grams, follow=follow).applyInArrow(
+    return _grouped(coded, grams, follow).applyInArrow(
         lambda t: block_scores(t, slices, n, v, discount),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")
