@@ -57,22 +57,30 @@ class Model:
     logp: np.ndarray
 
 
-def fit(labelled: DataFrame, per_language: int = 2_000, max_languages: int = 64,
+def primary(label: Column) -> Column:
+    """The primary subtag of a language label ('en' of 'en-US' and ' EN_gb'),
+    null if there is none."""
+    tag = F.regexp_extract(F.lower(F.trim(label)), r"^([a-z]{2,8})(?:[-_]|$)", 1)
+    return F.when(tag != "", tag)
+
+
+def fit(labelled: DataFrame, per_language: int = 2_000,
         doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """Fit on at most ``per_language`` labelled rows (those with the smallest
-    hash of their id) of each of the ``max_languages`` most frequent labels."""
+    hash of their id) of every primary subtag among the labels."""
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"),
-                           F.lower(F.col(label)).alias("lang")) \
+                           primary(F.col(label)).alias("lang")) \
         .filter("lang is not null and length(text) > 0")
-    top = [r["lang"] for r in rows.groupBy("lang").count()
-           .orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not top:
+    langs = tuple(sorted(r["lang"] for r in rows.select("lang").distinct().collect()))
+    if not langs:
         return Model((), np.full((BUCKETS, 1), -math.log(BUCKETS)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = (rows.filter(F.col("lang").isin(top)).select("id", "lang")
+    ids = (rows.select("id", "lang")
            .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language))
-    # at most per_language x max_languages pairs of two longs, so the texts stay where they are
-    few = F.broadcast(ids.select(F.col("id").alias("i"), F.xxhash64("lang").alias("l")))
+    # at most per_language pairs of two longs per language, so the texts mostly stay where they are
+    few = ids.select(F.col("id").alias("i"), F.xxhash64("lang").alias("l"))
+    if per_language * len(langs) * 16 <= 32 << 20:
+        few = F.broadcast(few)
     sample = rows.join(few, (F.col("id") == F.col("i")) & (F.xxhash64("lang") == F.col("l")),
                        "left_semi")
 
@@ -88,13 +96,13 @@ def fit(labelled: DataFrame, per_language: int = 2_000, max_languages: int = 64,
                 [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()),
                  pa.array(c[at], pa.int64())], ["lang", "bucket", "n"])
 
-    # at most max_languages x BUCKETS rows
+    # at most BUCKETS rows per language
     counts = (sample.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
-              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect())
-    langs = tuple(sorted(top))
+              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
+    at = {x: i for i, x in enumerate(langs)}
     n = np.full((BUCKETS, len(langs) + 1), 0.5)
-    for r in counts:
-        n[r["bucket"], langs.index(r["lang"])] += r["n"]
+    n[counts["bucket"].to_numpy(), np.array([at[x] for x in counts["lang"].to_pylist()], int)] \
+        += counts["n"].to_numpy()
     n[:, -1] = 1.0
     return Model(langs, np.log(n / n.sum(axis=0)))
 
@@ -132,9 +140,12 @@ def text_evidence(docs: DataFrame, model: Model, text: str, temper: float,
 
 def _counts(rows: DataFrame, key: str, k: int) -> DataFrame:
     """Text decisions per value of ``key``: an array of ``k`` numbers."""
-    return rows.filter(F.col(key).isNotNull() & F.col("__map").isNotNull()) \
-        .groupBy(key).agg(F.array(*[F.sum((F.col("__map") == i).cast("double"))
-                                    for i in range(k)]).alias("c"))
+    pairs = (rows.filter(F.col(key).isNotNull() & F.col("__map").isNotNull())
+             .groupBy(key, "__map").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    return pairs.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("__map", "n"))).alias("m")).select(
+        key, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(
+            F.element_at("m", i), F.lit(0.0))).alias("c"))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column | None = None,
@@ -148,7 +159,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
     Evidence that is null is left out.  A document is rejected (lang_kept
     false, lang_id null) if its text has no letters or if no language reaches
     ``min_posterior``, the column "no language" included, so a null or empty
-    text is rejected whatever is declared.  Posteriors add over evidence, so
+    text is rejected whatever is declared.  What declares a language that the
+    model does not have is kept if it has letters (lang_id null if no language
+    reaches ``min_posterior``).  Posteriors add over evidence, so
     ties need equal evidence; the alphabetically first language then wins.
     Rows are judged alike whether repeated or not; null ids do not matter; an
     empty table gives no row; other columns are kept.
@@ -156,10 +169,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
     k = len(model.languages) + 1
     columns = docs.columns if columns is None else columns
     null = F.lit(None).cast("string")
-    code = F.lower(F.substring(F.trim(declared if declared is not None else null), 1, 2))
     rows = docs.withColumns({
-        # two letters or nothing: a bounded number of values
-        "__declared": F.when(code.rlike("^[a-z]{2}$"), code),
+        "__declared": primary(declared if declared is not None else null),
         "__suffix": (suffix if suffix is not None else null),
         "__host": (host if host is not None else null),
         "__domain": (domain if domain is not None else null)})
@@ -171,10 +182,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
         "text_evidence")
     votes = seen.select("__declared", "__suffix", "__host", "__domain", "__map")
 
-    whole = votes.filter("__map is not null").agg(
-        F.array(*[F.coalesce(F.sum((F.col("__map") == i).cast("double")), F.lit(0.0)) + 0.5
-                  for i in range(k)]).alias("c"))
-    total = whole.select("c").head()["c"]                       # k numbers
+    whole = {r["__map"]: r["count"] for r in
+             votes.filter("__map is not null").groupBy("__map").count().collect()}
+    total = [whole.get(i, 0) + 0.5 for i in range(k)]           # k numbers
     n = sum(total)
     base = F.array(*[F.lit(c / n) for c in total])
 
@@ -212,13 +222,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
            .withColumn("__post", F.lit(1.0) / F.aggregate(
                F.transform("__score", lambda x: F.exp(x - F.col("__best"))), F.lit(0.0),
                lambda a, x: a + x)))
-    kept = (F.col("__letters") > 0) & (F.col("__at") < k) & (F.col("__post") >= min_posterior)
+    told = (F.col("__letters") > 0) & (F.col("__at") < k) & (F.col("__post") >= min_posterior)
+    other = (F.col("__letters") > 0) & F.col("__declared").isNotNull() \
+        & ~F.col("__declared").isin(list(model.languages))
     return out.select(
         *[F.col(f"`{c}`") for c in columns],
-        F.when(kept, F.get(names, F.col("__at") - 1)).alias("lang_id"),
+        F.when(told, F.get(names, F.col("__at") - 1)).alias("lang_id"),
         F.round("__post", 6).alias("lang_posterior"),
         F.when(F.col("__map") < k - 1, F.get(names, F.col("__map"))).alias("lang_text"),
-        kept.alias("lang_kept"))
+        (told | other).alias("lang_kept"))
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -232,7 +244,7 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     host = F.when(host != "", host)
     return pages.withColumns({
         "__text": body,
-        "__declared_lang": F.regexp_extract(h, r"""(?is)<html\b[^>]*?\blang=["']?([a-z]{2})""", 1),
+        "__declared_lang": F.regexp_extract(h, r"""(?is)<html\b[^>]*?\blang=["']?([a-z0-9_-]+)""", 1),
         "__suffix_of": F.substring_index(host, ".", -1), "__host_of": host,
         "__domain_of": F.substring_index(host, ".", -2)})
 

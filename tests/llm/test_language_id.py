@@ -84,3 +84,24 @@ def test_very_long_text(spark, model):
     t = next(r["text"] for r in given("documents") if r["lang"] == "es")
     r = language_id.identify(documents(spark, [t * 400]), model).head()
     assert r["lang_id"] == "es" and r["lang_posterior"] == 1.0
+
+
+def test_every_label_has_a_class(spark):
+    """70 languages with words of their own, the rarest last; spellings of one label are one class."""
+    name = [chr(97 + i // 10) + chr(107 + i % 10) for i in range(70)]
+    rows = [(i * 10 + j, f"{n}{n[::-1]}q {n}zz{n} " * 20, [n, f"{n}-XX", f" {n.upper()}_yy "][j % 3])
+            for i, n in enumerate(name) for j in range(9 if i < 64 else 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string") \
+        .withColumn("source", F.lit("src0"))
+    out = language_id.identify_documents(df).collect()
+    assert len(out) == len(rows)
+    assert all(r["lang_kept"] and r["lang_id"] == name[r["doc_id"] // 10] for r in out)
+
+
+def test_what_the_model_does_not_have_is_kept(spark, model):
+    rows = [(0, "qq zz xx", "fil"), (1, "123", "fil"), (2, "", "fil")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string") \
+        .withColumn("source", F.lit(None).cast("string"))
+    out = language_id.identify(df, model, declared=F.col("lang"), min_posterior=2.0) \
+        .orderBy("doc_id").collect()
+    assert [(r["lang_kept"], r["lang_id"]) for r in out] == [(True, None), (False, None), (False, None)]
