@@ -64,7 +64,8 @@ def _spans(text: Column, kind: str, pattern: str, keep_if=None) -> Column:
 
 
 def parts_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the spans of all kinds: ``__base`` and ``__weak``."""
+    """``docs`` with the spans of all kinds: ``__base`` and ``__weak``.  Weak
+    spans wholly inside a base span are left out; others may overlap it."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(
         _spans(t, "assign", ASSIGN,
@@ -75,7 +76,7 @@ def parts_of(docs: DataFrame, text: str = "text") -> DataFrame:
         _spans(t, "secret", TOKEN, keep_if=lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]")),
         _spans(t, "endpoint", ENDPOINT))
     free = F.filter("__all", lambda w: ~F.exists(
-        "__base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
+        "__base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
     return (docs.withColumn("__base", base).withColumn("__all", weak)
             .withColumn("__weak", F.array_sort(free)).drop("__all"))
 

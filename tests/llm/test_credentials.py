@@ -97,3 +97,15 @@ def test_redaction(spark):
     assert [got[i]["text"] for i in range(6)] == [
         "é a [REDACTED] b", "clean text\n", None, "", "[REDACTED] tail", "x [REDACTED]"]
     assert got[0]["n_chars"] == len("é a [REDACTED] b") and got[1]["n_chars"] == len("clean text\n")
+
+
+def test_weak_spans_longer_than_a_base_span_are_kept(spark):
+    mixed = f"sk_live_{HEX}XYZ"
+    url = "https://db.example.com/?token=abcdef12"
+    df = documents(spark, [f"user=carol {mixed}", f"user=carol {url} end", f"user=carol {HEX}"])
+    got = [r["spans"].split(",") for r in credentials.report(df).orderBy("doc_id").collect()]
+    assert f"secret:11:{11 + len(mixed)}" in got[0]
+    assert f"endpoint:11:{11 + len(url)}" in got[1]
+    assert [s.split(":")[0] for s in got[2]] == ["account", "hex"]
+    texts = [r["text"] for r in credentials.redact(df).orderBy("doc_id").collect()]
+    assert texts == ["[REDACTED] [REDACTED]", "[REDACTED] [REDACTED] end", "[REDACTED] [REDACTED]"]
