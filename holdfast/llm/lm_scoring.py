@@ -118,8 +118,9 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     at = F.monotonically_increasing_id()
     words = materialize(
         rows.filter("kind = 1").groupBy("word").agg(F.sum("n").alias("total"))
-        .filter("total > 0").orderBy(F.desc("total"), "word").select("word", "total", F.shiftright(at, 33).alias("part"),
-                                    at.bitwiseAND((1 << 33) - 1).alias("at")), "lm_vocabulary")
+        .filter("total > 0").orderBy(F.desc("total"), "word")
+        .select("word", "total", F.shiftright(at, 33).alias("part"),
+                at.bitwiseAND((1 << 33) - 1).alias("at")), "lm_vocabulary")
     sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("size"))   # one row per partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("off"))
