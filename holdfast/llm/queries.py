@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, credentials, exact_topk, hard_negatives, language_id, line_dedup, lm_scoring,
-               merkle, ngram_join, packing, piece_bpe, warc)
+from . import (ann, credentials, exact_topk, fingerprints, hard_negatives, language_id, line_dedup,
+               lm_scoring, merkle, ngram_join, packing, piece_bpe, warc)
 from .common import read
 
 
@@ -75,6 +75,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors.withColumn("label", label))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_packing, op2_ann, op3_sentencepiece, op4_secrets, op5_line_dedup, op6_language_id,
         op7_exact_topk, op8_warc, op9_lm_scoring, op10_ngram_join, op11_merkle_manifest,
-        op12_hard_negatives, pages_language_id, pipeline)}
+        op12_hard_negatives, op13_fingerprints, pages_language_id, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_topk": """
