@@ -4,7 +4,10 @@ word caches for the Python side, and exact connected components."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from sys import getsizeof
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,21 +80,35 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, max_bytes: int = 32 << 20)
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+def values(column: pa.Array, at_once: int = 4 << 20) -> Iterator:
+    """Python values of an Arrow column.  They are made for a few rows at a
+    time, about ``at_once`` bytes of them, so a batch of long texts does not
+    become Python strings as a whole; what Arrow has freed is given back."""
+    n = len(column)
+    step = max(1, n * at_once // max(1, column.nbytes))
+    for lo in range(0, n, step):
+        yield from column.slice(lo, step).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 class WordCache(dict):
     """``cache[word]`` computes and keeps ``make(word)``.
 
-    The number of kept words is bounded: beyond ``limit`` the cache starts
-    again.  Results never depend on what is cached.
+    What is kept is bounded, in words and in bytes: beyond ``limit`` words or
+    ``max_bytes`` the cache starts again.  Results never depend on what is
+    cached.
     """
 
-    def __init__(self, make, limit: int = 250_000):
+    def __init__(self, make, limit: int = 250_000, max_bytes: int = 64 << 20):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.max_bytes, self.bytes = make, limit, max_bytes, 0
 
     def __missing__(self, word):
         value = self.make(word)
-        if len(self) >= self.limit:
+        self.bytes += 100 + getsizeof(word) + getsizeof(value)
+        if len(self) >= self.limit or self.bytes > self.max_bytes:
             self.clear()
+            self.bytes = 0
         self[word] = value
         return value
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, values
 
 BUCKETS = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +87,7 @@ def fit(labelled: DataFrame, per_language: int = 2_000,
     def count(batches):
         got: dict[str, np.ndarray] = {}
         for batch in batches:
-            for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t, lang in zip(values(batch.column(0)), batch.column(1).to_pylist()):
                 raw = letters(t)
                 got[lang] = got.get(lang, 0) + gram_counts(raw)
         for lang, c in got.items():
@@ -123,7 +123,7 @@ def text_evidence(docs: DataFrame, model: Model, text: str, temper: float,
         logp = cast.value
         for batch in batches:
             ll, size = [], []
-            for t in batch.column(text).to_pylist():
+            for t in values(batch.column(text)):
                 raw = letters(t)
                 s = gram_counts(raw) @ logp if raw else np.zeros(k)
                 ll.append(((s - s.max()) * temper).tolist())

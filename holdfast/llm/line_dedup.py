@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, values
 
 _LAST = (1 << 63) - 1
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
         kind = pa.list_(pa.struct([("c", pa.binary()), ("s", pa.int32()), ("e", pa.int32())]))
         for batch in batches:
             ids, keys, hashes, windows = [], [], [], []
-            for d, key, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for d, key, t in zip(*map(values, batch.columns)):
                 if not t:
                     continue
                 for h, _, ws in line_windows(t, min_words):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, with_ids
+from .common import connected_components, discard, materialize, values, with_ids
 
 WORDS = 5
 NUM, DEN = 75, 100                 # a link: DEN * overlap >= NUM * union
@@ -173,7 +173,7 @@ def _heavy(rows: DataFrame, text: str) -> np.ndarray:
                 [_long(h[some]), pa.array(n[some].astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in values(batch.column(0)):
                 seen.append(shingles(t))
                 kept += len(seen[-1])
                 if kept > 4_000_000:
@@ -197,7 +197,7 @@ def _sets(rows: DataFrame, heavy: np.ndarray) -> DataFrame:
         last = cast.value
         for batch in batches:
             n, sig, prefix = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in values(batch.column(1)):
                 s = shingles(t)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -206,7 +206,7 @@ def _sets(rows: DataFrame, heavy: np.ndarray) -> DataFrame:
                     common = last[at] == s
                     s = np.concatenate([s[~common], s[common]])
                 take = len(s) if len(s) <= MAX_SMALL else prefix_size(len(s))
-                prefix.append(s[:take].view(np.int64))
+                prefix.append(s[:take].view(np.int64).copy())     # not the whole set
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
                  pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "sig", "prefix"])
@@ -221,7 +221,7 @@ def _of_ids(rows: DataFrame, ids: DataFrame, code) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, coded = [], []
-            for t in batch.column(1).to_pylist():
+            for t in values(batch.column(1)):
                 s = shingles(t)
                 n.append(len(s))
                 coded.append(code(s).tobytes())
@@ -242,7 +242,7 @@ def _hold(rows: DataFrame, pairs: DataFrame, name: str, code, test) -> DataFrame
     def run(batches):
         for batch in batches:
             yes = pa.array([test(n, s, m, t) for n, s, m, t in
-                            zip(*(batch.column(i).to_pylist() for i in range(2, 6)))], pa.bool_())
+                            zip(*(values(batch.column(i)) for i in range(2, 6)))], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(yes), batch.column(1).filter(yes)], ["a", "b"])
 

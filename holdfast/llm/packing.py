@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, materialize
+from .common import WordCache, materialize, values
 
 END_ID = 0
 _SPACE_BEFORE_WHITE = re.compile(r" \s")
@@ -55,7 +55,6 @@ class ByteBpe:
     def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -67,14 +66,22 @@ class ByteBpe:
             raise ValueError(f"{path}: ids are not merge ranks")
         self._fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks,
                                        special_tokens={})
-        self._exact = Tokenizer.from_file(path)
-        self._exact.encode_special_tokens = True
-        self._first = WordCache(self._encode, 20_000)
-        self._next = WordCache(lambda w: self._encode(" " + w))
+        self._path, self._library = path, None
+        self._first = WordCache(self._encode, 20_000, 8 << 20)
+        self._next = WordCache(lambda w: self._encode(" " + w), max_bytes=32 << 20)
+
+    def _exact(self, piece: str) -> list[int]:
+        """Ids by the library itself, which is loaded when first needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+            self._library.encode_special_tokens = True
+        return self._library.encode(piece, add_special_tokens=False).ids
 
     def _encode(self, piece: str) -> bytes:
         if len(piece) > _LONG:
-            ids = self._exact.encode(piece, add_special_tokens=False).ids
+            ids = self._exact(piece)
         else:
             ids = self._fast.encode_ordinary(piece)
         return np.asarray(ids, "<u4").tobytes()
@@ -204,7 +211,7 @@ def tokenized(docs: DataFrame, path: str, window: int, doc_id: str, text: str) -
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             cols: dict[str, list] = {k: [] for k in ("n", "windows", "rem", "rank", "crc")}
-            for t in batch.column(1).to_pylist():
+            for t in values(batch.column(1)):
                 ids = encode(t or "") + end
                 n = len(ids) // 4
                 rem = n % window
