@@ -10,9 +10,9 @@ ever aggregated.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import fround
 from ..functions.stats import chi2_sf
@@ -43,14 +43,26 @@ def km_curve(df: DataFrame, duration: str, event: str, group: str | None = None)
 def survival_at(curve: DataFrame, points: list[int] | None = None, upto: int | None = None
                 ) -> DataFrame:
     """As-of lookup of the step function: S at the last time <= t, 1 before the
-    first time (J11).  ``points`` lists t values, or ``upto`` gives 1..upto."""
+    first time (J11).  ``points`` lists t values, or ``upto`` gives 1..upto.
+
+    A merge: the curve's times and the asked ones form one ordered sequence
+    per group, through which the last survival is carried; at equal times the
+    curve comes first.  No inequality join pairs every t with all earlier times.
+    """
     times = (F.array(*[F.lit(int(p)) for p in points]) if points is not None
              else F.sequence(F.lit(1), F.lit(int(upto))))
-    grid = curve.select(GROUP).distinct().select(GROUP, F.explode(times).alias("t"))
-    c = curve.select(F.col(GROUP).alias("_g"), "time", "survival")
-    j = grid.join(c, (grid[GROUP] == c["_g"]) & (c["time"] <= grid["t"]), "left")
-    return j.groupBy(GROUP, "t").agg(
-        F.coalesce(F.max_by("survival", "time"), F.lit(1.0)).alias("survival"))
+    asked = curve.select(GROUP).distinct().select(
+        GROUP, F.explode(times).alias("t"), F.lit(None).cast("double").alias("s"),
+        F.lit(True).alias("asked"))
+    steps = curve.select(GROUP, F.col("time").alias("t"), F.col("survival").alias("s"),
+                         F.lit(False).alias("asked"))
+    w = Window.partitionBy(GROUP).orderBy("t", "asked") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    return (steps.unionByName(asked)
+            .select(GROUP, "t", "asked",
+                    F.coalesce(F.last_value("s", ignoreNulls=True).over(w), F.lit(1.0))
+                    .alias("survival"))
+            .filter("asked").select(GROUP, "t", "survival").distinct())
 
 
 def horizons(curve: DataFrame, points: list[int]) -> DataFrame:
@@ -74,73 +86,116 @@ def discounted_factor(curve: DataFrame, horizon: int, rate: float) -> DataFrame:
         .alias("factor"))
 
 
-def logrank_components(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
-    """Per (group, time) on the full grid of groups x distinct durations:
-    at-risk (members with duration >= time, also at times where the group has
-    no exits), events, and the totals at that time (K5 input).
-
-    The grid is built from the aggregated table: each group row explodes the
-    array of distinct durations (a bounded domain), so no join of raw rows.
-    """
-    agg = _prep(df, duration, event, group).groupBy(GROUP, "time").agg(
-        F.sum("e").alias("events"), F.count(F.lit(1)).alias("exits"))
-    times = agg.select(F.sort_array(F.collect_set("time"))).scalar()
-    grid = agg.select(GROUP).distinct().select(GROUP, F.explode(times).alias("time"))
-    full = grid.join(agg, [GROUP, "time"], "left").select(
-        GROUP, "time", F.coalesce("events", F.lit(0)).cast("long").alias("events"),
-        F.coalesce("exits", F.lit(0)).cast("long").alias("exits"))
-    rev = Window.partitionBy(GROUP).orderBy(F.col("time").desc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy("time")
-    c = full.withColumn("at_risk", F.sum("exits").over(rev))
-    return c.select(GROUP, "time", "at_risk", "events",
-                    F.sum("at_risk").over(tot).alias("n_t"),
-                    F.sum("events").over(tot).alias("d_t"))
+def _hazard(agg: DataFrame) -> DataFrame:
+    """Per distinct time over all groups: at-risk n_t, events d_t, their
+    cumulative sums of d/n and of the hypergeometric weight w over n and n^2
+    (one row per distinct time, like the curves)."""
+    per_t = agg.groupBy("time").agg(F.sum("events").alias("d_t"), F.sum("exits").alias("x_t"))
+    rev = Window.orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    fwd = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    n, d = F.col("n_t"), F.col("d_t")
+    w = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
+    return (per_t.withColumn("n_t", F.sum("x_t").over(rev))
+            .select("time", "n_t", "d_t", (w / n / n).alias("c"),
+                    F.sum(d / n).over(fwd).alias("cum_d"), F.sum(w / n).over(fwd).alias("cum_w"),
+                    F.sum(w / n / n).over(fwd).alias("cum_c"),
+                    (F.row_number().over(Window.orderBy("time")) - 1).alias("r")))
 
 
-def logrank_by_group(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
-    """Observed, expected and variance per group (the SQL-checkable part of K5)."""
-    c = logrank_components(df, duration, event, group)
-    frac = F.col("at_risk") / F.col("n_t")
-    w = F.when(F.col("n_t") > 1, F.col("d_t") * (F.col("n_t") - F.col("d_t"))
-               / (F.col("n_t") - 1)).otherwise(0.0)
-    return c.groupBy(GROUP).agg(
-        F.sum("events").alias("observed"),
-        fround(F.sum(frac * F.col("d_t")), 4).alias("expected"),
-        fround(F.sum(w * frac * (1 - frac)), 4).alias("variance"))
+def _exits(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
+    """Events and exits per (group, time) where the group has any; a NULL
+    group is a group, rows without a duration take no part."""
+    return _prep(df, duration, event, group).filter("time IS NOT NULL").groupBy(GROUP, "time").agg(
+        F.sum(F.coalesce("e", F.lit(0))).alias("events"), F.count(F.lit(1)).alias("exits"))
 
 
-def logrank_test(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
-    """k-sample log-rank chi-square and p (K5).
+def logrank_by_group(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
+    """Observed, expected and variance per group (K5).
 
-    Per-time at-risk counts are pivoted by group (the group list is a small
-    categorical domain), then one aggregate returns observed, expected and the
-    k x k hypergeometric covariance; only those k + k^2 numbers reach the
-    driver for the (k-1) x (k-1) solve.
+    A group's at-risk count is a step function that only changes at its own
+    exits, so sums over all times are sums over those exits of cumulative
+    hazards: no (group, time) grid is built.
+    """
+    agg = _exits(df, duration, event, group)
+    own = Window.partitionBy(GROUP).orderBy("time")
+    rev = Window.partitionBy(GROUP).orderBy(F.col("time").desc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    rows = agg.join(_hazard(agg).select("time", "cum_d", "cum_w", "cum_c"), "time") \
+        .withColumn("at_risk", F.sum("exits").over(rev)) \
+        .withColumn("step", F.col("cum_c") - F.coalesce(F.lag("cum_c").over(own), F.lit(0.0)))
+    return rows.groupBy(GROUP).agg(
+        F.sum("events").alias("observed"),
+        fround(F.sum(F.col("exits") * F.col("cum_d")), 4).alias("expected"),
+        fround(F.sum(F.col("exits") * F.col("cum_w"))
+               - F.sum(F.col("step") * F.col("at_risk") * F.col("at_risk")), 4).alias("variance"))
+
+
+def logrank_test(df: DataFrame, duration: str, event: str, group: str,
+                 block_times: int = 2048) -> DataFrame:
+    """k-sample log-rank chi-square and p (K5): groups, dof, chi2, p_value.
+
+    The covariance is diag(sum w n_g / n) less sum w n_g n_h / n^2.  Its pair
+    sums come in long form, (g, h, sum), from blocks of ``block_times``
+    consecutive times: a task turns a block's exits, and those after it, into
+    at-risk counts (times x groups) and adds up their products.  One task
+    solves the k x k result by a Cholesky step (by the pseudo-inverse where
+    groups leave it singular).  Nothing passes the driver; an empty table
+    gives no row, a single group chi2 0.
     """
-    comp = logrank_components(df, duration, event, group)
-    groups = sorted(r[0] for r in comp.select(GROUP).distinct().collect())
-    k = len(groups)
-    per_t = (comp.groupBy("time", "n_t", "d_t").pivot(GROUP, groups)
-             .agg(F.first("at_risk")).na.fill(0, subset=groups))
-    w = F.when(F.col("n_t") > 1, F.col("d_t") * (F.col("n_t") - F.col("d_t"))
-               / (F.col("n_t") - 1)).otherwise(0.0)
-    frac = [F.col(f"`{g}`") / F.col("n_t") for g in groups]
-    aggs = [F.sum(frac[i] * F.col("d_t")).alias(f"e{i}") for i in range(k)]
-    aggs += [F.sum(w * frac[i] * ((1.0 if i == j else 0.0) - frac[j])).alias(f"v{i}_{j}")
-             for i in range(k) for j in range(k)]
-    row = per_t.agg(*aggs).first()
-    obs = {r[GROUP]: r["o"] for r in
-           comp.groupBy(GROUP).agg(F.sum("events").alias("o")).collect()}
-    o = np.array([float(obs[g]) for g in groups])
-    e = np.array([float(row[f"e{i}"]) for i in range(k)])
-    v = np.array([[float(row[f"v{i}_{j}"]) for j in range(k)] for i in range(k)])
-    diff = (o - e)[:-1]
-    stat = float(diff @ np.linalg.pinv(v[:-1, :-1]) @ diff) if k > 1 else 0.0
-    dof = k - 1
-    spark = df.sparkSession
-    schema = T.StructType([T.StructField("groups", T.IntegerType()),
-                           T.StructField("dof", T.IntegerType()),
-                           T.StructField("chi2", T.DoubleType()),
-                           T.StructField("p_value", T.DoubleType())])
-    return spark.createDataFrame([(k, dof, round(stat, 4), chi2_sf(stat, dof))], schema)
+    agg = _exits(df, duration, event, group)
+    at = _hazard(agg)
+    names = agg.select(GROUP).distinct() \
+        .select(GROUP, (F.row_number().over(Window.orderBy(GROUP)) - 1).alias("g"))
+    rows = agg.join(names, agg[GROUP].eqNullSafe(names[GROUP])) \
+        .select("g", "time", "events", "exits").join(at, "time") \
+        .withColumn("block", F.expr(f"r div {block_times}"))
+    per_group = rows.groupBy("g").agg(
+        F.sum("events").cast("double").alias("observed"),
+        F.sum(F.col("exits") * F.col("cum_d")).alias("expected"),
+        F.sum(F.col("exits") * F.col("cum_w")).alias("own"))
+
+    # exits after a block, for every block up to the group's last one
+    later = rows.filter("block > 0").groupBy("g", "block").agg(F.sum("exits").alias("exits")) \
+        .select("g", "exits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1))
+                .alias("block")).groupBy("g", "block").agg(F.sum("exits").alias("exits"))
+    counts = rows.select("block", "g", F.expr(f"r % {block_times}").cast("int").alias("slot"),
+                         "exits") \
+        .unionByName(later.select("block", "g", F.lit(block_times).alias("slot"), "exits"))
+    weights = at.select(F.expr(f"r div {block_times}").alias("in_block"),
+                        F.expr(f"r % {block_times}").cast("int").alias("slot"), "c")
+
+    def products(left: pa.Table, right: pa.Table) -> pa.Table:
+        g, place = np.unique(left.column("g").to_numpy(), return_inverse=True)
+        n = np.zeros((block_times + 1, len(g)))
+        np.add.at(n, (left.column("slot").to_numpy(), place), left.column("exits").to_numpy())
+        n = n[::-1].cumsum(axis=0)[::-1][:block_times]
+        c = np.zeros(block_times)
+        c[right.column("slot").to_numpy()] = right.column("c").to_numpy()
+        q = (n * c[:, None]).T @ n
+        return pa.table({"g": pa.array(np.repeat(g, len(g)), pa.int32()),
+                         "h": pa.array(np.tile(g, len(g)), pa.int32()), "q": q.ravel()})
+
+    pairs = counts.groupBy("block").cogroup(weights.groupBy("in_block")) \
+        .applyInArrow(products, "g int, h int, q double") \
+        .groupBy("g", "h").agg(F.sum("q").alias("q"))
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        k = left.num_rows
+        at = left.column("g").to_numpy()
+        diff, v = np.zeros(k), np.zeros((k, k))
+        diff[at] = left.column("observed").to_numpy() - left.column("expected").to_numpy()
+        v[at, at] = left.column("own").to_numpy()
+        v[right.column("g").to_numpy(), right.column("h").to_numpy()] -= \
+            right.column("q").to_numpy()
+        diff, v = diff[:-1], v[:-1, :-1]
+        try:
+            half = np.linalg.solve(np.linalg.cholesky(v), diff)
+            stat = float(half @ half)
+        except np.linalg.LinAlgError:
+            stat = float(diff @ np.linalg.pinv(v, hermitian=True) @ diff)
+        return pa.table({"groups": pa.array([k], pa.int32()), "dof": pa.array([k - 1], pa.int32()),
+                         "chi2": [round(stat, 4)], "p_value": [chi2_sf(stat, k - 1) if k > 1 else 1.0]})
+
+    return per_group.withColumn("one", F.lit(1)).groupBy("one") \
+        .cogroup(pairs.withColumn("all", F.lit(1)).groupBy("all")) \
+        .applyInArrow(solve, "groups int, dof int, chi2 double, p_value double")

@@ -301,7 +301,7 @@ def q_logrank_by_group(c: Context) -> DataFrame:
     return SV.logrank_by_group(c.account, "tenure_months", "churned", "contract_type")
 
 
-@register("logrank_test", "K5")
+@register("logrank_test", "K5", lambda o: o.sql_logrank_test())
 def q_logrank_test(c: Context) -> DataFrame:
     return SV.logrank_test(c.account, "tenure_months", "churned", "contract_type")
 
