@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 _PID = "_hf_pid"
+AMOUNT_DECIMALS = 6        # amounts are added as whole millionths, in a long
 
 
 def _small_side(df: DataFrame, grouped: bool) -> DataFrame:
@@ -55,66 +56,87 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
 
 def running_sum(df: DataFrame, order: Sequence[Column], value: str | None = None,
                 out: str = "running", by: Sequence[str] = (),
-                partitions: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` (row count when None) in the order
-    ``by + order``, restarting for every ``by`` group.
+                partitions: int | None = None, decimals: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value`` (row count when None); see
+    :func:`running_sums`."""
+    if value is None:
+        one = df.withColumn("_hf_one", F.lit(1).cast("long"))
+        return running_sums(one, order, {"_hf_one": out}, by, partitions).drop("_hf_one")
+    return running_sums(df, order, {value: out}, by, partitions, decimals)
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], values: dict[str, str],
+                 by: Sequence[str] = (), partitions: int | None = None,
+                 decimals: int | None = None) -> DataFrame:
+    """Inclusive running sums of several columns (name -> result) in the order
+    ``by + order``, restarting for every ``by`` group, in one scan.
 
     ``order`` must end with a unique key so that the total order is strict.
-    ``by`` columns must not be NULL.
+    A NULL ``by`` value is a group, a NULL value adds nothing.  Doubles are
+    added in partition order; with ``decimals`` they are first taken as whole
+    units of ``10 ** -decimals`` in a long (an overflow raises), so the sums,
+    and what is selected by them, do not depend on the partitions.
     """
     by = list(by)
     keys = [F.col(c) for c in by] + list(order)
-    weight = "_hf_one" if value is None else value
-    base = df if value is not None else df.withColumn(weight, F.lit(1).cast("long"))
+    unit = 10 ** (decimals or 0)
+    whole = {c: decimals is not None or isinstance(
+        df.schema[c].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+        for c in values}
+    work = {c: f"_hf_v{i}" for i, c in enumerate(values)}
+    local = {c: f"_hf_local{i}" for i, c in enumerate(values)}
+    kind = {c: "long" if whole[c] else "double" for c in values}
+    base = df.withColumns({work[c]: F.coalesce(
+        (F.round(F.col(c) * unit) if decimals is not None else F.col(c)).cast(kind[c]),
+        F.lit(0).cast(kind[c])) for c in values})
     s = (base.repartitionByRange(_partitions(df, partitions), *keys)
          .sortWithinPartitions(*keys)
          .withColumn(_PID, F.spark_partition_id()))
-
-    value_type = base.schema[weight].dataType
-    is_int = isinstance(value_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    out_type = T.LongType() if is_int else T.DoubleType()
-    schema = T.StructType(s.schema.fields + [T.StructField("_hf_local", out_type)])
+    schema = T.StructType(s.schema.fields + [
+        T.StructField(local[c], T.LongType() if whole[c] else T.DoubleType()) for c in values])
 
     def scan(batches):
-        last_key, carry = None, 0
+        last_key, carry = None, dict.fromkeys(values, 0)
         for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(_hf_local=pd.Series([], dtype="int64" if is_int else "float64"))
-                continue
-            vals = pdf[weight].fillna(0)
-            if by:
-                cs = vals.groupby([pdf[c] for c in by], sort=False, dropna=False).cumsum()
-                first = tuple(pdf[c].iloc[0] for c in by)
-                if last_key is not None and first == last_key:
+            same = None
+            if by and not pdf.empty:
+                if last_key is not None:
                     same = pd.Series(True, index=pdf.index)
-                    for c, v in zip(by, first):
-                        same &= pdf[c] == v
-                    cs = cs + same.astype(cs.dtype) * carry
+                    for c, v in zip(by, last_key):
+                        same &= pdf[c].isna() if pd.isna(v) else pdf[c] == v
                 last_key = tuple(pdf[c].iloc[-1] for c in by)
-            else:
-                cs = vals.cumsum() + carry
-            carry = cs.iloc[-1]
-            yield pdf.assign(_hf_local=cs.astype("int64" if is_int else "float64"))
-
-    local = materialize(s.mapInPandas(scan, schema), "running_sum")
+            for c in values:
+                cs = pdf[work[c]]
+                if by and not pdf.empty:
+                    cs = cs.groupby([pdf[b] for b in by], sort=False, dropna=False).cumsum()
+                    if same is not None:
+                        cs = cs + same.astype(cs.dtype) * carry[c]
+                elif not pdf.empty:
+                    cs = cs.cumsum() + carry[c]
+                if not pdf.empty:
+                    carry[c] = cs.iloc[-1]
+                pdf[local[c]] = cs.astype("int64" if whole[c] else "float64")
+            yield pdf
+
+    rows = materialize(s.mapInPandas(scan, schema), "running_sum")
 
     # per (partition, group) totals -> exclusive offsets across partitions
-    totals = local.groupBy(_PID, *by).agg(F.sum(weight).alias("_hf_tot"))
-    w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1) \
-        if by else Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(_PID, *by).agg(*[F.sum(work[c]).alias(work[c]) for c in values])
+    w = (Window.partitionBy(*by) if by else Window).orderBy(_PID) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col(_PID).alias("_hf_p"),
                             *[F.col(c).alias(f"_hf_b{i}") for i, c in enumerate(by)],
-                            F.coalesce(F.sum("_hf_tot").over(w), F.lit(0)).alias("_hf_off"))
+                            *[F.coalesce(F.sum(work[c]).over(w), F.lit(0)).alias(f"_hf_off{i}")
+                              for i, c in enumerate(values)])
     # rows = partitions x groups; renamed columns keep the self-join unambiguous
     small = _small_side(offsets, bool(by))
     cond = [F.col(_PID) == F.col("_hf_p")] + [
         F.col(c).eqNullSafe(F.col(f"_hf_b{i}")) for i, c in enumerate(by)]
-    res = (local.join(small, cond, "inner")
-           .select(*base.columns,
-                   (F.col("_hf_off") + F.col("_hf_local")).cast(out_type).alias(out)))
-    if value is None:
-        res = res.drop(weight)
-    return res
+    total = lambda i, c: F.col(f"_hf_off{i}") + F.col(local[c])            # noqa: E731
+    return rows.join(small, cond, "inner").select(*df.columns, *[
+        ((total(i, c) / unit).cast("double") if decimals is not None
+         else total(i, c).cast(kind[c])).alias(out)
+        for i, (c, out) in enumerate(values.items())])
 
 
 def row_number_global(df: DataFrame, order: Sequence[Column], out: str = "rn",
@@ -151,44 +173,47 @@ def row_number_global(df: DataFrame, order: Sequence[Column], out: str = "rn",
         (F.col("_hf_off") + F.col("_hf_loc") - F.col("_hf_first") + 1).cast("long").alias(out))
 
 
-def ntile_expr(rn: str | Column, n_rows: Column, buckets: int) -> Column:
-    """SQL NTILE(buckets) from a 1-based position and the row count.
+def attach(df: DataFrame, by: str, table: DataFrame, max_groups: int = 64,
+           salts: int = 64) -> DataFrame:
+    """``df`` with the columns of ``table`` (one row per ``by``; NULL is a
+    group, a missing one gives NULLs), without sending all rows of a group to
+    one task.
 
-    The first ``n % b`` buckets hold ``n // b + 1`` rows, the others ``n // b``.
+    Up to ``max_groups`` rows of ``table``, counted first, become a map inside
+    the plan: the rows of ``df`` stay where they are.  A larger table is joined
+    on the group and a salt from the whole row, each table row ``salts``-fold.
     """
-    r = F.col(rn) if isinstance(rn, str) else rn
-    q = F.floor(n_rows / buckets)
-    rem = n_rows - q * buckets
-    big = rem * (q + 1)
-    return F.when(q == 0, r).when(
-        r <= big, F.floor((r - 1) / (q + 1)) + 1
-    ).otherwise(rem + F.floor((r - big - 1) / q) + 1).cast("int")
-
-
-def ntile_global(df: DataFrame, buckets: int, order: Sequence[Column], out: str,
-                 partitions: int | None = None) -> DataFrame:
-    """``NTILE(buckets) OVER (ORDER BY order)`` computed without a single task."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    ranked = row_number_global(df, order, "_hf_rn", partitions=partitions)
-    return ranked.withColumn(out, ntile_expr("_hf_rn", n, buckets)).drop("_hf_rn")
-
-
-def rank_within(df: DataFrame, by: Sequence[str], value: str,
-                rank_desc: str | None = None, pct_rank_asc: str | None = None,
-                partitions: int | None = None) -> DataFrame:
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    more = [c for c in table.columns if c != by]
+    if table.limit(max_groups + 1).count() <= max_groups:
+        entries = table.select(F.map_from_entries(F.collect_list(
+            F.struct(key(F.col(by)), F.struct(*more))))).scalar()
+        return df.withColumn("_hf_got", F.try_element_at(entries, key(F.col(by)))) \
+            .select(*df.columns, *[F.col("_hf_got")[c].alias(c) for c in more])
+    side = table.select(key(F.col(by)).alias("_hf_k"), *more,
+                        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_hf_s"))
+    rows = df.withColumn("_hf_key", key(F.col(by))) \
+        .withColumn("_hf_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    return rows.join(side, (F.col("_hf_key") == F.col("_hf_k"))
+                     & (F.col("_hf_salt") == F.col("_hf_s")), "left") \
+        .select(*df.columns, *more)
+
+
+def rank_within(df: DataFrame, by: str, value: str, rank_desc: str | None = None,
+                pct_rank_asc: str | None = None, partitions: int | None = None) -> DataFrame:
     """``RANK() OVER (PARTITION BY by ORDER BY value DESC)`` and
     ``PERCENT_RANK() OVER (PARTITION BY by ORDER BY value)``.
 
     Works on value counts (map-side combined, so a hot value is one row), then
-    joins the per-value answer back; AQE's skew-join handling splits a hot key
-    on the row side.
+    joins the per-value answer back on group and value; AQE's skew-join
+    handling splits a hot key on the row side.  A NULL group is a group, a NULL
+    value is the least of its group.
     """
-    by = list(by)
-    vc = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_hf_cnt"))
-    run = running_sum(vc, [F.col(value).desc()], "_hf_cnt", "_hf_cum", by, partitions)
-    sizes = vc.groupBy(*by).agg(F.sum("_hf_cnt").alias("_hf_n"))
-    per_value = run.join(sizes, by, "inner")
-    cols = [*by, value]
+    vc = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("_hf_cnt"))
+    run = running_sum(vc, [F.col(value).desc_nulls_last()], "_hf_cnt", "_hf_cum", [by], partitions)
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_hf_n"))
+    per_value = attach(run, by, sizes)
+    cols = [F.col(by).alias("_hf_g"), F.col(value).alias("_hf_x")]
     if rank_desc:
         cols.append((F.col("_hf_cum") - F.col("_hf_cnt") + 1).cast("int").alias(rank_desc))
     if pct_rank_asc:
@@ -196,7 +221,8 @@ def rank_within(df: DataFrame, by: Sequence[str], value: str,
         cols.append(F.when(F.col("_hf_n") <= 1, F.lit(0.0))
                     .otherwise(below / (F.col("_hf_n") - 1)).cast("double")
                     .alias(pct_rank_asc))
-    return df.join(per_value.select(*cols), [*by, value], "left")
+    return df.join(per_value.select(*cols), F.col(by).eqNullSafe(F.col("_hf_g"))
+                   & F.col(value).eqNullSafe(F.col("_hf_x")), "left").drop("_hf_g", "_hf_x")
 
 
 def log_bucket(c: Column, per_octave: int = 16) -> Column:
@@ -223,8 +249,9 @@ def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
     b = df.withColumn("_hf_bk", bucket)
     bk = F.col("_hf_bk")
     bud = F.lit(budget) if not isinstance(budget, Column) else budget
-    tot = b.groupBy(*by, "_hf_bk").agg(F.sum(weight).alias("_hf_bt"),
-                                       F.min(bud).alias("_hf_budget"))
+    units = lambda c: F.round(c * 10 ** AMOUNT_DECIMALS).cast("long")       # noqa: E731
+    tot = b.groupBy(*by, "_hf_bk").agg(F.sum(units(F.col(weight))).alias("_hf_bt"),
+                                       F.min(units(bud)).alias("_hf_budget"))
     w = (Window.partitionBy(*by) if by else Window).orderBy(
         bk.isNull(), bk.desc() if descending else bk.asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -248,7 +275,7 @@ def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
     # re-run the whole upstream (e.g. every customer x scenario row) instead
     # of reading the candidates, whose number is bounded by budget / min cost.
     cand = materialize(cand.drop("_hf_bk"), "budget_candidates")
-    return running_sum(cand, order, weight, out, by, partitions)
+    return running_sum(cand, order, weight, out, by, partitions, AMOUNT_DECIMALS)
 
 
 def budget_prefix(df: DataFrame, order: Sequence[Column], bucket: Column,

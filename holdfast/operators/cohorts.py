@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fround
-from ..functions.ranking import row_number_global
+from ..functions.selection import Ranked, with_classes
 from ..params import FeatureParams, ServiceRoles
 
 
-def quartile_score(df: DataFrame, value: str, out: str, key: str = "customer_id") -> DataFrame:
-    """Quartile bins of the first-occurrence rank (W9): bin k is the smallest
+def quartile(rank: int, n: int) -> int:
+    """Quartile bin of the first-occurrence rank (W9): bin k is the smallest
     k with r <= 1 + k(n-1)/4 - quantile edges of the ranks, not NTILE."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    r = row_number_global(df.select(key, value), [F.col(value), F.col(key)], "_r")
-    k = F.ceil((F.col("_r") - 1) * 4 / F.greatest(n - 1, F.lit(1)))
-    return r.select(key, F.greatest(k, F.lit(1)).cast("int").alias(out))
+    return max(1, math.ceil((rank - 1) * 4 / max(n - 1, 1)))
+
+
+def quartile_scores(df: DataFrame, scores: dict[str, str], key: str = "customer_id") -> DataFrame:
+    """``df`` with the quartile score of every value column (value -> result)."""
+    return with_classes(df, [Ranked(v, out, quartile) for v, out in scores.items()], key)
 
 
 def tem_segments(features: DataFrame) -> DataFrame:
     """Tenure / engagement / monetary scores and the ordered-rule segment."""
     base = features.select("customer_id", "tenure_months", "services_held",
                            "monthly_charges", "customer_value_segment", "churned")
-    t = quartile_score(base, "tenure_months", "tenure_score")
-    e = quartile_score(base, "services_held", "engagement_score")
-    m = quartile_score(base, "monthly_charges", "monetary_score")
-    s = base.join(t, "customer_id").join(e, "customer_id").join(m, "customer_id")
+    s = quartile_scores(base, {"tenure_months": "tenure_score",
+                               "services_held": "engagement_score",
+                               "monthly_charges": "monetary_score"})
     ts, es, ms = F.col("tenure_score"), F.col("engagement_score"), F.col("monetary_score")
     label = (F.when((ts >= 3) & (ms >= 3), "Loyal high-value")
              .when((ts <= 2) & (ms >= 3), "New high-value (watch)")

@@ -7,11 +7,14 @@ sums, so no step ranks all rows inside one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fround
-from ..functions.ranking import row_number_global, running_sum
+from ..functions.ranking import running_sums
+from ..functions.selection import Ranked, first_of_class, quantiles, with_classes
 from .value import threshold_bin
 
 
@@ -19,14 +22,11 @@ def stratified_split(df: DataFrame, label: str, seed: int, test_frac: float = 0.
                      key: str = "customer_id") -> DataFrame:
     """Deterministic stratified split (M3): inside each label class, rows in
     md5(key|seed) order; the first ceil(frac * n_class) are the test set."""
-    r = row_number_global(
-        df.withColumn("_y", F.col(label).cast("int"))
-          .withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))),
-        [F.col("_h"), F.col(key)], "_rn", by=["_y"])
-    sizes = r.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
-    return (r.join(sizes, "_y")
-            .withColumn("is_test", F.col("_rn") <= F.ceil(F.col("_n") * test_frac))
-            .drop("_h", "_rn", "_n", "_y"))
+    marked = df.withColumn("_y", F.col(label).cast("int")) \
+        .withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))))
+    # the last test row of each class is found by counting: no row moves
+    test = first_of_class(marked, "_y", "_h", key, lambda n: math.ceil(n * test_frac))
+    return marked.withColumn("is_test", test).drop("_h", "_y")
 
 
 def _yp(df: DataFrame, label: str, proba: str) -> DataFrame:
@@ -50,18 +50,20 @@ def score_counts(df: DataFrame, label: str, proba: str) -> DataFrame:
 def metrics(df: DataFrame, label: str, proba: str, cut: float = 0.5) -> DataFrame:
     """ROC-AUC (average ranks), average precision, Brier, accuracy, precision,
     recall and F1 at ``cut`` (zero division -> 0)."""
-    vc = score_counts(df, label, proba)
-    asc = running_sum(vc, [F.col("p")], "cnt", "_cum")
-    npos = vc.select(F.sum("pos")).scalar()
-    n = vc.select(F.sum("cnt")).scalar()
-    auc = asc.agg(F.sum(F.col("pos") * (F.col("_cum") - (F.col("cnt") - 1) / 2.0)).alias("s"))
-    auc = auc.select(((F.col("s") - npos * (npos + 1) / 2.0) / (npos * (n - npos)))
-                     .alias("auc")).select("auc").scalar()
-    desc_tp = running_sum(vc, [F.col("p").desc()], "pos", "_tp")
-    desc_all = running_sum(vc, [F.col("p").desc()], "cnt", "_all").select("p", "_all")
-    ap = desc_tp.join(desc_all, "p").agg(
-        F.sum(F.col("pos") / npos * (F.col("_tp") / F.col("_all"))).alias("ap")) \
-        .select("ap").scalar()
+    run = running_sums(score_counts(df, label, proba), [F.col("p").desc()],
+                       {"pos": "_tp", "cnt": "_all"})
+    # from one descending scan: rows from below are those that are not above
+    npos, n = F.max("_tp"), F.max("_all")
+    part = run.agg(npos.alias("npos"), n.alias("n"),
+                   F.sum(F.col("pos") / F.col("_all") * F.col("_tp")).alias("ap"),
+                   F.sum(F.col("pos") * (F.col("_all") - (F.col("cnt") + 1) / 2.0)).alias("above"))
+    pos, all_ = F.col("npos"), F.col("n")
+    ranks = part.select(
+        F.try_divide("ap", pos).alias("ap"),
+        # average rank from below = n - (rows above + (ties - 1) / 2)
+        F.try_divide(pos * all_ - F.col("above") - pos * (pos + 1) / 2.0 , pos * (all_ - pos))
+        .alias("auc"))
+    auc, ap = ranks.select("auc").scalar(), ranks.select("ap").scalar()
     yp = _yp(df, label, proba)
     pred = (F.col("p") >= cut).cast("int")
     base = yp.agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"),
@@ -104,13 +106,11 @@ def threshold_sweep(df: DataFrame, label: str, proba: str,
 def decile_lift(df: DataFrame, label: str, proba: str, key: str = "customer_id"
                 ) -> DataFrame:
     """Floor-based deciles of the descending score, lift and cumulative
-    capture (W10, W13, E5); rows are ranked with the distributed row number."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    r = row_number_global(df.select(key, F.col(label).cast("int").alias("y"),
-                                    F.col(proba).alias("p")),
-                          [F.col("p").desc(), F.col(key)], "_rn")
-    dec = F.least(F.floor((F.col("_rn") - 1) / (n / 10.0)) + 1, F.lit(10)).cast("int")
-    g = r.groupBy(dec.alias("decile")).agg(F.count(F.lit(1)).alias("customers"),
+    capture (W10, W13, E5); the decile boundaries are found by counting."""
+    r = with_classes(df.select(key, F.col(label).cast("int").alias("y"), F.col(proba).alias("p")),
+                     [Ranked("p", "decile", lambda rank, n: min(
+                         math.floor((rank - 1) / (n / 10.0)) + 1, 10), descending=True)], key)
+    g = r.groupBy("decile").agg(F.count(F.lit(1)).alias("customers"),
                                            F.sum("y").cast("long").alias("churners"))
     base = r.select(F.avg("y")).scalar()
     total = r.select(F.sum("y")).scalar()
@@ -123,21 +123,22 @@ def decile_lift(df: DataFrame, label: str, proba: str, key: str = "customer_id"
 
 
 def reliability(df: DataFrame, label: str, proba: str, bins: int = 10) -> DataFrame:
-    """Quantile-binned reliability table (E3): exact percentile edges (the
-    score has at most 10^6 + 1 distinct values, so the percentile buffer is
-    bounded), left-search binning, empty bins dropped."""
+    """Quantile-binned reliability table (E3): exact edges, found by counting,
+    left-search binning, empty bins dropped; max_gap is the largest gap of all
+    bins."""
     yp = _yp(df, label, proba)
-    qs = [i / bins for i in range(1, bins)]
-    edges = yp.select(F.percentile("p", F.array(*[F.lit(q) for q in qs]))).scalar()
-    # left search: number of inner edges strictly below p (identical subqueries
-    # are planned once)
-    binid = sum(F.when(F.element_at(edges, i + 1) < F.col("p"), 1).otherwise(0)
-                for i in range(len(qs)))
+    edges = quantiles(yp, {"p": [i / bins for i in range(1, bins)]})["p"]
+    # left search: number of inner edges strictly below p
+    binid = F.lit(0)
+    for e in edges:
+        binid = binid + (F.lit(e) < F.col("p")).cast("int")
     g = yp.groupBy(binid.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("t"), F.avg("p").alias("m"))
     return g.select("bin", "n", fround("t", 6).alias("frac_positive"),
                     fround("m", 6).alias("mean_predicted"),
-                    fround(F.abs(F.col("t") - F.col("m")), 6).alias("gap"))
+                    fround(F.abs(F.col("t") - F.col("m")), 6).alias("gap"),
+                    fround(F.max(F.abs(F.col("t") - F.col("m")))
+                           .over(Window.partitionBy()), 6).alias("max_gap"))   # a row per bin
 
 
 def roc_pr_points(df: DataFrame, label: str, proba: str) -> DataFrame:
@@ -146,9 +147,7 @@ def roc_pr_points(df: DataFrame, label: str, proba: str) -> DataFrame:
     vc = score_counts(df, label, proba)
     npos = vc.select(F.sum("pos")).scalar()
     nneg = vc.select(F.sum(F.col("cnt") - F.col("pos"))).scalar()
-    tp = running_sum(vc, [F.col("p").desc()], "pos", "_tp")
-    al = running_sum(vc, [F.col("p").desc()], "cnt", "_all").select("p", "_all")
-    j = tp.join(al, "p")
+    j = running_sums(vc, [F.col("p").desc()], {"pos": "_tp", "cnt": "_all"})
     fp = F.col("_all") - F.col("_tp")
     return j.select(F.col("p").alias("threshold"),
                     fround(F.try_divide(fp, nneg), 6).alias("fpr"),

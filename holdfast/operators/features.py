@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag, fround, lookup, right_inclusive_bucket, safe_ratio
-from ..functions.ranking import ntile_global, rank_within
+from ..functions.ranking import attach, rank_within
+from ..functions.selection import Ranked, ntile, with_classes
 from ..params import FeatureParams, ServiceRoles
 from ..session import materialize
 
@@ -71,23 +72,16 @@ def feature_view(customer: DataFrame, account: DataFrame, service: DataFrame,
                  roles: ServiceRoles, p: FeatureParams = FeatureParams()) -> DataFrame:
     base = materialize(base_view(customer, account, service, roles), "feature_base")
 
-    # Each ranking runs on a narrow (key, order column) projection and is joined
-    # back on the customer key, so no ranker carries the wide row through its
-    # range exchange and the rankers do not nest inside each other's plans.
-    dec = ntile_global(base.select("customer_id", "monthly_charges"), p.arpu_deciles,
-                       [F.col("monthly_charges"), F.col("customer_id")], "arpu_decile")
-    qrt = ntile_global(base.select("customer_id", "tenure_months"), p.tenure_quantiles,
-                       [F.col("tenure_months"), F.col("customer_id")], "tenure_quartile")
-    rnk = rank_within(base.select("customer_id", "contract_type", "monthly_charges"),
-                      ["contract_type"], "monthly_charges",
-                      rank_desc="arpu_rank_in_contract",
-                      pct_rank_asc="arpu_pctile_in_contract")
-    # Cohort mean as an aggregate joined back (partial aggregation, no big window).
-    cohort = base.groupBy("contract_type").agg(F.avg("monthly_charges").alias("_avg"))
-    w = (base.join(dec.drop("monthly_charges"), "customer_id")
-         .join(qrt.drop("tenure_months"), "customer_id")
-         .join(rnk.drop("contract_type", "monthly_charges"), "customer_id")
-         .join(cohort, "contract_type", "left"))
+    # Boundary rows are found by counting, then each row is compared
+    # with them; W3, W4: ranks join back on (contract, charge); W5: the cohort
+    # mean is an aggregate that is looked up, no row is hashed on its contract.
+    w = with_classes(base, [Ranked("monthly_charges", "arpu_decile", ntile(p.arpu_deciles)),
+                            Ranked("tenure_months", "tenure_quartile", ntile(p.tenure_quantiles))],
+                     "customer_id")
+    w = attach(w, "contract_type",
+               base.groupBy("contract_type").agg(F.avg("monthly_charges").alias("_avg")))
+    w = rank_within(w, "contract_type", "monthly_charges", rank_desc="arpu_rank_in_contract",
+                    pct_rank_asc="arpu_pctile_in_contract")
 
     tiers = p.value_tiers
     score = risk_score(p)

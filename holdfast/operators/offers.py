@@ -115,9 +115,9 @@ def greedy_roi(assigned: DataFrame, budget, by: list[str] = ()) -> DataFrame:
 
 
 def rank_by_probability(assigned: DataFrame, budget, by: list[str] = ()) -> DataFrame:
-    """Riskiest first, ignoring value and cost (D9); buckets of 1/1024."""
+    """Riskiest first, ignoring value and cost (D9); buckets of 1/16384."""
     return _prefix(assigned, [F.col("churn_proba").desc(), F.col("customer_id")],
-                   budget, list(by), F.floor(F.col("churn_proba") * 1024), True)
+                   budget, list(by), F.floor(F.col("churn_proba") * 16384), True)
 
 
 def random_order_key(seed: int) -> Column:
@@ -126,10 +126,10 @@ def random_order_key(seed: int) -> Column:
 
 def random_selection(assigned: DataFrame, budget, seed: int, by: list[str] = ()) -> DataFrame:
     """A reproducible random order (md5 of key and seed) under the budget (D10);
-    the first two hex digits of the hash are the bucket."""
+    the first four hex digits of the hash are the bucket."""
     return _prefix(assigned.withColumn("_rk", random_order_key(seed)),
                    [F.col("_rk"), F.col("customer_id")], budget, list(by),
-                   F.substring("_rk", 1, 2), False).drop("_rk")
+                   F.substring("_rk", 1, 4), False).drop("_rk")
 
 
 def _totals(sel: DataFrame, strategy: str) -> DataFrame:

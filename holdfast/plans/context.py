@@ -81,8 +81,9 @@ class Context:
         return self._once("customer_value", build)
 
     def assigned(self) -> DataFrame:
-        return self._once("assigned", lambda: OF.assign_offers(
-            self.customer_value(), self.settings.offers))
+        """The offer of every customer; written, since each strategy reads it."""
+        return self._once("assigned", lambda: materialize(OF.assign_offers(
+            self.customer_value(), self.settings.offers), "assigned"))
 
     def greedy(self) -> DataFrame:
         """The ROI-greedy selection under the budget (D8); already written to

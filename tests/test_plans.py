@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from holdfast.functions.ranking import ntile_global, running_sum
+from holdfast.functions.ranking import running_sum
+from holdfast.functions.selection import Ranked, ntile, with_classes
 from holdfast.params import driver_settings
 from holdfast.sources import roles as R
 
@@ -64,14 +65,14 @@ def _gathered_children(plan: str) -> list[str]:
 
 
 def test_global_ranking_has_no_single_task_sort_of_rows(spark):
-    """NTILE / running sums range-partition the rows; whatever is gathered into
+    """NTILE counts, running sums range-partition the rows; whatever is gathered into
     one partition is an aggregate (per-task partials, per-partition totals),
     never the rows themselves."""
     df = spark.range(0, 20000).select(F.col("id").alias("k"),
                                       (F.col("id") % 7).cast("double").alias("v"))
     naive = df.withColumn("t", F.ntile(10).over(Window.orderBy("v", "k")))
     assert any("HashAggregate" not in c for c in _gathered_children(_plan(naive)))
-    for res in (ntile_global(df, 10, [F.col("v"), F.col("k")], "t"),
+    for res in (with_classes(df, [Ranked("v", "t", ntile(10))], "k"),
                 running_sum(df, [F.col("v"), F.col("k")], "v", "cum")):
         children = _gathered_children(_plan(res))
         assert all("HashAggregate" in c for c in children), _plan(res)

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.ranking import ntile_global, rank_within, running_sum
+from holdfast.functions.ranking import attach, rank_within, running_sum, running_sums
 
 
 def _frame(spark, n=5000):
@@ -27,17 +27,9 @@ def test_running_sum_matches_window(spark):
         assert j.filter(F.abs(F.col("cum") - F.col("ref")) > 1e-9).count() == 0
 
 
-def test_ntile_matches_sql(spark):
-    for n in (13, 1000, 4):
-        df = _frame(spark, n)
-        got = ntile_global(df, 10, [F.col("o"), F.col("k")], "t").select("k", "t")
-        ref = df.select("k", F.ntile(10).over(Window.orderBy("o", "k")).alias("r"))
-        assert got.join(ref, "k").filter(F.col("t") != F.col("r")).count() == 0
-
-
 def test_rank_and_percent_rank_match(spark):
     df = _frame(spark, 3000)
-    got = rank_within(df, ["g"], "o", "rk", "pr")
+    got = rank_within(df, "g", "o", "rk", "pr")
     w = Window.partitionBy("g")
     ref = df.select("k", F.rank().over(w.orderBy(F.col("o").desc())).alias("rk2"),
                     F.percent_rank().over(w.orderBy("o")).alias("pr2"))
@@ -83,3 +75,75 @@ def test_grouped_offsets_are_not_forced_to_broadcast(spark):
     j = r.join(ref, "k")
     assert j.count() == df.count()
     assert j.filter(F.abs(F.col("cum") - F.col("ref")) > 1e-9).count() == 0
+
+
+def test_ranks_of_null_groups_and_values(spark):
+    df = spark.createDataFrame(
+        [(i, None if i % 7 == 0 else f"g{i % 2}", None if i % 5 == 0 else float(i % 4))
+         for i in range(140)], "k long, g string, o double")
+    got = rank_within(df, "g", "o", "rk", "pr").select("k", "rk", "pr")
+    w = Window.partitionBy("g")
+    want = df.select("k", F.rank().over(w.orderBy(F.desc_nulls_last("o"))).alias("rk"),
+                     F.percent_rank().over(w.orderBy(F.asc_nulls_first("o"))).alias("pr"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 140
+
+
+def test_running_sum_of_null_groups_across_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame([(i, None if i % 3 else "a", i % 5) for i in range(100)],
+                                   "k long, g string, v long")
+        got = {r["k"]: (r["s"], r["n"]) for r in running_sums(
+            df.withColumn("one", F.lit(1).cast("long")), [F.col("k")], {"v": "s", "one": "n"},
+            ["g"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for null in (True, False):
+        s = n = 0
+        for i in range(100):
+            if (i % 3 != 0) == null:
+                s, n = s + i % 5, n + 1
+                assert got[i] == (s, n)
+
+
+def test_fixed_point_sums_do_not_depend_on_partitions(spark):
+    """Tenths do not add up exactly as doubles; budgets lie exactly on a sum."""
+    df = spark.range(0, 3000).select(
+        F.col("id").alias("k"), ((F.col("id") * 7919) % 3001).alias("o"),
+        (F.col("id") % 9 * 0.1 + 0.1).alias("c"))
+    seen = set()
+    for partitions in (1, 3, 8):
+        r = running_sum(df, [F.col("o"), F.col("k")], "c", "cum", partitions=partitions,
+                        decimals=6).collect()
+        seen.add(tuple(sorted((x["k"], x["cum"]) for x in r)))
+    assert len(seen) == 1
+    cents = {x["k"]: round(x["c"] * 10) for x in df.collect()}
+    total, at = 0, dict(next(iter(seen)))
+    for k in sorted(cents, key=lambda k: ((k * 7919) % 3001, k)):
+        total += cents[k]
+        assert at[k] == total / 10
+
+
+def test_attach_leaves_rows_of_a_hot_group_where_they_are(spark):
+    """With broadcasts switched off no row is exchanged on the group alone."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(0, 900).select(
+            F.col("id").alias("k"),
+            F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None)
+            .otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"))
+        table = df.filter("g IS NULL OR g <> 'g5'").groupBy("g").agg(F.count("*").alias("n"))
+        want = sorted(((r["k"], r["n"]) for r in df.alias("a").join(
+            table.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")), "left")
+            .select("a.k", "b.n").collect()), key=repr)
+        for groups in (1000, 2):
+            got = attach(df, "g", table, max_groups=groups)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastExchange" not in plan
+            assert ("Join" in plan) == (groups == 2)
+            assert groups == 1000 or "_hf_salt" in plan
+            assert sorted(((r["k"], r["n"]) for r in got.collect()), key=repr) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
