@@ -235,9 +235,9 @@ def log_bucket(c: Column, per_octave: int = 16) -> Column:
 def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
                       descending: bool, weight: str, budget: Column | float,
                       out: str = "cum_cost", by: Sequence[str] = (),
-                      partitions: int | None = None) -> DataFrame:
-    """Rows of the buckets that start within the budget, with their exact
-    inclusive running ``weight``; see :func:`budget_prefix`.  The result also
+                      partitions: int | None = None, rank: str = "rank") -> DataFrame:
+    """Rows of the buckets that start within the budget, with their place
+    ``rank`` (from 1, per group) and their exact inclusive running ``weight``; see :func:`budget_prefix`.  The result also
     holds the first row that overflows the budget.
 
     ``bucket`` must take a bounded number of values (e.g. :func:`log_bucket`,
@@ -274,8 +274,10 @@ def budget_candidates(df: DataFrame, order: Sequence[Column], bucket: Column,
     # exchange, so without the write both the sample and the sort would
     # re-run the whole upstream (e.g. every customer x scenario row) instead
     # of reading the candidates, whose number is bounded by budget / min cost.
-    cand = materialize(cand.drop("_hf_bk"), "budget_candidates")
-    return running_sum(cand, order, weight, out, by, partitions, AMOUNT_DECIMALS)
+    cand = materialize(cand.drop("_hf_bk", rank), "budget_candidates")
+    ranked = running_sums(cand.withColumn("_hf_one", F.lit(1)), order,
+                          {weight: out, "_hf_one": rank}, by, partitions, AMOUNT_DECIMALS)
+    return ranked.withColumn(rank, F.col(rank).cast("long")).drop("_hf_one")
 
 
 def budget_prefix(df: DataFrame, order: Sequence[Column], bucket: Column,

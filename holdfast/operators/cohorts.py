@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fround
@@ -42,11 +42,13 @@ def tem_segments(features: DataFrame) -> DataFrame:
 
 
 def segment_profile(segments: DataFrame) -> DataFrame:
-    """Size, mean spend and churn per segment."""
-    return segments.groupBy("rfm_segment").agg(
+    """Size, mean spend and churn per segment (A8), ranked by churn."""
+    per = segments.groupBy("rfm_segment").agg(
         F.count(F.lit(1)).alias("customers"),
         fround(F.avg("monthly_charges"), 1).alias("avg_arpu"),
         fround(F.avg(F.col("churned").cast("int")), 3).alias("churn_rate"))
+    return per.withColumn("rank", F.row_number().over(           # a row per segment
+        Window.orderBy(F.desc("churn_rate"), "rfm_segment")))
 
 
 def tenure_cohorts(features: DataFrame) -> DataFrame:

@@ -6,6 +6,12 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,42 +110,76 @@ def itt_wald(assigned: DataFrame, outcome: str, received: str) -> DataFrame:
                     fround(F.try_divide(itt, uptake), 6).alias("wald_late"))
 
 
-def poisson1_weight(u):
-    """Poisson(1) draw by inverting the CDF at a uniform u, over every value
-    that a double below 1 can reach."""
-    cdf, term, k = 0.36787944117144233, 0.36787944117144233, 0
-    expr = F.lit(0)
-    while cdf < 1.0 - 2.0 ** -53:
-        expr = expr + F.when(u > cdf, 1).otherwise(0)
+def poisson1_steps(bits: int = 32) -> list[int]:
+    """Least ``bits``-bit numbers whose Poisson(1) weight is 1, 2, ...: the
+    weight of a uniform number is how many of them do not exceed it."""
+    size, steps, k = 1 << bits, [], 0
+    term = cdf = Fraction(math.exp(-1))
+    while cdf * size <= size - 1:
+        steps.append(math.ceil(cdf * size))
         k += 1
         term /= k
         cdf += term
-        if term < 2.0 ** -60:
-            break
-    return expr
+    return steps
 
 
 def bootstrap_diff(assigned: DataFrame, outcome: str, replicates: int = 200, seed: int = 42,
                    key: str = "customer_id", level: float = 0.95) -> DataFrame:
     """Difference in means (treatment - control) with a Poisson-bootstrap
-    percentile interval (B4).  Each row carries one weight per replicate
-    (a generator over the replicate count, a parameter), reduced by a
-    grouped aggregate to replicates x arms rows."""
-    reps = assigned.select(key, "arm", F.col(outcome).cast("double").alias("_y"),
-                           F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    h = F.xxhash64(F.col(key), F.col("rep"), F.lit(seed))
-    u = (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    w = reps.withColumn("_w", poisson1_weight(u))
-    per = w.groupBy("rep").agg(
-        (F.sum(F.when(F.col("arm") == "treatment", F.col("_w") * F.col("_y")))
-         / F.sum(F.when(F.col("arm") == "treatment", F.col("_w")))
-         - F.sum(F.when(F.col("arm") == "control", F.col("_w") * F.col("_y")))
-         / F.sum(F.when(F.col("arm") == "control", F.col("_w")))).alias("d"))
-    alpha = (1 - level) / 2
-    point = assigned.select(
-        (F.avg(F.when(F.col("arm") == "treatment", F.col(outcome).cast("double")))
-         - F.avg(F.when(F.col("arm") == "control", F.col(outcome).cast("double"))))).scalar()
-    return per.agg(fround(point, 6).alias("estimate"),
-                   fround(F.percentile("d", alpha), 6).alias("ci_low"),
-                   fround(F.percentile("d", 1 - alpha), 6).alias("ci_high"),
-                   F.count(F.lit(1)).alias("replicates"))
+    percentile interval (B4).
+
+    A row's weights come from md5(key|seed|i), four replicates from each
+    digest, so any engine can repeat them.  No row is expanded: a task keeps,
+    per arm, the replicates' weighted sums as two arrays, so that partitions x
+    arms rows are shuffled.  Rows without an outcome or outside the two arms
+    take no part; a replicate in which an arm weighs nothing is left out.
+    """
+    steps = np.array(poisson1_steps(), np.uint64)
+    digests = -(-replicates // 4)
+
+    def add(batches):
+        sums: dict[str, list] = {}
+        for batch in batches:
+            keys, y = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            arms = np.array(batch.column(1).to_pylist(), object)
+            for lo in range(0, len(keys), 2048):
+                u = np.frombuffer(b"".join(
+                    md5(f"{k}|{seed}|{i}".encode()).digest()
+                    for k in keys[lo:lo + 2048] for i in range(digests)), ">u4")
+                w = np.searchsorted(steps, u.astype(np.uint64), "right").astype(float)
+                w = w.reshape(-1, 4 * digests)[:, :replicates]
+                for arm in set(arms[lo:lo + 2048]):
+                    own = arms[lo:lo + 2048] == arm
+                    s = sums.setdefault(arm, [0, 0.0, np.zeros(replicates), np.zeros(replicates)])
+                    part = y[lo:lo + 2048][own]
+                    s[0] += len(part)
+                    s[1] += float(part.sum())
+                    s[2] += w[own].sum(axis=0)
+                    s[3] += part @ w[own]
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums)), pa.array([s[0] for s in sums.values()], pa.int64()),
+                 pa.array([s[1] for s in sums.values()]), pa.array([s[2] for s in sums.values()]),
+                 pa.array([s[3] for s in sums.values()])], ["arm", "n", "y", "w", "wy"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = lambda c: [np.sum(table.column(c).to_pylist(), axis=0)]     # noqa: E731
+        return pa.table({"arm": table.column("arm")[:1], "n": pa.array(total("n"), pa.int64()),
+                         "y": total("y"), "w": total("w"), "wy": total("wy")})
+
+    kind = "arm string, n long, y double, w array<double>, wy array<double>"
+    arms = (assigned.filter(F.col("arm").isin("treatment", "control"))
+            .select(F.col(key).cast("string"), "arm", F.col(outcome).cast("double").alias("y"))
+            .filter("y IS NOT NULL").mapInArrow(add, kind).groupBy("arm").applyInArrow(merge, kind))
+    mean = lambda arm: F.max(F.when(F.col("arm") == arm, F.try_divide("v", "n")))
+    diff = mean("treatment") - mean("control")
+    # replicate 0 holds the plain means
+    rows = arms.select("arm", F.posexplode(F.arrays_zip(
+        F.concat(F.array(F.col("n").cast("double")), "w").alias("n"),
+        F.concat(F.array("y"), "wy").alias("v"))).alias("rep", "s")).select("arm", "rep", "s.*")
+    per = rows.groupBy("rep").agg(diff.alias("d"))
+    d, alpha = F.when(F.col("rep") > 0, F.col("d")), (1 - level) / 2
+    return per.agg(fround(F.max(F.when(F.col("rep") == 0, F.col("d"))), 6).alias("estimate"),
+                   fround(F.percentile(d, alpha), 6).alias("ci_low"),
+                   fround(F.percentile(d, 1 - alpha), 6).alias("ci_high"),
+                   F.count(d).alias("replicates"))

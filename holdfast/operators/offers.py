@@ -100,8 +100,8 @@ def offer_summary(assigned: DataFrame) -> DataFrame:
 
 def _prefix(df: DataFrame, order: list[Column], budget, by: list[str],
             bucket: Column, descending: bool) -> DataFrame:
-    """Rows whose running cost in ``order`` stays within the budget (W11);
-    only rows in buckets that start within the budget are sorted."""
+    """Rows whose running cost in ``order`` stays within the budget (W11), with
+    their rank; only rows in buckets that start within the budget are sorted."""
     return budget_prefix(df, order, bucket, descending, "offer_cost", budget,
                          "cum_cost", by)
 
@@ -189,5 +189,6 @@ def knapsack_bound(assigned: DataFrame, budget: float,
 
 
 def contact_list(assigned: DataFrame, budget: float) -> DataFrame:
-    """The deliverable: ROI-greedy selection, 10 columns."""
-    return greedy_roi(assigned, budget).select(*CONTACT_COLUMNS)
+    """The deliverable: ROI-greedy selection in rank order, 10 columns and the
+    rank (S7, T1)."""
+    return greedy_roi(assigned, budget).select("rank", *CONTACT_COLUMNS)

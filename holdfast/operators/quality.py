@@ -1,5 +1,5 @@
 """Data-quality gate (Q1-Q10, Q12): each check is one row
-(dimension, name, metric, passed, severity).
+(dimension, name, metric, passed, severity, detail).
 
 Every family is a single aggregate pass: null rates of all columns in one
 ``agg``, correlations of all numeric columns in one ``agg``, then ``stack``
@@ -15,14 +15,15 @@ from pyspark.sql import types as T
 from ..functions.exprs import fround
 from ..params import QualityParams, ServiceRoles
 
-CHECK_COLUMNS = ("dimension", "name", "metric", "passed", "severity")
+CHECK_COLUMNS = ("dimension", "name", "metric", "passed", "severity", "detail")
 NUMERIC_TYPES = (T.IntegerType, T.LongType, T.ShortType, T.DoubleType, T.BooleanType)
 
 
-def _row(df: DataFrame, dimension: str, name: str, metric, passed, severity="hard"):
+def _row(df: DataFrame, dimension: str, name: str, metric, passed, severity="hard", detail=None):
     return df.select(F.lit(dimension).alias("dimension"), F.lit(name).alias("name"),
                      metric.cast("double").alias("metric"), passed.alias("passed"),
-                     F.lit(severity).alias("severity"))
+                     F.lit(severity).alias("severity"),
+                     (F.lit("") if detail is None else detail).alias("detail"))
 
 
 def _stack(wide: DataFrame, names: list[str], prefix: str) -> DataFrame:
@@ -43,7 +44,7 @@ def completeness(features: DataFrame, q: QualityParams) -> DataFrame:
                         F.concat(F.lit("nonnull:"), "key").alias("name"),
                         fround("value", 5).alias("metric"),
                         (F.col("value") <= allowed).alias("passed"),
-                        F.lit("hard").alias("severity"))
+                        F.lit("hard").alias("severity"), F.lit("").alias("detail"))
 
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,27 +141,37 @@ def label_correlations(features: DataFrame, q: QualityParams, label: str = "chur
 def leakage(features: DataFrame, q: QualityParams, label: str = "churned") -> DataFrame:
     """Worst predictor (T5) against the alarm level (Q10)."""
     corr = label_correlations(features, q, label, rounded=False)
-    worst = corr.agg(F.max("abs_corr").alias("m"))
+    worst = corr.agg(F.max(F.struct("abs_corr", "feature")).alias("w")) \
+        .select(F.col("w.abs_corr").alias("m"), F.col("w.feature").alias("column"))
     m = F.coalesce(F.col("m"), F.lit(0.0))
     inside = label in numeric_features(features, q.model_excludes)
     return (_row(worst, "leakage", "no_near_perfect_predictor", fround(m, 4),
-                 m < q.leakage_alarm)
+                 m < q.leakage_alarm, detail=F.coalesce("column", F.lit("")))
             .unionByName(_row(worst, "leakage", "target_excluded_from_X", F.lit(float(inside)),
                               F.lit(not inside))))
 
 
-def freshness(df: DataFrame, q: QualityParams) -> DataFrame:
-    """Age of the newest input file against the SLA (Q1)."""
-    age = df.select(F.col("_metadata.file_modification_time").alias("m")).agg(
-        ((F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.max("m")))
-         / 86400.0).alias("age"))
+def freshness(loaded: DataFrame, q: QualityParams, clock=None) -> DataFrame:
+    """Age in days of the newest input file against the SLA (Q1).
+
+    The age is taken at ``clock`` (a timestamp column; default: now, or
+    ``q.check_days_after_load`` days after the load where that is set).  An
+    input without files fails.
+    """
+    m = loaded.select(F.col("_metadata.file_modification_time").alias("m")).agg(
+        F.max("m").alias("m"))
+    if clock is None:
+        clock = F.current_timestamp() if q.check_days_after_load is None else \
+            F.col("m") + F.make_dt_interval(secs=F.lit(86400 * q.check_days_after_load))
+    age = m.select((F.unix_micros(clock.cast("timestamp")) - F.unix_micros("m")).alias("us")) \
+        .select((F.col("us") / 86400e6).alias("age"))
     return _row(age, "freshness", "load_age_within_sla", fround("age", 3),
-                F.col("age") <= q.freshness_sla_days)
+                F.coalesce(F.col("age") <= q.freshness_sla_days, F.lit(False)))
 
 
 def _bad_values(df: DataFrame, domains: dict[str, tuple[str, ...]]) -> DataFrame:
     """One row with, per column, the number of distinct values outside its
-    allowed set, NULL counted as one value - the same answer as
+    allowed set (and the least of them), NULL counted as one value - the same answer as
     :func:`domain_violations`.  Values are filtered before they are made
     distinct, so on clean data nothing is shuffled and nothing is expanded."""
     values = df.select(F.inline(F.array(*[
@@ -168,20 +179,27 @@ def _bad_values(df: DataFrame, domains: dict[str, tuple[str, ...]]) -> DataFrame
                  F.coalesce(F.col(c).isin(*allowed), F.lit(False)).alias("fine"))
         for c, allowed in domains.items()])))
     bad = values.filter(~F.col("fine")).select("k", "v").distinct()
-    return bad.agg(*[F.count_if(F.col("k") == c).alias(f"bad_{c}") for c in domains])
+    value = F.coalesce("v", F.lit("NULL"))
+    return bad.agg(*[F.count_if(F.col("k") == c).alias(f"bad_{c}") for c in domains],
+                   *[F.coalesce(F.min(F.when(F.col("k") == c, value)), F.lit(""))
+                     .alias(f"least_{c}") for c in domains])
 
 
 def _rows(wide: DataFrame, specs: list[tuple]) -> DataFrame:
-    """One-row aggregate -> check rows; spec = (dimension, name, metric, passed, severity)."""
+    """One-row aggregate -> check rows; spec = (dimension, name, metric, passed,
+    severity) and, where there is one, detail."""
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(d).alias("dimension"), F.lit(n).alias("name"),
                  m.cast("double").alias("metric"), p.alias("passed"),
-                 F.lit(sev).alias("severity")) for d, n, m, p, sev in specs])))
+                 F.lit(sev).alias("severity"), (more[0] if more else F.lit("")).alias("detail"))
+        for d, n, m, p, sev, *more in specs])))
 
 
 def run_checks(features: DataFrame, customer: DataFrame, account: DataFrame,
-               service: DataFrame, roles: ServiceRoles, q: QualityParams) -> DataFrame:
-    """All checks in a few scans: one aggregate over the feature view (null
+               service: DataFrame, roles: ServiceRoles, q: QualityParams,
+               loaded: DataFrame, clock=None) -> DataFrame:
+    """All checks in a few scans: the load age of ``loaded`` (a table read from
+    files), one aggregate over the feature view (null
     rates and label correlations together), one over accounts (rules, ranges),
     one domain scan each over accounts and customers, and the two
     key-uniqueness group-bys; the add-on dependency reads the service table
@@ -195,14 +213,18 @@ def run_checks(features: DataFrame, customer: DataFrame, account: DataFrame,
     # compared raw, rounded for display only
     absc = [F.coalesce(F.nanvl(F.abs(f"_c{i}"), F.lit(0.0)), F.lit(0.0))
             for i in range(len(num))]
-    worst = F.greatest(*absc) if len(absc) > 1 else (absc[0] if absc else F.lit(0.0))
+    # the column of the greatest one, the last by name on ties (T5)
+    top = F.array_max(F.array(*[F.struct(v.alias("v"), F.lit(c).alias("c"))
+                                for v, c in zip(absc, num)]) if num else
+                      F.array(F.struct(F.lit(0.0).alias("v"), F.lit("").alias("c"))))
+    worst = top["v"]
     specs = []
     for i, c in enumerate(cols):
         allowed = q.total_null_allowance if c == "total_charges" else 0.0
         specs.append(("completeness", f"nonnull:{c}", fround(f"_n{i}", 5),
                       F.col(f"_n{i}") <= allowed, "hard"))
     specs.append(("leakage", "no_near_perfect_predictor", fround(worst, 4),
-                  worst < q.leakage_alarm, "hard"))
+                  worst < q.leakage_alarm, "hard", top["c"]))
     specs.append(("leakage", "target_excluded_from_X", F.lit(float("churned" in num)),
                   F.lit("churned" not in num), "hard"))
     feature_rows = _rows(fw, specs)
@@ -227,8 +249,8 @@ def run_checks(features: DataFrame, customer: DataFrame, account: DataFrame,
 
     def domain_rows(df, domains):
         return _rows(_bad_values(df, domains), [
-            ("accuracy", f"domain:{c}", F.col(f"bad_{c}"), F.col(f"bad_{c}") == 0, "hard")
-            for c in domains])
+            ("accuracy", f"domain:{c}", F.col(f"bad_{c}"), F.col(f"bad_{c}") == 0, "hard",
+             F.col(f"least_{c}")) for c in domains])
 
     account_rows = account_rows.unionByName(domain_rows(
         account, {"contract_type": q.contract_domain, "payment_method": q.payment_domain}))
@@ -242,7 +264,8 @@ def run_checks(features: DataFrame, customer: DataFrame, account: DataFrame,
                            != (F.col("status") == "No internet service")).alias("v")))
     dep_rows = _rows(dep, [("consistency", "internet_dependency", F.col("v"),
                             F.col("v") == 0, "hard")])
-    return (feature_rows.unionByName(uniqueness(customer, service))
+    return (freshness(loaded, q, clock).unionByName(feature_rows)
+            .unionByName(uniqueness(customer, service))
             .unionByName(account_rows).unionByName(customer_rows).unionByName(dep_rows))
 
 

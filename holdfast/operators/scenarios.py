@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fround
@@ -137,21 +137,31 @@ def one_way(results: DataFrame) -> DataFrame:
         "sweep", "value", fround("net_retained", 0).alias("net_retained"))
 
 
-def two_way(results: DataFrame) -> DataFrame:
-    return results.filter(F.col("sweep") == "grid").select(
-        "acceptance_scale", "cost_multiplier", fround("net_retained", 0).alias("net_retained"))
+def two_way(results: DataFrame, sw: SweepParams) -> DataFrame:
+    """Net retained as a grid: a row per acceptance scale, a column per cost
+    multiplier, cost_x0_5 and so on (D15)."""
+    mults = list(sw.grid_multipliers)
+    grid = results.filter(F.col("sweep") == "grid").groupBy("acceptance_scale") \
+        .pivot("cost_multiplier", mults).agg(F.first(fround("net_retained", 0)))
+    return grid.select("acceptance_scale", *[F.col(f"`{m}`").alias(grid_column(m)) for m in mults])
+
+
+def grid_column(multiplier: float) -> str:
+    return f"cost_x{multiplier}".replace(".", "_")
 
 
 def swing(results: DataFrame) -> DataFrame:
-    """Low/high change against the baseline per assumption, widest first."""
+    """Low/high change against the baseline per assumption, ranked, the widest
+    first (D17)."""
     base = results.filter(F.col("sweep") == "baseline").select(
         fround("net_retained", 0)).scalar()
-    ow = one_way(results)
-    return ow.groupBy("sweep").agg(
+    spans = one_way(results).groupBy("sweep").agg(
         (F.min("net_retained") - base).alias("low_delta"),
         (F.max("net_retained") - base).alias("high_delta")).select(
         "sweep", "low_delta", "high_delta",
         (F.col("high_delta") - F.col("low_delta")).alias("span"))
+    return spans.withColumn("rank", F.row_number().over(        # a row per assumption
+        Window.orderBy(F.desc("span"), "sweep")))
 
 
 def named(results: DataFrame, sw: SweepParams) -> DataFrame:

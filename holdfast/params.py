@@ -119,6 +119,7 @@ class FeatureParams:
 @dataclass(frozen=True)
 class QualityParams:
     freshness_sla_days: float = 30.0
+    check_days_after_load: float | None = None      # None: checked now
     total_null_allowance: float = 0.01
     total_tolerance: float = 0.05
     soft_pass_share: float = 0.75
@@ -210,6 +211,7 @@ def driver_settings() -> Settings:
             risk_payment="1-URGENT",
         ),
         quality=QualityParams(
+            check_days_after_load=1.0,              # the given files have no load date of their own
             charge_range=(0.0, 200.0 * m),
             contract_domain=DRIVER_SEGMENTS,
             payment_domain=DRIVER_PRIORITIES,

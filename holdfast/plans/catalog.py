@@ -157,10 +157,11 @@ from ..operators import value as VL  # noqa: E402
 
 def _checks(c: Context) -> DataFrame:
     s = c.settings
-    return QC.run_checks(c.features(), c.customer, c.account, c.service, s.services, s.quality)
+    return QC.run_checks(c.features(), c.customer, c.account, c.service, s.services, s.quality,
+                         c.table("orders"))
 
 
-@register("dq_checks", "Q2-Q10 A4 A6 A17 A18 J3 T5", lambda o: o.sql_dq_checks())
+@register("dq_checks", "Q1-Q10 A4 A6 A17 A18 J3 T5", lambda o: o.sql_dq_checks())
 def q_dq_checks(c: Context) -> DataFrame:
     return _checks(c)
 
@@ -170,7 +171,7 @@ def q_dq_summary(c: Context) -> DataFrame:
     return QC.summarize(_checks(c))
 
 
-@register("dq_freshness", "Q1")
+@register("dq_freshness", "Q1", lambda o: o.sql_freshness())
 def q_dq_freshness(c: Context) -> DataFrame:
     return QC.freshness(c.table("orders"), c.settings.quality)
 
@@ -223,6 +224,8 @@ def q_tem_segments(c: Context) -> DataFrame:
 @register("segment_profile", "A8", lambda o: o.sql_tem("""SELECT rfm_segment,
   count(*) AS customers, FLOOR(CAST(avg(monthly_charges) AS DOUBLE) * 10 + 0.5) / 10 AS avg_arpu,
   FLOOR(CAST(avg(CAST(churned AS INTEGER)) AS DOUBLE) * 1000 + 0.5) / 1000 AS churn_rate
+  , CAST(row_number() OVER (ORDER BY FLOOR(CAST(avg(CAST(churned AS INTEGER)) AS DOUBLE) * 1000
+      + 0.5) / 1000 DESC, rfm_segment) AS INTEGER) AS rank
 FROM tem GROUP BY rfm_segment"""))
 def q_segment_profile(c: Context) -> DataFrame:
     return CO.segment_profile(CO.tem_segments(c.features()))
@@ -362,7 +365,7 @@ def q_offer_summary(c: Context) -> DataFrame:
 
 @register("contact_list", "D8 W11 S7 T1", lambda o: o.sql_contact_list())
 def q_contact_list(c: Context) -> DataFrame:
-    return c.greedy().select(*OF.CONTACT_COLUMNS)
+    return c.greedy().select("rank", *OF.CONTACT_COLUMNS)
 
 
 @register("strategy_scorecard", "D9 D10 D12", lambda o: o.sql_scorecard())
@@ -389,11 +392,9 @@ def q_sweep_one_way(c: Context) -> DataFrame:
     return SC.one_way(c.scenario_results())
 
 
-@register("sweep_two_way", "D15 J8", lambda o: o.sql_scen(
-    "SELECT acceptance_scale, cost_multiplier, "
-    "FLOOR(CAST(net_retained AS DOUBLE) + 0.5) AS net_retained FROM sres WHERE sweep = 'grid'"))
+@register("sweep_two_way", "D15 J8", lambda o: o.sql_two_way())
 def q_sweep_two_way(c: Context) -> DataFrame:
-    return SC.two_way(c.scenario_results())
+    return SC.two_way(c.scenario_results(), c.settings.sweeps)
 
 
 @register("assumption_swing", "D17", lambda o: o.sql_swing())
@@ -566,7 +567,7 @@ def q_ab_itt_wald(c: Context) -> DataFrame:
     return XP.itt_wald(_arms_reach(c), "churned", "received")
 
 
-@register("ab_bootstrap", "B4")
+@register("ab_bootstrap", "B4", lambda o: o.sql_ab_bootstrap())
 def q_ab_bootstrap(c: Context) -> DataFrame:
     return XP.bootstrap_diff(_arms(c).withColumn("net_revenue", XP.net_revenue()),
                              "net_revenue", seed=c.settings.seed)

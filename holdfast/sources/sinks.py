@@ -7,19 +7,41 @@ nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .files import delete, publish
+from .tables import read_parquet
+
+
+class IncompleteWrite(RuntimeError):
+    """A staged table does not hold the rows that were written."""
+
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
-    """Overwrite-mode Parquet write (re-running replaces, never appends) and
-    the row count read back (S2, S5)."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    from .tables import read_parquet
-    return read_parquet(df.sparkSession, path, produced_by="write_table").count()
+    """Idempotent Parquet write and the row count read back.
+
+    Rows are written aside first and counted; only a complete copy takes the
+    place of an earlier one.  So a write that fails leaves the earlier copy
+    readable, running it again replaces and never appends, and ``df`` may read
+    from ``path`` itself.
+    """
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    rows = Observation()
+    w = df.observe(rows, F.count(F.lit(1)).alias("n")).write
+    try:
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(staged)
+        n = read_parquet(spark, staged, produced_by="write_table").count()
+        if n != rows.get["n"]:
+            raise IncompleteWrite(f"{rows.get['n']} rows written to {path}, {n} read back")
+        publish(spark, staged, path)
+    except Exception:
+        delete(spark, staged)
+        raise
+    return n
 
 
 def write_contact_list(df: DataFrame, path: str, order: list | None = None) -> int:

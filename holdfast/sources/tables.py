@@ -3,11 +3,11 @@ actionable errors (S1, S6)."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .files import exists
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
                  "benchmark", "labels", "conversations")
@@ -17,23 +17,18 @@ class SourceMissing(FileNotFoundError):
     """Raised when an input path is absent; the message names the producer."""
 
 
-def _exists(path: str) -> bool:
-    if "://" in path and not path.startswith("file:"):
-        return True          # remote stores: let Spark report the error
-    return os.path.exists(path.replace("file:", ""))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, read lazily so Catalyst prunes columns and pushes filters."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if not _exists(path):
+    if not exists(spark, path):
         raise SourceMissing(f"{path} not found; expected the driver table '{name}'")
     return spark.read.parquet(path)
 
 
 def read_parquet(spark: SparkSession, path: str, produced_by: str = "") -> DataFrame:
-    """Parquet source (S6) with an error that says which step writes it."""
-    if not _exists(path):
+    """Parquet source (S6) with an error that says which step writes it.  The
+    path may be in any file system that the session reads."""
+    if not exists(spark, path):
         hint = f"; run {produced_by} first" if produced_by else ""
         raise SourceMissing(f"{path} missing{hint}")
     return spark.read.parquet(path)
@@ -69,7 +64,7 @@ RAW_CUSTOMER_SCHEMA = T.StructType([
 def read_csv(spark: SparkSession, path: str,
              schema: T.StructType = RAW_CUSTOMER_SCHEMA) -> DataFrame:
     """CSV source (S1): explicit schema, header row, error naming the file."""
-    if not _exists(path):
+    if not exists(spark, path):
         raise SourceMissing(
             f"raw file not found at {path}; place the customer extract there")
     return spark.read.schema(schema).option("header", True).csv(path)

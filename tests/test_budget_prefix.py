@@ -5,7 +5,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from holdfast.operators import offers, quality
-from holdfast.operators.experiment import poisson1_weight
 from holdfast.params import QualityParams, ServiceRoles
 from holdfast.sources.roles import FLAT_SERVICE_ROLES
 
@@ -38,13 +37,6 @@ def test_equals_the_plain_window(spark, rows, budget, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_poisson_weights_reach_every_value(spark):
-    us = [0.0, 0.3, 0.5, 0.99, 1 - 2.0 ** -40, 1 - 2.0 ** -52]
-    df = spark.createDataFrame([(u,) for u in us], "u double")
-    got = [r[0] for r in df.select(poisson1_weight(F.col("u"))).collect()]
-    assert got[:4] == [0, 0, 1, 4] and got[-1] > 13 and got == sorted(got)
-
-
 def test_add_ons_without_internet():
     assert "MultipleLines" in FLAT_SERVICE_ROLES.addons
     assert "MultipleLines" not in FLAT_SERVICE_ROLES.internet_addons
