@@ -249,24 +249,57 @@ def quantiles(df: DataFrame, shares: dict[str, Sequence[float]],
     return out
 
 
-def first_of_class(df: DataFrame, label: str, order: str, key: str,
-                   of: Callable[[int], int], at_once: int | None = None) -> Column:
-    """Whether a row is among the first ``of(rows of its label)`` of its label
-    in ``order``, ties by the unique ``key``; ``label`` is a small integer."""
+def _class_bounds(df: DataFrame, label: str, order: str, key: str,
+                  ranks: Callable[[int], Sequence[int]], at_once: int | None
+                  ) -> dict[int, list[tuple[int, Any, Any]]]:
+    """Per label (rank, order value, key) at the wanted ranks of its rows."""
     labels = sorted(r[0] for r in df.select(label).distinct().limit(1001).collect()
                     if r[0] is not None)
     if len(labels) > 1000:
         raise ValueError(f"{label} has more than 1,000 values")
-    upto = lambda n: [x for x in (min(of(n), n),) if x > 0]               # noqa: E731
     got = select(df.select(F.col(label).cast("int").alias("by"), F.col(order).alias("v")),
-                 {y: upto for y in labels}, at_once)
+                 {y: ranks for y in labels}, at_once)
+    wanted = [(y, x, f) for y, (_, found) in sorted(got.items()) for x, f in sorted(found.items())]
+    held = [F.struct(F.lit(t).alias("by"), F.col(key).alias("v"),
+                     ((F.col(label) == y) & F.col(order).eqNullSafe(F.lit(f.value))).alias("mine"))
+            for t, (y, x, f) in enumerate(wanted)]
+    keys = select(df.select(F.inline(F.array(*held))).filter("mine").select("by", "v"),
+                  {t: (lambda n, r=x - f.before: [r]) for t, (y, x, f) in enumerate(wanted)},
+                  at_once) if wanted else {}
+    out: dict[int, list[tuple[int, Any, Any]]] = {y: [] for y in labels}
+    for t, (y, x, f) in enumerate(wanted):
+        (k,) = keys[t][1].values()
+        out[y].append((x, f.value, k.value))
+    return out
+
+
+def _upto(order: str, key: str, value: Any, k: Any) -> Column:
+    return (F.col(order) < F.lit(value)) | ((F.col(order) == F.lit(value))
+                                            & (F.col(key) <= F.lit(k)))
+
+
+def first_of_class(df: DataFrame, label: str, order: str, key: str,
+                   of: Callable[[int], int], at_once: int | None = None) -> Column:
+    """Whether a row is among the first ``of(rows of its label)`` of its label
+    in ``order`` (never NULL), ties by the unique ``key``; ``label`` is a small
+    integer."""
+    ranks = lambda n: [x for x in (min(of(n), n),) if x > 0]              # noqa: E731
     c = F.lit(False)
-    for y, (n, found) in got.items():
-        for x, f in found.items():
-            tied = df.filter((F.col(label) == y) & F.col(order).eqNullSafe(F.lit(f.value))) \
-                .select(F.lit(0).alias("by"), F.col(key).alias("v"))
-            (k,) = select(tied, {0: lambda n, r=x - f.before: [r]}, at_once)[0][1].values()
-            c = F.when(F.col(label) == y, (F.col(order) < F.lit(f.value))
-                       | ((F.col(order) == F.lit(f.value)) & (F.col(key) <= F.lit(k.value)))
-                       ).otherwise(c)
+    for y, bounds in _class_bounds(df, label, order, key, ranks, at_once).items():
+        for _, value, k in bounds:
+            c = F.when(F.col(label) == y, _upto(order, key, value, k)).otherwise(c)
+    return c
+
+
+def tile_of_class(df: DataFrame, label: str, order: str, key: str, buckets: int,
+                  at_once: int | None = None) -> Column:
+    """NTILE(``buckets``), from 0, of a row among those of its label in
+    ``order`` (never NULL), ties by the unique ``key``."""
+    ranks = lambda n: _last_ranks(ntile(buckets), n)                      # noqa: E731
+    c = F.lit(0)
+    for y, bounds in _class_bounds(df, label, order, key, ranks, at_once).items():
+        t = F.lit(0)
+        for _, value, k in bounds:
+            t = t + (~_upto(order, key, value, k)).cast("int")
+        c = F.when(F.col(label) == y, t).otherwise(c)
     return c

@@ -1,15 +1,15 @@
 """Churn model with Spark ML.
 
-* M2: median imputation + standardisation of numeric columns, pass-through
+* M2: exact median imputation + population standardisation of numeric columns, pass-through
   flags, one-hot categoricals with unseen levels mapped to all-zeros - one
   ``Pipeline``.
 * M4: L2 logistic regression equivalent to C = 1 on the unscaled objective
   (``regParam = 1 / n_train``, no internal standardisation).
-* M5: sigmoid calibration averaged over 5 hash folds: each fold fits the
+* M5: sigmoid calibration averaged over 5 stratified folds: each fold fits the
   classifier on the other folds and a one-feature logistic on its held-out
   decision values with Platt's smoothed targets (two weighted rows per row).
 * M6: random-forest challenger.
-* M10/M11: persist under the checkpoint folder, reload, score everyone.
+* M10/M11: kept under a digest of rows and parameters, loaded again, score everyone.
 * E8: per-feature mean |coef * (x - training mean)| (the exact linear
   attribution for independent features), coefficient, odds ratio.
 
@@ -19,19 +19,26 @@ coefficient vectors reach the driver.
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from hashlib import sha256
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer,
+from pyspark.ml.feature import (ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.selection import quantiles, tile_of_class
 from ..session import ensure_checkpoint_dir
+from ..sources.files import exists, publish
 
 NUMERIC = ("tenure_months", "monthly_charges", "total_charges", "services_held",
            "streaming_count", "protection_count", "monthly_charge_per_service",
@@ -39,6 +46,7 @@ NUMERIC = ("tenure_months", "monthly_charges", "total_charges", "services_held",
 FLAGS = ("senior_citizen", "has_partner", "has_dependents", "paperless_billing", "has_phone")
 CATEG = ("contract_type", "payment_method", "internet_type")
 LABEL = "label"
+FORMAT = 1                 # of the stored models; another number trains again
 
 
 @dataclass(frozen=True)
@@ -60,20 +68,33 @@ def prepare(features: DataFrame) -> DataFrame:
         F.col("churned").cast("double").alias(LABEL))
 
 
-def preprocessor() -> list:
+def preprocessor(train: DataFrame, n: int) -> list:
+    """Stages from raw columns to the feature vector.
+
+    Medians are exact (found by counting); the imputer is fitted on the one
+    row of them.  The scaler divides by the sample deviation, so the vector is
+    multiplied by sqrt(n / (n - 1)) to get the population's.  A level that was
+    not in the training rows takes the indexer's extra index, which is the slot
+    the encoder drops: it has no slot and sets none.
+    """
+    medians = quantiles(train, {c: [0.5] for c in NUMERIC})
+    row = train.sparkSession.createDataFrame(
+        [tuple(float(medians[c][0] or 0.0) for c in NUMERIC)],
+        ", ".join(f"{c} double" for c in NUMERIC))
     imp = Imputer(strategy="median", inputCols=list(NUMERIC),
-                  outputCols=[f"{c}_imp" for c in NUMERIC])
+                  outputCols=[f"{c}_imp" for c in NUMERIC]).fit(row)
     num_vec = VectorAssembler(inputCols=[f"{c}_imp" for c in NUMERIC], outputCol="_num")
-    scaler = StandardScaler(inputCol="_num", outputCol="_num_std", withMean=True, withStd=True)
+    scaler = StandardScaler(inputCol="_num", outputCol="_num_sample", withMean=True, withStd=True)
+    whole = ElementwiseProduct(scalingVec=Vectors.dense(
+        [math.sqrt(n / (n - 1)) if n > 1 else 1.0] * len(NUMERIC)),
+        inputCol="_num_sample", outputCol="_num_std")
     idx = StringIndexer(inputCols=list(CATEG), outputCols=[f"{c}_idx" for c in CATEG],
                         handleInvalid="keep", stringOrderType="alphabetAsc")
-    # the extra "unseen" index is the dropped last slot -> all zeros
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEG],
-                        outputCols=[f"{c}_ohe" for c in CATEG], dropLast=True,
-                        handleInvalid="keep")
+                        outputCols=[f"{c}_ohe" for c in CATEG], dropLast=True)
     feats = VectorAssembler(inputCols=["_num_std", *FLAGS, *[f"{c}_ohe" for c in CATEG]],
                             outputCol="features")
-    return [imp, num_vec, scaler, idx, ohe, feats]
+    return [imp, num_vec, scaler, whole, idx, ohe, feats]
 
 
 def logistic(n_train: int, p: ModelParams) -> LogisticRegression:
@@ -84,7 +105,7 @@ def logistic(n_train: int, p: ModelParams) -> LogisticRegression:
 
 def fit_logistic(train: DataFrame, p: ModelParams) -> PipelineModel:
     n = train.count()
-    return Pipeline(stages=preprocessor() + [logistic(n, p)]).fit(train)
+    return Pipeline(stages=preprocessor(train, n) + [logistic(n, p)]).fit(train)
 
 
 def _p1(col: str = "probability"):
@@ -96,14 +117,18 @@ def decision_value(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("_f", vector_to_array("rawPrediction").getItem(1))
 
 
-def fold_of(p: ModelParams, key: str = "customer_id"):
-    return F.pmod(F.xxhash64(F.col(key), F.lit(p.seed)), F.lit(p.folds))
+def with_folds(train: DataFrame, p: ModelParams, key: str = "customer_id") -> DataFrame:
+    """``train`` with _fold: inside each class the rows, in hash order, are cut
+    into ``folds`` parts whose sizes differ by one at most (M5), so every fold
+    has all classes that have a row per fold."""
+    t = train.withColumn("_order", F.xxhash64(F.col(key), F.lit(p.seed)))
+    return t.withColumn("_fold", tile_of_class(t, LABEL, "_order", key, p.folds)).drop("_order")
 
 
 def fit_calibrated(train: DataFrame, p: ModelParams) -> list[tuple[PipelineModel, float, float]]:
     """(classifier, a, b) per fold; calibrated p = 1 / (1 + exp(a f + b))."""
     out = []
-    t = train.withColumn("_fold", fold_of(p))
+    t = with_folds(train, p)
     for k in range(p.folds):
         inner = t.filter(F.col("_fold") != k)
         held = t.filter(F.col("_fold") == k)
@@ -147,18 +172,67 @@ def predict_calibrated(models: list[tuple[PipelineModel, float, float]], df: Dat
 def fit_forest(train: DataFrame, p: ModelParams) -> PipelineModel:
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=p.trees,
                                 maxDepth=p.depth, seed=p.seed)
-    return Pipeline(stages=preprocessor() + [rf]).fit(train)
+    return Pipeline(stages=preprocessor(train, train.count()) + [rf]).fit(train)
+
+
+class DamagedModel(RuntimeError):
+    """A stored model cannot be read back."""
+
+
+def fingerprint(train: DataFrame, p: ModelParams) -> str:
+    """Digest of the parameters, the columns and the rows, in any order."""
+    cols = sorted(train.columns)
+    r = train.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*cols)).alias("x"),
+                  F.sum(F.pmod(F.xxhash64(F.lit(1), *cols), F.lit(1 << 31))).alias("s")).first()
+    kinds = [(f.name, f.dataType.simpleString()) for f in train.schema]
+    text = json.dumps([FORMAT, asdict(p), sorted(kinds), r["n"], r["x"], r["s"]])
+    return sha256(text.encode()).hexdigest()
 
 
-def save_or_reuse(model: PipelineModel, spark, name: str) -> PipelineModel:
-    """Persist under the checkpoint folder and read it back (M10); callers fall
-    back to deterministic retraining when a saved copy cannot be read."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/holdfast/models/{name}-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
+def save(models: dict, spark: SparkSession, path: str) -> None:
+    """Store the raw logistic and the calibrated ensemble; the folder appears
+    at ``path`` when it is complete."""
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    models["raw"].write().save(f"{staged}/raw")
+    for k, (clf, _, _) in enumerate(models["calibrated"]):
+        clf.write().save(f"{staged}/fold{k}")
+    spark.createDataFrame([(k, a, b) for k, (_, a, b) in enumerate(models["calibrated"])],
+                          "fold int, a double, b double").coalesce(1).write.parquet(
+        f"{staged}/calibration")
+    publish(spark, staged, path)
+
+
+def load(spark: SparkSession, path: str) -> dict:
+    """The models stored at ``path``; :class:`DamagedModel` if they cannot be
+    read."""
     try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - version skew or a damaged copy
-        return model
+        rows = sorted(spark.read.parquet(f"{path}/calibration").collect())
+        if not rows or [r["fold"] for r in rows] != list(range(len(rows))):
+            raise DamagedModel(f"{path}: folds are missing")
+        return {"raw": PipelineModel.load(f"{path}/raw"),
+                "calibrated": [(PipelineModel.load(f"{path}/fold{r['fold']}"), r["a"], r["b"])
+                               for r in rows]}
+    except (Py4JError, PySparkException, ValueError, KeyError, IndexError, OSError) as e:
+        raise DamagedModel(f"{path} cannot be read") from e
+
+
+def trained(train: DataFrame, p: ModelParams, root: str | None = None) -> dict:
+    """Raw logistic and calibrated ensemble for these rows and parameters.
+
+    They are kept under a digest of both, so another session, or a rerun, loads
+    them and scores identically; a damaged copy is trained again and replaced.
+    """
+    spark = train.sparkSession
+    root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/holdfast/models"
+    path = f"{root}/{fingerprint(train, p)}"
+    if exists(spark, path):
+        try:
+            return load(spark, path)
+        except DamagedModel:
+            pass                               # trained again below
+    models = {"raw": fit_logistic(train, p), "calibrated": fit_calibrated(train, p)}
+    save(models, spark, path)
+    return models
 
 
 def driver_table(model: PipelineModel, scored_input: DataFrame, train: DataFrame) -> DataFrame:

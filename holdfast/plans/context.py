@@ -118,13 +118,12 @@ class Context:
         return self._once("model_input", build)
 
     def models(self) -> dict:
-        """Raw logistic, fold-calibrated logistic and forest, trained once."""
+        """Raw and fold-calibrated logistic, trained once for the same rows."""
         def build():
             from ..operators import model as MD
             p = MD.ModelParams(seed=self.settings.seed)
             train = self.model_input().filter(~F.col("is_test"))
-            raw = MD.save_or_reuse(MD.fit_logistic(train, p), self.spark, "logistic")
-            return {"params": p, "raw": raw, "calibrated": MD.fit_calibrated(train, p)}
+            return {"params": p} | MD.trained(train, p)
         return self._once("models", build)
 
     def forest(self):
