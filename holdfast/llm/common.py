@@ -4,7 +4,7 @@ word caches for the Python side, and exact connected components."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from sys import getsizeof
 
 import pyarrow as pa
@@ -80,6 +80,22 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, max_bytes: int = 32 << 20)
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+def set_apart(docs: DataFrame, *needed: str | None) -> tuple[DataFrame, Callable]:
+    """``docs`` with all columns but the ``needed`` ones under generated names,
+    so that none of them can clash with a name an operator uses, and a function
+    that gives a result its names back.  Where a result has a column of an
+    input column's name, the result's stays."""
+    apart = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+
+    def back(out: DataFrame) -> DataFrame:
+        names = {v: k for k, v in apart.items()}
+        own = {c for c in out.columns if c not in names}
+        return out.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in out.columns
+                            if names.get(c) not in own])
+
+    return docs.withColumnsRenamed(apart), back
+
+
 def values(column: pa.Array, at_once: int = 4 << 20) -> Iterator:
     """Python values of an Arrow column.  They are made for a few rows at a
     time, about ``at_once`` bytes of them, so a batch of long texts does not

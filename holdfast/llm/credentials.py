@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, set_apart
 
 # Fixed values of the contract: kinds in order, their patterns and least lengths.
 ASSIGN = (r"""(?:(?i)(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
@@ -148,6 +148,7 @@ def redact(docs: DataFrame, marker: str = "[REDACTED]", reach: int = 400,
            text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with every found span replaced by ``marker``; overlapping
     spans become one.  Texts without a span stay as they are."""
+    docs, back = set_apart(docs, text, length)
     found = scan(docs, reach, text)
 
     def add(acc, s):
@@ -166,4 +167,4 @@ def redact(docs: DataFrame, marker: str = "[REDACTED]", reach: int = 400,
         out = out.withColumn(length, F.when(
             F.size("__spans") > 0, F.char_length(text)).otherwise(F.col(length))
             .cast(docs.schema[length].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(out.select(*[F.col(f"`{c}`") for c in docs.columns]))

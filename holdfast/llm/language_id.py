@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, values
+from .common import materialize, set_apart, values
 
 BUCKETS = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -167,15 +167,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
     empty table gives no row; other columns are kept.
     """
     k = len(model.languages) + 1
-    columns = docs.columns if columns is None else columns
     null = F.lit(None).cast("string")
-    rows = docs.withColumns({
-        "__declared": primary(declared if declared is not None else null),
-        "__suffix": (suffix if suffix is not None else null),
-        "__host": (host if host is not None else null),
-        "__domain": (domain if domain is not None else null)})
+    # columns under generated names, the evidence from the given ones
+    plain, back = set_apart(docs.select(*[F.col(f"`{c}`") for c in (
+        docs.columns if columns is None else columns)]))
+    columns = plain.columns
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(back(plain).columns, columns)],
+        F.col(f"`{text}`").alias("__text"),
+        primary(declared if declared is not None else null).alias("__declared"),
+        (suffix if suffix is not None else null).alias("__suffix"),
+        (host if host is not None else null).alias("__host"),
+        (domain if domain is not None else null).alias("__domain"))
     seen = materialize(
-        text_evidence(rows, model, text, temper, [
+        text_evidence(rows, model, "__text", temper, [
             *columns, "__declared", "__suffix", "__host", "__domain"]).withColumn(
             "__map", F.when(F.col("__letters") > 0,
                             F.array_position("__ll", F.array_max("__ll")).cast("int") - 1)),
@@ -225,12 +230,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
     told = (F.col("__letters") > 0) & (F.col("__at") < k) & (F.col("__post") >= min_posterior)
     other = (F.col("__letters") > 0) & F.col("__declared").isNotNull() \
         & ~F.col("__declared").isin(list(model.languages))
-    return out.select(
-        *[F.col(f"`{c}`") for c in columns],
+    return back(out.select(
+        *columns,
         F.when(told, F.get(names, F.col("__at") - 1)).alias("lang_id"),
         F.round("__post", 6).alias("lang_posterior"),
         F.when(F.col("__map") < k - 1, F.get(names, F.col("__map"))).alias("lang_text"),
-        (told | other).alias("lang_kept"))
+        (told | other).alias("lang_kept")))
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

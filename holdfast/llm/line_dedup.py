@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, values
+from .common import materialize, set_apart, values
 
 _LAST = (1 << 63) - 1
 
@@ -114,6 +114,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
     empty table gives no row; other columns are kept.  ``counts`` adds n_lines,
     n_removed, and keeps the emptied documents.
     """
+    docs, back = set_apart(docs, doc_id, text, length)
     runs = repeated_runs(docs, min_words, doc_id, text)
     keyed = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)),
                               "__key": F.xxhash64(text)})
@@ -125,14 +126,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
     out = joined.withColumn("__text", F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text)))
     if counts:
         n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-        return out.select(
+        return back(out.select(
             *[F.col(f"`{c}`") for c in docs.columns if c != text],
             F.col("__text").alias(text), n.cast("long").alias("n_lines"),
-            F.when(hit, n - F.size(kept)).otherwise(0).cast("long").alias("n_removed"))
+            F.when(hit, n - F.size(kept)).otherwise(0).cast("long").alias("n_removed")))
     if drop_emptied:
         out = out.filter(~hit | F.col("__text").rlike(r"\S"))
     new = {text: F.col("__text")}
     if length and length in docs.columns:
         new[length] = F.when(hit, F.char_length("__text")).otherwise(F.col(length)) \
             .cast(docs.schema[length].dataType)
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return back(out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns]))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, values, with_ids
+from .common import connected_components, discard, materialize, set_apart, values, with_ids
 
 WORDS = 5
 NUM, DEN = 75, 100                 # a link: DEN * overlap >= NUM * union
@@ -415,6 +415,7 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """``docs`` without the near copies: of every component the document with
     the smallest id stays.  Repeated rows of one document stay together;
     documents without words and rows without an id all stay."""
+    docs, back = set_apart(docs, doc_id, text)
     comps = components(docs, doc_id, text).filter("doc_id <> component_id") \
         .select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(comps, F.col(doc_id) == F.col("__gone"), "left_anti")
+    return back(docs.join(comps, F.col(doc_id) == F.col("__gone"), "left_anti"))

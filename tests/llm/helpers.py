@@ -6,6 +6,13 @@ import pyarrow.parquet as pq
 
 SF = "/root/testdata/sf0.001"
 
+INTERNAL = (
+    "id", "n", "h", "key", "doc", "rank", "score", "component", "start", "offset", "x", "d",
+    "__row", "__weak", "__base", "__spans", "__added", "__doc", "__key", "__runs", "__text",
+    "__gone", "__ll", "__letters", "__map", "__declared", "__suffix", "__host", "__domain",
+    "__score", "__best", "__at", "__post", "p_host", "p_domain", "l_declared", "l_suffix",
+    "bucket", "i", "l", "node", "other", "a", "b", "s", "e", "w", "kind", "block", "part")
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -28,5 +35,4 @@ def clashing(df):
     """``df`` with more columns, named like those that operators use."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit(7) for c in ("id", "n", "h", "key", "doc", "rank", "score",
-                                                 "component", "start", "offset", "x", "d")})
+    return df.withColumns({c: F.lit(7) for c in INTERNAL if c not in df.columns})

@@ -126,9 +126,9 @@ def test_clashing_columns(spark):
         {c: F.lit(1) for c in ("grp", "pos", "leaf", "block", "kept", "row", "left", "right",
                                "subroot", "root", "single", "lone", "top", "tip", "checked")})
     assert got(spark, df, block_levels=1) == brute(rows)
-    leaves = df.select("*", F.sha2("text", 256).alias("l")).drop("leaf", "key", "grp", "left") \
-        .select("*", F.col("lang").alias("grp"), F.col("doc_id").alias("key"),
-                F.coalesce("l", F.lit("")).alias("leaf"))
+    leaves = df.drop("leaf", "key", "grp").select(
+        "*", F.col("lang").alias("grp"), F.col("doc_id").alias("key"),
+        F.coalesce(F.sha2("text", 256), F.lit("")).alias("leaf"))
     out = merkle.manifest(leaves, block_levels=1)
     assert out.count() == 20 and {"pos", "block", "kept", "left", "root"} <= set(out.columns)
     assert len(out.columns) == len(set(out.columns))
