@@ -217,14 +217,15 @@ def run_checks(features: DataFrame, customer: DataFrame, account: DataFrame,
     top = F.array_max(F.array(*[F.struct(v.alias("v"), F.lit(c).alias("c"))
                                 for v, c in zip(absc, num)]) if num else
                       F.array(F.struct(F.lit(0.0).alias("v"), F.lit("").alias("c"))))
-    worst = top["v"]
+    fw = fw.withColumn("_top", top)            # one expression for its three uses
+    worst = F.col("_top.v")
     specs = []
     for i, c in enumerate(cols):
         allowed = q.total_null_allowance if c == "total_charges" else 0.0
         specs.append(("completeness", f"nonnull:{c}", fround(f"_n{i}", 5),
                       F.col(f"_n{i}") <= allowed, "hard"))
     specs.append(("leakage", "no_near_perfect_predictor", fround(worst, 4),
-                  worst < q.leakage_alarm, "hard", top["c"]))
+                  worst < q.leakage_alarm, "hard", F.col("_top.c")))
     specs.append(("leakage", "target_excluded_from_X", F.lit(float("churned" in num)),
                   F.lit("churned" not in num), "hard"))
     feature_rows = _rows(fw, specs)
