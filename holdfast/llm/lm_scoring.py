@@ -3,9 +3,10 @@
 Tokens are words and one end per document.  Smoothed n-grams are states with
 failure arcs: a state is a history of one or two words, an arc carries the log
 probability of a token seen after it, and the failure arc leads to the history
-without its oldest word at the cost of the backoff weight.  The state before a
-token is the history that the tokens to its left have led to; the failure arcs
-are walked for all tokens of a block at once.
+without its oldest word at the cost of the backoff weight.  A text is traversed
+once from left to right: every token is scored in the state that the tokens
+before it have led to, and gives the next state.  All documents of a block go
+one token forward at a time.
 
 The model is an interpolated absolute-discounting one of order three over all
 words: every word, bigram and trigram of the training documents counts.  What
@@ -16,10 +17,10 @@ does.
 The model grows with the corpus and is never sent whole.  Documents are dealt
 into blocks; a block keeps its texts as numbers of its own vocabulary, gets
 the corpus counts of exactly its words and n-grams, and builds its own part of
-the automaton.  N-grams are known by the numbers of their words in a written
-vocabulary, so they are exact.  A block sends its n-grams as packed messages,
-one per slice of all n-grams (dealt by hash, so no frequent history makes a
-large slice), and gets counts back in the order it sent them.
+the automaton.  It sends its distinct words, then its n-grams as numbers of
+words, as packed messages: one per slice of all words, or of all histories
+(dealt by hash; a history of frequent words is dealt over several slices, by
+the words after it).  Every slice answers in the order it was asked.
 """
 
 from __future__ import annotations
@@ -29,20 +30,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, values
 
 END = b""                      # no word is empty
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
-SLICE_TOKENS, MIN_SLICES = 1 << 19, 64
+SLICE_BYTES, MIN_SLICES = 4 << 20, 64     # of text for a slice
+SLICE_TOKENS = 1 << 19         # a history is dealt over one slice more for so many
+LANE = 256                     # tokens of a text that are traversed in one go
 DISCOUNT = 0.75                # of n-grams of two or three words
 
-_ROW = "block long, kind int, docs binary, ids binary, word binary, number int, n long"
-_NAMES = [c.split()[0] for c in _ROW.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+# what goes between blocks and slices
+DOCS, WORDS, NUMBERS, GRAMS, COUNTS = range(5)
+_MESSAGE = "kind int, slice long, block long, data binary, more binary"
+_NUMBERED = _MESSAGE + ", n long, v long, n1 long, n2 long"
+_TYPES = {"kind": pa.int32(), "data": pa.binary(), "more": pa.binary()}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,97 +64,41 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def _batch(size: int, **cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[n], t) if n in cols else pa.nulls(size, t)
-         for n, t in zip(_NAMES, _TYPES)], _NAMES)
+def _messages(rows: list[tuple], schema: str = _MESSAGE) -> pa.Table:
+    names = [c.split()[0] for c in schema.split(", ")]
+    cols = zip(*rows) if rows else [()] * len(names)
+    return pa.table([pa.array(c, _TYPES.get(n, pa.int64())) for n, c in zip(names, cols)], names)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) rows as numbers.  kind 0: the block's documents (packed:
-    id, whether it is null, held out, length; and all tokens); kind 1: a word
-    of the block, its number there, its count in the block's training
-    documents.  A block is a run of documents within a task."""
-
-    def run(batches):
-        pid, no = TaskContext.get().partitionId() << 32, 0
-        vocab: dict[bytes, int] = {}
-        found: list[tuple] = []
-        texts: list[np.ndarray] = []
-        tokens = 0
-
-        def close():
-            k = len(vocab)
-            trained = [i for i, f in zip(texts, found) if not f[2]]
-            n = np.bincount(np.concatenate(trained), minlength=k) if trained \
-                else np.zeros(k, np.int64)
-            yield _batch(1, block=[pid + no], kind=[0], docs=[_pack(*map(np.array, zip(*found)))],
-                         ids=[_pack(np.concatenate(texts))])
-            yield _batch(k, block=[pid + no] * k, kind=[1] * k, word=list(vocab),
-                         number=np.arange(k), n=n)
-
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(t)
-                ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32,
-                                  len(words))
-                found.append((d or 0, d is None, is_held_out(d), len(ids)))
-                texts.append(ids)
-                tokens += len(ids)
-                if len(found) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
-                    yield from close()
-                    vocab, found, texts, tokens, no = {}, [], [], 0, no + 1
-        if found:
-            yield from close()
-
-    return docs.mapInArrow(run, _ROW)
-
-
-def block_words(table: pa.Table) -> pa.Table:
-    """One block's words, packed in the order of their numbers: number in the
-    vocabulary (-1: in no n-gram), corpus count."""
-    t = table.sort_by("number")
-    return pa.table({"block": t.column("block").slice(0, 1), "words": pa.array(
-        [_pack(*(t.column(c).to_numpy() for c in ("a", "b")))], pa.binary())})
-
-
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(word, total, number) of all training words, numbered from 0, frequent
-    ones first: within a written partition, and by one offset per partition."""
-    at = F.monotonically_increasing_id()
-    words = materialize(
-        rows.filter("kind = 1").groupBy("word").agg(F.sum("n").alias("total"))
-        .filter("total > 0").orderBy(F.desc("total"), "word")
-        .select("word", "total", F.shiftright(at, 33).alias("part"),
-                at.bitwiseAND((1 << 33) - 1).alias("at")), "lm_vocabulary")
-    sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("size"))   # one row per partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("off"))
-    out = words.join(F.broadcast(offsets), "part").select(
-        "word", "total", (F.col("off") + F.col("at")).alias("g"))
-    out.written_to = words.written_to
-    return out
-
-
-# --- n-grams -----------------------------------------------------------------
+# --- packed columns ----------------------------------------------------------
 # a history (u,) is the number u, a history (u, v) is (u + 1) << 32 | v
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Integer columns of one length, byte planes one after another."""
-    parts = [np.int64(len(columns[0])).tobytes()]
+    """Integer columns of one length: per column the least value, and the
+    distances from it as byte planes, as many as the largest one needs."""
+    n = len(columns[0])
+    parts = [np.int64(n).tobytes()]
     for c in columns:
         c = np.ascontiguousarray(c, np.int64)
-        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes())
+        lo, hi = (int(c.min()), int(c.max())) if n else (0, 0)
+        width = ((hi - lo).bit_length() + 7) // 8
+        parts.append(np.array([lo, width], np.int64).tobytes())
+        far = c.view(np.uint64) - np.uint64(lo % (1 << 64))
+        parts.append(np.ascontiguousarray(far.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
     raw = b"".join(parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="lz4", asbytes=True)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(raw, np.uint8, offset=8)
-    return [np.ascontiguousarray(p.reshape(8, n).T).view(np.int64).reshape(n)
-            for p in (planes.reshape(-1, 8 * n) if n else [])]
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="lz4", asbytes=True)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    while at < len(raw):
+        lo, width = np.frombuffer(raw, np.int64, 2, at).tolist()
+        far = np.zeros((n, 8), np.uint8)
+        far[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n).T
+        out.append((far.view(np.uint64).reshape(n) + np.uint64(lo % (1 << 64))).view(np.int64))
+        at += 16 + n * width
+    return out
 
 
 def _pack_grams(history: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -164,35 +114,127 @@ def _unpack_grams(data: bytes) -> list[np.ndarray]:
     return [np.where(second > 0, (first + 1) << 32 | second - 1, first), *columns]
 
 
-def _slice(history: np.ndarray, word: np.ndarray | int, slices: int) -> np.ndarray:
-    h = history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    h = (h + np.asarray(word).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return (h % np.uint64(slices)).astype(np.int64)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 def _dealt(of: np.ndarray):
     """(slice, positions in it), in order."""
+    if len(of) and of.max() < 1 << 15:
+        of = of.astype(np.int16)               # sorted by radix
     order = np.argsort(of, kind="stable")
     which, start = np.unique(of[order], return_index=True)
     return zip(which.tolist(), np.split(order, start[1:]))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the number of every key."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return keys[new], order[new], number
+
+
+def _summed(number: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, number, n)
+    return out
+
+
+# --- words -------------------------------------------------------------------
+
+def _block(block: int, slices: int, vocab: dict[bytes, int], found: list[tuple],
+           texts: list[np.ndarray]) -> pa.Table:
+    """One block's documents (id, whether it is null, held out, length; and
+    all tokens), and its words by slice with their training counts.  A word's
+    number in the block is its place among them."""
+    words = list(vocab)
+    of = np.fromiter((zlib.crc32(w) % slices for w in words), np.int64, len(words))
+    ids = np.concatenate(texts)
+    held = np.repeat([f[2] for f in found], [f[3] for f in found])
+    n = np.bincount(ids[~held], minlength=len(words))
+    place, at, rows = np.empty(len(words), np.int64), 0, []
+    for s, i in _dealt(of):
+        place[i] = np.arange(at, at + len(i))
+        at += len(i)
+        rows.append((WORDS, s, block, b" ".join(words[j] for j in i.tolist()), _pack(n[i])))
+    return _messages([(DOCS, -1, block, _pack(*map(np.array, zip(*found))), _pack(place[ids]))]
+                     + rows)
+
+
+def blocks(docs: DataFrame, slices: int) -> DataFrame:
+    """(doc_id, text) rows as blocks, each a run of documents within a task."""
+
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+        vocab, found, texts, tokens = {}, [], [], 0
+        for batch in batches:
+            for d, t in zip(batch.column(0).to_pylist(), values(batch.column(1))):
+                words = words_of(t)
+                ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32,
+                                  len(words))
+                found.append((d or 0, d is None, is_held_out(d), len(ids)))
+                texts.append(ids)
+                tokens += len(ids)
+                if len(found) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
+                    yield from _block(block, slices, vocab, found, texts).to_batches()
+                    block += 1
+                    vocab, found, texts, tokens = {}, [], [], 0
+        if found:
+            yield from _block(block, slices, vocab, found, texts).to_batches()
+
+    return docs.mapInArrow(run, _MESSAGE)
+
+
+def slice_words(table: pa.Table, slices: int) -> pa.Table:
+    """To every block of a slice, in its order: the words' numbers, frequent
+    ones first (-1: in no training document), and corpus counts.  The first
+    answer says how many tokens and words the slice trains, and how many words
+    occur once and twice."""
+    t = table.sort_by("block")
+    s = t.column("slice")[0].as_py()
+    texts = [d.split(b" ") for d in t.column("data").to_pylist()]
+    word = pa.array([w for words in texts for w in words], pa.binary()).dictionary_encode()
+    number = word.indices.to_numpy().astype(np.int64)
+    total = _summed(number, np.concatenate([_unpack(d)[0] for d in t.column("more").to_pylist()]),
+                    len(word.dictionary))
+    name = np.empty(len(total), np.int64)
+    name[np.argsort(-total, kind="stable")] = np.arange(len(total)) * slices + s
+    name[total == 0] = -1
+    if name.max() >= (1 << 31) - 1:
+        raise ValueError("more distinct words than 31 bits can number")
+    about = (int(total.sum()), *(int(x.sum()) for x in (total > 0, total == 1, total == 2)))
+    rows, at = [], 0
+    for b, words in zip(t.column("block").to_pylist(), texts):
+        i = number[at:at + len(words)]
+        rows.append((NUMBERS, s, b, _pack(name[i], total[i]), None,
+                     *(about if not at else (None,) * 4)))
+        at += len(words)
+    return _messages(rows, _NUMBERED)
+
+
+# --- n-grams -----------------------------------------------------------------
+
 class Block:
     """Documents of a block and its distinct n-grams of two and three words,
     in an order that depends on nothing else."""
 
     def __init__(self, table: pa.Table):
-        import pyarrow.compute as pc
-
-        row = table.filter(pc.equal(table.column("kind"), 0)).to_pylist()[0]
+        row = table.filter(pc.equal(table.column("kind"), DOCS)).to_pylist()[0]
         self.block = row["block"]
-        ids, null, held, self.size = _unpack(row["docs"])
+        ids, null, held, self.size = _unpack(row["data"])
         self.doc_id = pa.array(ids, mask=null.astype(bool))
         self.held = held.astype(bool)
-        self.ids, = _unpack(row["ids"])
-        self.name, self.total = _unpack(row["words"])      # name -1: in no n-gram
+        self.ids, = _unpack(row["more"])
+        told = table.filter(pc.equal(table.column("kind"), NUMBERS)).sort_by("slice")
+        parts = zip(*map(_unpack, told.column("data").to_pylist()))
+        self.name, self.total = map(np.concatenate, parts)     # name -1: in no n-gram
         self.words = len(self.name)
 
         first = np.zeros(len(self.ids), bool)
@@ -200,145 +242,113 @@ class Block:
         trains = np.repeat(~self.held, self.size)
         g = self.name[self.ids]
         at = np.flatnonzero(~first[1:] & (g[1:] >= 0) & (g[:-1] >= 0)) + 1
-        keys, one, inverse = np.unique(g[at - 1] << 32 | g[at], return_index=True,
-                                       return_inverse=True)
-        #: the n-gram that ends at a position, or -1
-        self.two = np.full(len(self.ids), -1, np.int64)
-        self.two[at] = inverse
+        keys, one, number = _distinct(g[at - 1] << 32 | g[at])
+        two = np.full(len(self.ids), -1, np.int64)      # the bigram that ends there, or -1
+        two[at] = number
         self.b_first, self.b_last = self.ids[at[one] - 1], self.ids[at[one]]
-        b_n = np.bincount(inverse[trains[at]], minlength=len(keys))
-        at = at[(self.two[at - 1] >= 0) & ~first[at]]
-        keys3, one, inverse = np.unique(self.two[at - 1] << 32 | g[at], return_index=True,
-                                        return_inverse=True)
-        self.t_history, self.t_lower = self.two[at[one] - 1], self.two[at[one]]
+        b_n = np.bincount(number[trains[at]], minlength=len(keys))
+        at = at[(two[at - 1] >= 0) & ~first[at]]
+        keys3, one, number = _distinct(two[at - 1] << 32 | g[at])
+        self.t_history, self.t_lower = two[at[one] - 1], two[at[one]]
         self.t_last = self.ids[at[one]]
-        t_n = np.bincount(inverse[trains[at]], minlength=len(keys3))
+        t_n = np.bincount(number[trains[at]], minlength=len(keys3))
         mask = (1 << 32) - 1
-        self.pairs = keys + (1 << 32)                       # bigrams as histories
-        self.history = np.concatenate([keys >> 32, self.pairs[self.t_history]])
+        pairs = keys + (1 << 32)                        # bigrams as histories
+        #: words, then bigrams; a word without a number is -1
+        self.histories = np.concatenate([self.name, pairs])
+        self.history = np.concatenate([keys >> 32, pairs[self.t_history]])
         self.last = np.concatenate([keys & mask, keys3 & mask])
         self.n = np.concatenate([b_n, t_n])
 
-    def histories(self) -> np.ndarray:
-        """Words, then bigrams, that can be histories; words in no n-gram have
-        the number -1."""
-        return np.concatenate([self.name, self.pairs])
-
-    def back(self, table: pa.Table, kind: int, of: np.ndarray, columns: int) -> list[np.ndarray]:
-        """What the slices have answered, in the order of what was sent."""
-        import pyarrow.compute as pc
-
-        t = table.filter(pc.equal(table.column("kind"), kind))
-        data = dict(zip(t.column("slice").to_pylist(), t.column("data").to_pylist()))
-        out = [np.zeros(len(of), np.int64) for _ in range(columns)]
+    def _slices(self, slices: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per history its first slice, and over how many it is dealt.  It is
+        not more frequent than its rarest word."""
+        most = np.concatenate([self.total,
+                               np.minimum(self.total[self.b_first], self.total[self.b_last])])
+        return ((_mixed(self.histories) % np.uint64(slices)).astype(np.int64),
+                np.minimum(1 + most // SLICE_TOKENS, slices))
+
+    def dealt(self, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams' slices; the histories asked for, and in which slices."""
+        first, over = self._slices(slices)
+        at = np.concatenate([self.b_first, self.words + self.t_history])
+        spread = over[at]
+        hot = np.flatnonzero(spread > 1)
+        spread[:] = 0
+        spread[hot] = (_mixed(self.last[hot]) % over[at[hot]].astype(np.uint64)).astype(np.int64)
+        asked = np.flatnonzero(self.histories >= 0)
+        asked = np.repeat(asked, over[asked])
+        nth = np.arange(len(asked)) - np.flatnonzero(np.diff(asked, prepend=-1)).repeat(
+            over[asked[np.diff(asked, prepend=-1) != 0]])
+        return (first[at] + spread) % slices, asked, (first[asked] + nth) % slices
+
+    def messages(self, slices: int) -> pa.Table:
+        """Its n-grams with their counts in its training documents, and the
+        histories it asks for."""
+        of, asked, asked_of = self.dealt(slices)
+        asks = {s: self.histories[asked[at]] for s, at in _dealt(asked_of)}
+        grams = dict(_dealt(of))
+        none = np.zeros(0, np.int64)
+        return _messages([
+            (GRAMS, s, self.block, _pack_grams(*(c[grams.get(s, none)] for c in
+                                                 (self.history, self.last, self.n))),
+             _pack_grams(asks.get(s, none))) for s in sorted(asks.keys() | grams.keys())])
+
+    def counts(self, table: pa.Table, slices: int) -> tuple[np.ndarray, np.ndarray]:
+        """Corpus counts of its n-grams; with how many different words the
+        corpus goes on after its histories."""
+        of, asked, asked_of = self.dealt(slices)
+        t = table.filter(pc.equal(table.column("kind"), COUNTS))
+        data = {r["slice"]: r for r in t.select(["slice", "data", "more"]).to_pylist()}
+        count = np.zeros(len(of), np.int64)
         for s, at in _dealt(of):
-            if s >= 0:
-                for o, c in zip(out, _unpack(data[s])):
-                    o[at] = c
-        return out
-
-    def gram_slices(self, slices: int) -> np.ndarray:
-        return _slice(self.history, self.last, slices)
-
-    def history_slices(self, slices: int) -> np.ndarray:
-        h = self.histories()
-        return np.where(h >= 0, _slice(h, 0, slices), -1)
-
-    def history_index(self) -> np.ndarray:
-        """The place in :meth:`histories` of every n-gram's history."""
-        return np.concatenate([self.b_first, self.words + self.t_history])
-
-    def messages(self, of: np.ndarray, *columns: np.ndarray) -> pa.Table:
-        rows = [(s, self.block, _pack_grams(*(c[at] for c in columns)))
-                for s, at in _dealt(of) if s >= 0]
-        s, b, d = zip(*rows) if rows else ((), (), ())
-        return _messages(s, b, d)
-
-
-def _messages(slices, blocks_, data) -> pa.Table:
-    return pa.table([pa.array(slices, pa.int64()), pa.array(blocks_, pa.int64()),
-                     pa.array(data, pa.binary())], ["slice", "block", "data"])
-
-
-_MESSAGE = "slice long, block long, data binary"
+            count[at], = _unpack(data[s]["data"])
+        kinds = np.zeros(len(self.histories), np.int64)
+        for s, at in _dealt(asked_of):              # a history once in a slice
+            kinds[asked[at]] += _unpack(data[s]["more"])[0]
+        return count, kinds
 
 
 def block_grams(table: pa.Table, slices: int) -> pa.Table:
-    """Messages of one block: its n-grams with their counts in its training
-    documents."""
-    b = Block(table)
-    return b.messages(b.gram_slices(slices), b.history, b.last, b.n)
-
-
-def _each(batches, slices: int):
-    """:func:`block_grams` for rows that are whole blocks."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield from block_grams(pa.Table.from_batches([batch.slice(i, 1)]),
-                                   slices).to_batches()
-
-
-def _of_slice(table: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
-    """Blocks in order, where each one's part ends, and all columns."""
-    t = table.sort_by("block")
-    parts = [_unpack_grams(d) for d in t.column("data").to_pylist()]
-    ends = np.cumsum([len(p[0]) for p in parts])
-    return t.column("block").to_pylist(), ends[:-1], [np.concatenate(c) for c in zip(*parts)]
-
-
-def _answers(table: pa.Table, of: list[int], ends: np.ndarray, *columns: np.ndarray) -> pa.Table:
-    parts = zip(*(np.split(c, ends) for c in columns))
-    return _messages([table.column("slice")[0].as_py()] * len(of), of, [_pack(*p) for p in parts])
-
-
-def _summed(inverse: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
-    np.add.at(out, inverse, n)
-    return out
+    return Block(table).messages(slices)
 
 
 def slice_grams(table: pa.Table) -> pa.Table:
-    """To every block of a slice, in its order: the n-grams' corpus counts,
-    and whether it is the first of the blocks that trained them."""
-    of, ends, (history, last, n) = _of_slice(table)
-    rank = np.unique(history, return_inverse=True)[1]
-    keys, inverse = np.unique(rank << 32 | last, return_inverse=True)
-    total = _summed(inverse, n, len(keys))
-    trained = np.flatnonzero(n > 0)
-    leads = np.zeros(len(n), np.int64)
-    leads[trained[np.unique(inverse[trained], return_index=True)[1]]] = 1
-    return _answers(table, of, ends, total[inverse], leads)
-
-
-def block_histories(table: pa.Table, slices: int) -> pa.Table:
-    """Messages of one block: its histories, how often its training documents
-    go on after them, and how many n-grams with them it leads."""
-    b = Block(table)
-    _, leads = b.back(table, 2, b.gram_slices(slices), 2)
-    h, at = b.histories(), b.history_index()
-    return b.messages(b.history_slices(slices), h, _summed(at, b.n, len(h)),
-                      _summed(at, leads, len(h)))
-
-
-def slice_histories(table: pa.Table) -> pa.Table:
-    """To every block of a slice: how often the corpus goes on after its
-    histories, and with how many different words."""
-    of, ends, (history, n, kinds) = _of_slice(table)
-    keys, inverse = np.unique(history, return_inverse=True)
-    return _answers(table, of, ends, _summed(inverse, n, len(keys))[inverse],
-                    _summed(inverse, kinds, len(keys))[inverse])
+    """To every block of a slice, in its order: the n-grams' corpus counts;
+    with how many different words of the slice the corpus goes on after the
+    histories it asked for."""
+    t = table.sort_by("block")
+    s = t.column("slice")[0].as_py()
+    grams = [_unpack_grams(d) for d in t.column("data").to_pylist()]
+    asks = [_unpack_grams(d)[0] for d in t.column("more").to_pylist()]
+    ends = np.cumsum([len(g[0]) for g in grams])[:-1]
+    history, last, n = (np.concatenate(c) for c in zip(*grams))
+    del grams
+    known, _, number = _distinct(history)
+    keys, _, number = _distinct(number << 32 | last)
+    total = _summed(number, n, len(keys))
+    kinds = np.append(np.bincount(keys[total > 0] >> 32, minlength=len(known)), 0)
+    known = np.append(known, -1)                    # is not asked for
+
+    def after(asked):
+        at = np.searchsorted(known[:-1], asked)
+        return np.where(known[at] == asked, kinds[at], 0)
+
+    return _messages([(COUNTS, s, b, _pack(c), _pack(after(a))) for b, c, a in
+                      zip(t.column("block").to_pylist(), np.split(total[number], ends), asks)])
 
 
 class Automaton:
     """Backoff automaton over tokens ``0..len(unigram)-1``.
 
     ``unigram``: log10 probability per token.  ``grams``: n-gram -> training
-    count, for n-grams of one to three tokens.  ``follow``: history -> (count,
-    number) of the n-gram arcs that leave it.
+    count, for n-grams of one to three tokens.  ``follow``: history -> number
+    of the n-gram arcs that leave it; all but an end go on as often as they
+    occur.
     """
 
     def __init__(self, unigram: np.ndarray, grams: dict[tuple, int],
-                 follow: dict[tuple, tuple[int, int]], discount: float = DISCOUNT):
+                 follow: dict[tuple, int], discount: float = DISCOUNT):
         w = len(unigram)
         pairs = {g: i for i, g in enumerate(g for g in grams if len(g) == 2)}
         triples = [g for g in grams if len(g) == 3]
@@ -348,7 +358,7 @@ class Automaton:
                     column([pairs[g[:2]] for g in triples]), column([g[2] for g in triples]),
                     column([pairs[g[1:]] for g in triples]),
                     *(column([grams.get(g, 0) for g in x]) for x in (histories, triples)),
-                    *(column([follow.get(h, (0, 0))[i] for h in histories]) for i in (0, 1)),
+                    column([follow.get(h, 0) for h in histories]),
                     discount)
 
     @classmethod
@@ -358,14 +368,14 @@ class Automaton:
         return out
 
     def _build(self, unigram, b_first, b_last, t_history, t_last, t_lower, count, t_count,
-               follow_n, follow_k, discount=DISCOUNT) -> None:
+               follow, discount=DISCOUNT) -> None:
         # states: the empty history, words, bigrams.  A history that nothing
         # follows has no arc and costs nothing to leave.
         w = self.width = len(unigram)
         self.root = unigram
         self.fail = np.concatenate([np.zeros(1 + w, np.int64), 1 + b_last])
-        lost = (follow_n - discount * follow_k) / np.maximum(count, 1)
-        self.backoff = np.concatenate([[0.0], np.log10(1 - np.where(count > 0, lost, 0.0))])
+        left = np.where(follow > 0, discount * follow / np.maximum(count, 1), 1.0)
+        self.backoff = np.concatenate([[0.0], np.log10(left)])
 
         def arcs(state, token, n, lower):
             seen = np.flatnonzero(n > 0)
@@ -386,20 +396,46 @@ class Automaton:
     def score(self, s, t):
         """Log probability of ``t`` in state ``s``, and the next state; both
         numbers or arrays."""
-        s, t = np.asarray(s, np.int64), np.asarray(t, np.int64)
-        total, to, done = np.zeros(s.shape), 1 + t, np.zeros(s.shape, bool)
+        shape = np.broadcast(s, t).shape
+        s = np.array(np.broadcast_to(s, shape), np.int64).reshape(-1)
+        t = np.array(np.broadcast_to(t, shape), np.int64).reshape(-1)
+        total, to, left = self.root[t], 1 + t, np.arange(len(t))
+        lost = np.zeros(len(t))
         for _ in range(2):                     # a bigram, a word; then the empty history
-            key = s * self.width + t
-            at = np.searchsorted(self.keys, key)
-            if len(self.keys):
-                at = np.minimum(at, len(self.keys) - 1)
-                hit = ~done & (s > 0) & (self.keys[at] == key)
-                total = np.where(hit, total + self.arc[at], total)
-                to = np.where(hit, self.next[at], to)
-                done = done | hit
-            total = np.where(done, total, total + self.backoff[s])
-            s = np.where(done, s, self.fail[s])
-        return np.where(done, total, total + self.root[t]), to
+            left = left[s[left] > 0]
+            if not len(left) or not len(self.keys):
+                break
+            key = s[left] * self.width + t[left]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            total[left[hit]], to[left[hit]] = self.arc[at[hit]], self.next[at[hit]]
+            left = left[~hit]
+            lost[left] += self.backoff[s[left]]
+            s[left] = self.fail[s[left]]
+        return (total + lost).reshape(shape), to.reshape(shape)
+
+    def traverse(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log probabilities of texts of those sizes, one after another in
+        ``ids``.  All go one token forward at a time, each carrying its state
+        and its sum.  A long text goes in lanes of :data:`LANE` tokens; a lane
+        begins two tokens earlier, in the empty history, since two tokens lead
+        to the same state from wherever they begin."""
+        lanes = -(-size // LANE)
+        text = np.repeat(np.arange(len(size)), lanes)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = (np.cumsum(size) - size)[text]
+        end = begin + np.minimum(size[text], (nth + 1) * LANE)
+        own = begin + nth * LANE                       # from here on it scores
+        at = np.maximum(own - 2, begin)
+        order = np.argsort(at - end, kind="stable")    # the longest first
+        text, own, at, end = text[order], own[order], at[order], end[order]
+        going = np.searchsorted(at - end, -np.arange(max(end - at, default=0)), side="left")
+        state, total = np.zeros(len(at), np.int64), np.zeros(len(at))
+        for k, m in enumerate(going.tolist()):
+            now = at[:m] + k
+            p, state[:m] = self.score(state[:m], ids[now])
+            total[:m] += np.where(now >= own[:m], p, 0.0)
+        return np.bincount(text, total, len(size))
 
 
 def unigrams(counts: np.ndarray, n: int, distinct: int, discount: float) -> np.ndarray:
@@ -414,75 +450,44 @@ def block_scores(table: pa.Table, slices: int, n: int, distinct: int,
                  discount: float) -> pa.Table:
     """Scores of one block's documents."""
     b = Block(table)
-    count, _ = b.back(table, 2, b.gram_slices(slices), 2)
-    pairs = len(b.pairs)
+    count, kinds = b.counts(table, slices)
+    pairs = len(b.b_first)
     model = Automaton.of(
         unigrams(b.total, n, distinct, discount), b.b_first, b.b_last, b.t_history, b.t_last,
-        b.t_lower, np.concatenate([b.total, count[:pairs]]), count[pairs:],
-        *b.back(table, 3, b.history_slices(slices), 2))
+        b.t_lower, np.concatenate([b.total, count[:pairs]]), count[pairs:], kinds)
     start = np.cumsum(b.size) - b.size
-    # the state before a token: the bigram before it, else the word, else nothing
-    state = np.zeros(len(b.ids), np.int64)
-    state[1:] = np.where(b.two[:-1] >= 0, 1 + b.words + b.two[:-1], 1 + b.ids[:-1])
-    state[start] = 0
-    score_ = np.add.reduceat(model.score(state, b.ids)[0], start)
     base = np.add.reduceat(np.log10((b.total + 1) / (n + distinct + 1))[b.ids], start)
     known = np.add.reduceat((b.total > 0)[b.ids].astype(np.int64), start)
     return pa.table([b.doc_id, pa.array(b.held),
                      pa.array(b.size), pa.array(known), pa.array([n] * len(b.size), pa.int64()),
-                     pa.array(base), pa.array(score_)],
+                     pa.array(base), pa.array(model.traverse(b.ids, b.size))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
                      "score"])
 
 
-def _grouped(coded: DataFrame, *answers: DataFrame):
-    """Everything about a block in one group: itself as kind 0, answers of
-    slices as kinds 2 and 3."""
-    out = coded
-    for kind, df in enumerate(answers, 2):
-        out = out.unionByName(df.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
-    return out.groupBy("block")
-
-
-def score(docs: DataFrame, frequent: int | None = None, doc_id: str = "doc_id",
-          text: str = "text") -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score
     and score, both log10.
 
     Documents whose crc32(doc_id as text) modulo 7 is 2 are held out, all
-    others train.  With ``frequent``, n-grams of two and three words are kept
-    only over words with at least one training token in ``frequent``; without
-    it, over all words.  A null or empty text is the end alone; a null id
-    counts as empty text for the fold.  Repeated rows train and score like any
-    others; an empty table gives no row; other columns are not read.
+    others train.  A null or empty text is the end alone; a null id counts as
+    empty text for the fold.  Repeated rows train and score like any others;
+    an empty table gives no row; other columns are not read.
     """
-    rows = materialize(blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                                          F.col(text).alias("text"))), "lm_blocks")
-    known = vocabulary(rows)
-    s = known.agg(
-        F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
-        F.count(F.when(F.col("total") == 1, 1)).alias("n1"),
-        F.count(F.when(F.col("total") == 2, 1)).alias("n2")).head()
-    n, v = int(s["n"]), int(s["v"])
-    discount = min(0.95, max(0.05, s["n1"] / (s["n1"] + 2 * s["n2"]))) if s["n1"] else 0.5
-    name = F.col("g") if frequent is None else F.when(F.col("total") * frequent >= n, F.col("g"))
-    words = materialize(
-        rows.filter("kind = 1").select("block", "number", "word").join(known, "word", "left")
-        .select("block", "number", F.coalesce(name, F.lit(-1)).alias("a"),
-                F.coalesce("total", F.lit(0)).alias("b"))
-        .groupBy("block").applyInArrow(block_words, "block long, words binary"), "lm_counts")
-    coded = materialize(rows.filter("kind = 0").select("block", "kind", "docs", "ids")
-                        .join(words, "block"), "lm_coded")
-    discard(rows, known, words)
-
-    slices = max(MIN_SLICES, -(-n // SLICE_TOKENS))
-    grams = materialize(
-        coded.mapInArrow(lambda batches: _each(batches, slices), _MESSAGE)
-        .groupBy("slice").applyInArrow(slice_grams, _MESSAGE), "lm_grams")
-    follow = materialize(
-        _grouped(coded, grams).applyInArrow(lambda t: block_histories(t, slices), _MESSAGE)
-        .groupBy("slice").applyInArrow(slice_histories, _MESSAGE), "lm_follow")
-    return _grouped(coded, grams, follow).applyInArrow(
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    slices = max(MIN_SLICES, -(-int(size) // SLICE_BYTES))
+    rows = materialize(blocks(docs, slices), "lm_blocks")
+    words = materialize(rows.filter(F.col("kind") == WORDS).groupBy("slice").applyInArrow(
+        lambda t: slice_words(t, slices), _NUMBERED), "lm_words")
+    s = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2"))).head()
+    n, v, n1, n2 = map(int, s)
+    discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    whole = rows.filter(F.col("kind") == DOCS).unionByName(words.drop("n", "v", "n1", "n2"))
+    counts = materialize(
+        whole.groupBy("block").applyInArrow(lambda t: block_grams(t, slices), _MESSAGE)
+        .groupBy("slice").applyInArrow(slice_grams, _MESSAGE), "lm_counts")
+    return whole.unionByName(counts).groupBy("block").applyInArrow(
         lambda t: block_scores(t, slices, n, v, discount),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")
