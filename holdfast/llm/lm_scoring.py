@@ -86,11 +86,11 @@ def _pack(*columns: np.ndarray) -> bytes:
         far = c.view(np.uint64) - np.uint64(lo % (1 << 64))
         parts.append(np.ascontiguousarray(far.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
     raw = b"".join(parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="lz4", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="lz4", asbytes=True)
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
     while at < len(raw):
         lo, width = np.frombuffer(raw, np.int64, 2, at).tolist()
@@ -134,13 +134,19 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, a place of each, and the number of every key."""
     order = np.argsort(keys)
     keys = keys[order]
-    new = np.ones(len(keys), bool)
-    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    new = _starts(keys)
     number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(new) - 1
+    number[order] = np.repeat(np.arange(len(new)), np.diff(new, append=len(keys)))
     return keys[new], order[new], number
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _summed(number: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(size, np.int64)
     np.add.at(out, number, n)
@@ -268,25 +274,33 @@ class Block:
         return ((_mixed(self.histories) % np.uint64(slices)).astype(np.int64),
                 np.minimum(1 + most // SLICE_TOKENS, slices))
 
-    def dealt(self, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams' slices; the histories asked for, and in which slices."""
+    def dealt(self, slices: int):
+        """The n-grams' slices and histories; whether a history lies in one
+        slice; the histories to be asked for by name, and in which slices.  A
+        slice answers unasked for the histories of the n-grams it is sent, and
+        nothing follows an end."""
         first, over = self._slices(slices)
         at = np.concatenate([self.b_first, self.words + self.t_history])
-        spread = over[at]
-        hot = np.flatnonzero(spread > 1)
-        spread[:] = 0
-        spread[hot] = (_mixed(self.last[hot]) % over[at[hot]].astype(np.uint64)).astype(np.int64)
-        asked = np.flatnonzero(self.histories >= 0)
-        asked = np.repeat(asked, over[asked])
-        nth = np.arange(len(asked)) - np.flatnonzero(np.diff(asked, prepend=-1)).repeat(
-            over[asked[np.diff(asked, prepend=-1) != 0]])
-        return (first[at] + spread) % slices, asked, (first[asked] + nth) % slices
+        whole = over == 1
+        of = first[at]
+        hot = np.flatnonzero(~whole[at])
+        of[hot] += (_mixed(self.last[hot]) % over[at[hot]].astype(np.uint64)).astype(np.int64)
+        told = self.histories < 0
+        told[at] = True
+        told &= whole | (self.histories < 0)
+        end = self.ids[-1]
+        told[end] = True
+        told[self.words + np.flatnonzero(self.b_last == end)] = True
+        ask = np.flatnonzero(~told)
+        asked = np.repeat(ask, over[ask])
+        nth = np.arange(len(asked)) - np.repeat(np.cumsum(over[ask]) - over[ask], over[ask])
+        return of % slices, at, whole, asked, (first[asked] + nth) % slices
 
     def messages(self, slices: int) -> pa.Table:
         """Its n-grams with their counts in its training documents, and the
         histories it asks for."""
-        of, asked, asked_of = self.dealt(slices)
-        asks = {s: self.histories[asked[at]] for s, at in _dealt(asked_of)}
+        of, _, _, asked, asked_of = self.dealt(slices)
+        asks = {s: self.histories[asked[i]] for s, i in _dealt(asked_of)}
         grams = dict(_dealt(of))
         none = np.zeros(0, np.int64)
         return _messages([
@@ -297,15 +311,21 @@ class Block:
     def counts(self, table: pa.Table, slices: int) -> tuple[np.ndarray, np.ndarray]:
         """Corpus counts of its n-grams; with how many different words the
         corpus goes on after its histories."""
-        of, asked, asked_of = self.dealt(slices)
+        of, at, whole, asked, asked_of = self.dealt(slices)
         t = table.filter(pc.equal(table.column("kind"), COUNTS))
         data = {r["slice"]: r for r in t.select(["slice", "data", "more"]).to_pylist()}
         count = np.zeros(len(of), np.int64)
-        for s, at in _dealt(of):
-            count[at], = _unpack(data[s]["data"])
         kinds = np.zeros(len(self.histories), np.int64)
-        for s, at in _dealt(asked_of):              # a history once in a slice
-            kinds[asked[at]] += _unpack(data[s]["more"])[0]
+        asks = dict(_dealt(asked_of))
+        for s, i in _dealt(of):
+            count[i], = _unpack(data[s]["data"])
+            h = at[i[_starts(at[i])]]
+            answer, = _unpack(data[s]["more"])
+            kinds[h[whole[h]]] = answer[:len(h)][whole[h]]
+            if s in asks:                           # a history once in a slice
+                kinds[asked[asks.pop(s)]] += answer[len(h):]
+        for s, i in asks.items():
+            kinds[asked[i]] += _unpack(data[s]["more"])[0]
         return count, kinds
 
 
@@ -315,8 +335,8 @@ def block_grams(table: pa.Table, slices: int) -> pa.Table:
 
 def slice_grams(table: pa.Table) -> pa.Table:
     """To every block of a slice, in its order: the n-grams' corpus counts;
-    with how many different words of the slice the corpus goes on after the
-    histories it asked for."""
+    with how many different words of the slice the corpus goes on after their
+    histories, and after those it asked for."""
     t = table.sort_by("block")
     s = t.column("slice")[0].as_py()
     grams = [_unpack_grams(d) for d in t.column("data").to_pylist()]
@@ -324,18 +344,19 @@ def slice_grams(table: pa.Table) -> pa.Table:
     ends = np.cumsum([len(g[0]) for g in grams])[:-1]
     history, last, n = (np.concatenate(c) for c in zip(*grams))
     del grams
-    known, _, number = _distinct(history)
-    keys, _, number = _distinct(number << 32 | last)
+    known, _, of = _distinct(history)
+    keys, _, number = _distinct(of << 32 | last)
     total = _summed(number, n, len(keys))
     kinds = np.append(np.bincount(keys[total > 0] >> 32, minlength=len(known)), 0)
     known = np.append(known, -1)                    # is not asked for
 
-    def after(asked):
+    def after(numbers, asked):
         at = np.searchsorted(known[:-1], asked)
-        return np.where(known[at] == asked, kinds[at], 0)
+        return np.concatenate([kinds[numbers[_starts(numbers)]],
+                               np.where(known[at] == asked, kinds[at], 0)])
 
-    return _messages([(COUNTS, s, b, _pack(c), _pack(after(a))) for b, c, a in
-                      zip(t.column("block").to_pylist(), np.split(total[number], ends), asks)])
+    return _messages([(COUNTS, s, b, _pack(c), _pack(after(h, a))) for b, c, h, a in zip(
+        t.column("block").to_pylist(), np.split(total[number], ends), np.split(of, ends), asks)])
 
 
 class Automaton:
