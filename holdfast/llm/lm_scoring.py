@@ -25,7 +25,6 @@ the words after it).  Every slice answers in the order it was asked.
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -504,7 +503,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     s = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2"))).head()
     n, v, n1, n2 = map(int, s)
     discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    whole = rows.filter(F.col("kind") == DOCS).unionByName(words.drop("n", "v", "n1", "n2"))
+    own = materialize(rows.filter(F.col("kind") == DOCS), "lm_docs")
+    discard(rows)                                   # its words are answered
+    whole = own.unionByName(words.drop("n", "v", "n1", "n2"))
     counts = materialize(
         whole.groupBy("block").applyInArrow(lambda t: block_grams(t, slices), _MESSAGE)
         .groupBy("slice").applyInArrow(slice_grams, _MESSAGE), "lm_counts")
