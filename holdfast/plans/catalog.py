@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import fround
 from ..operators import features as FT
 from .context import Context
+from .flat import flat_context, flat_oracle
 from .oracle import Oracle
 
 
@@ -646,3 +647,17 @@ def q_sql_views(c: Context) -> DataFrame:
                    AS cum_customers_at_max_tenure
         FROM feature_customer f
         GROUP BY f.services_held""")
+
+
+# ------------------------------------------------- the chain on the flat layout
+def _on_flat_layout(name: str) -> None:
+    """The query of that name over the tables split from a flat extract."""
+    entry = REGISTRY[name]
+
+    @register(f"flat_{name}", f"S1 P1-P4 {entry.ids}", lambda o: entry.oracle(flat_oracle(o)))
+    def plan(c: Context) -> DataFrame:
+        return entry.plan(flat_context(c, _out(c, "flat_chain")))
+
+
+for _name in ("roles_service", "feature_customer", "dq_checks", "customer_value"):
+    _on_flat_layout(_name)

@@ -173,6 +173,15 @@ FLAT_SERVICE_ROLES = ServiceRoles(
     phone_addons=("MultipleLines",))
 
 
+def extract_names(services: ServiceRoles) -> dict[str, str]:
+    """Which service plays the part of an extract column."""
+    out = {"PhoneService": services.phone, "InternetService": services.internet}
+    out.update(zip(("StreamingTV", "StreamingMovies"), services.streaming))
+    out.update(zip(("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport"),
+                   services.protection))
+    return out
+
+
 def to_flat_file(roles: Roles, services: ServiceRoles) -> DataFrame:
     """The inverse of :func:`from_flat_file`: one wide row per customer in the
     reference's extract layout.  Service statuses are pivoted back to columns
@@ -181,10 +190,7 @@ def to_flat_file(roles: Roles, services: ServiceRoles) -> DataFrame:
     def yn(c):
         return F.when(F.col(c), "Yes").when(~F.col(c), "No")
 
-    by_name = {"PhoneService": services.phone, "InternetService": services.internet}
-    by_name.update(zip(("StreamingTV", "StreamingMovies"), services.streaming))
-    by_name.update(zip(("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport"),
-                       services.protection))
+    by_name = extract_names(services)
     wide = roles.service.groupBy("customer_id").pivot(
         "service_name", list(services.services)).agg(F.first("status"))
     svc_cols = [F.col(by_name[n]).alias(n) if n in by_name else F.lit("No").alias(n)
@@ -201,3 +207,24 @@ def to_flat_file(roles: Roles, services: ServiceRoles) -> DataFrame:
                     F.coalesce(F.col("total_charges").cast("string"), F.lit(" "))
                     .alias("TotalCharges"),
                     yn("churned").alias("Churn")))
+
+
+def to_extract(roles: Roles, services: ServiceRoles) -> DataFrame:
+    """:func:`to_flat_file` with the extract's own status values: the internet
+    tier by name, lapsed services are not held, and what needs internet or a
+    phone says so where there is none."""
+    flat = to_flat_file(roles, services)
+    internet = F.col("InternetService").isin(*services.internet_held)
+    phone = F.col("PhoneService") == "Yes"
+
+    def held(c):
+        return F.when(F.col(c) == "Yes", "Yes").otherwise("No")
+
+    new = {c: F.when(internet, held(c)).otherwise("No internet service")
+           for c in FLAT_SERVICE_ROLES.internet_addons}
+    new |= {c: F.when(phone, held(c)).otherwise("No phone service")
+            for c in FLAT_SERVICE_ROLES.phone_addons}
+    new["PhoneService"] = held("PhoneService")
+    new["InternetService"] = F.when(F.col("InternetService") == services.fiber_status,
+                                    "Fiber optic").when(internet, "DSL").otherwise("No")
+    return flat.select(*[new.get(c, F.col(c)).alias(c) for c in flat.columns])
