@@ -55,22 +55,71 @@ def test_given_pages(spark):
         rows + [(10_000 + i, u, h) for i, u, h in rows[:20]])
 
 
+def parsed(path):
+    """A parser by the standard alone: (fields, block) of all records."""
+    out = []
+    for name in sorted(os.listdir(path)):
+        data = gzip.open(f"{path}/{name}").read() if name.endswith(".gz") else b""
+        while data:
+            head, data = data.split(b"\r\n\r\n", 1)
+            version, *lines = head.decode().split("\r\n")
+            assert version == "WARC/1.1"
+            fields = [x.split(": ", 1) for x in lines]
+            assert len(dict(fields)) == len(fields)
+            size = int(dict(fields)["Content-Length"])
+            assert data[size:size + 4] == b"\r\n\r\n"
+            out.append((dict(fields), data[:size]))
+            data = data[size + 4:]
+    return out
+
+
+def payload(block):
+    head, body = block.split(b"\r\n\r\n", 1)
+    if b"chunked" not in head:
+        assert int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(body)
+        return body
+    out = b""
+    while True:
+        size, body = body.split(b"\r\n", 1)
+        n = int(size, 16)
+        if not n:
+            assert body == b"\r\n"
+            return out
+        assert body[n:n + 2] == b"\r\n"
+        out, body = out + body[:n], body[n + 2:]
+
+
 def test_archives_are_warc(spark, tmp_path):
-    """Each record's Content-Length leads to its closing line ends."""
+    """Mandatory fields, identifiers of their own, payloads that have their
+    digest, revisits that name the address and date of their response."""
     pages = spark.createDataFrame(ODD, "page_id long, url string, html string").coalesce(1)
     path = f"{tmp_path}/w"
     warc.write(warc.records(pages), path, 64)
-    n = 0
-    for name in os.listdir(path):
-        if name.endswith(".gz"):
-            data = gzip.open(f"{path}/{name}").read()
-            while data:
-                assert data.startswith(b"WARC/1.0\r\n")
-                head, data = data.split(b"\r\n\r\n", 1)
-                size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
-                assert data[size:size + 4] == b"\r\n\r\n"
-                data, n = data[size + 4:], n + 1
-    assert n == len(ODD)
+    recs = parsed(path)
+    assert len(recs) == len(ODD) == len({f["WARC-Record-ID"] for f, _ in recs})
+    responses = {}
+    for f, block in recs:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", f["WARC-Record-ID"])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"])
+        assert f["WARC-Target-URI"] and not re.search(r"\s", f["WARC-Target-URI"])
+        if f["WARC-Type"] == "response":
+            assert f["Content-Type"].startswith("application/http")
+            digest = "sha256:" + hashlib.sha256(payload(block)).hexdigest()
+            assert digest == f["WARC-Payload-Digest"]
+            responses.setdefault(digest, set()).add((f["WARC-Target-URI"], f["WARC-Date"]))
+    revisits = [f for f, _ in recs if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 4
+    for f in revisits:
+        assert (f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"]) \
+            in responses[f["WARC-Payload-Digest"]]
+
+
+def test_a_revisit_needs_its_response(spark):
+    pages = spark.createDataFrame(ODD[:3], "page_id long, url string, html string")
+    recs = warc.records(pages).drop("payload", "url", "refers_to_url")
+    assert warc.resolved(recs).count() == 3
+    with pytest.raises(Exception, match="no response for the revisit of page"):
+        warc.resolved(recs.filter("page_id <> 1")).collect()
 
 
 def test_rows_are_no_larger_than_a_chunk(spark):
