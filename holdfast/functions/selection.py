@@ -118,9 +118,10 @@ def _settle(o: _Open, found: dict[int, Found], opened: list[_Open]) -> None:
         opened.append(o)
 
 
-def _cut(rows: DataFrame, large: list[_Open], kind: str, out: dict) -> list[_Open]:
-    """The parts of the intervals in which asked ranks lie."""
-    within = rows.select(_place(large).alias("i"), "v").filter("i IS NOT NULL")
+def _bins(rows: DataFrame, large: Sequence, kind: str, counts: Sequence[Column]) -> list:
+    """The intervals cut at splitters: rows i, b, least and greatest value and
+    ``counts``, in order."""
+    within = rows.withColumn("i", _place(large)).filter("i IS NOT NULL")
     share = F.get(F.lit([SAMPLE / o.n for o in large]), "i")
     cuts: list[set] = [{o.lo} for o in large]          # at least one, so each round gains
     seen: list[list] = [[] for _ in large]
@@ -134,10 +135,15 @@ def _cut(rows: DataFrame, large: list[_Open], kind: str, out: dict) -> list[_Ope
     bounds = F.get(F.lit(lists).cast(f"array<array<{kind}>>"), "i")
     size = F.get(F.lit([len(c) for c in lists]), "i")
     bins = within.groupBy("i", _bin(bounds, size).alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        F.min("v").alias("lo"), F.max("v").alias("hi"), *counts)
+    return sorted(bins.collect(), key=lambda r: (r["i"], r["b"]))
+
+
+def _cut(rows: DataFrame, large: list[_Open], kind: str, out: dict) -> list[_Open]:
+    """The parts of the intervals in which asked ranks lie."""
     opened: list[_Open] = []
     before = [o.before for o in large]
-    for r in sorted(bins.collect(), key=lambda r: (r["i"], r["b"])):
+    for r in _bins(rows, large, kind, [F.count(F.lit(1)).alias("n")]):
         o, start = large[r["i"]], before[r["i"]]
         before[r["i"]] += r["n"]
         ranks = tuple(x for x in o.ranks if start < x <= start + r["n"])
@@ -249,6 +255,100 @@ def quantiles(df: DataFrame, shares: dict[str, Sequence[float]],
     return out
 
 
+class _Shared(NamedTuple):
+    by: int
+    lo: Any                # least and greatest value of the interval
+    hi: Any
+    n: int                 # rows of all parts
+    before: tuple[int, ...]              # per set: rows before the interval
+    ranks: tuple[tuple[int, ...], ...]   # per set
+
+
+def _asked(ranks: Column, last: Column, n: Column) -> Column:
+    """Whether one of ``ranks`` is among the ``n`` that end with ``last``."""
+    return F.exists(ranks, lambda x: (x > last - n) & (x <= last))
+
+
+def quantiles_left_out(df: DataFrame, shares: dict[str, float], part: str, parts: int,
+                       at_once: int | None = None) -> list[dict[str, float | None]]:
+    """:func:`quantiles` of all rows, and of the rows outside of each part.
+
+    ``part`` numbers the parts from 0 and is never NULL.  All sets are counted
+    in the same passes: a row is placed once and counted for every set it is
+    in, and the sets share the open intervals, since their quantiles lie close
+    together.
+    """
+    at_once = AT_ONCE if at_once is None else at_once
+    names, sets = list(shares), range(parts + 1)
+    each = [F.struct(F.lit(i).alias("by"), F.col(c).cast("double").alias("v"))
+            for i, c in enumerate(names)]
+    rows = df.select(F.col(part).alias("part"), F.inline(F.array(*each))).filter("v IS NOT NULL")
+    counts = [F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("n0"),
+              *[F.count_if(F.col("part") != k).alias(f"n{k + 1}") for k in range(parts)]]
+    sizes: dict[tuple[int, int], int] = {}
+    found: dict[tuple[int, int, int], Any] = {}
+    opened: list[_Shared] = []
+
+    def settle(o: _Shared) -> None:
+        if o.lo == o.hi:
+            found.update({(o.by, s, x): o.lo for s in sets for x in o.ranks[s]})
+        elif any(o.ranks):
+            opened.append(o)
+
+    for r in rows.groupBy("by").agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                    *counts).collect():
+        ranks = []
+        for s in sets:
+            n = sizes[r["by"], s] = r[f"n{s}"]
+            at = int((n - 1) * shares[names[r["by"]]])
+            ranks.append(tuple(sorted({at + 1, min(at + 2, n)})) if n else ())
+        settle(_Shared(r["by"], r["lo"], r["hi"], r["n"], (0,) * len(sets), tuple(ranks)))
+
+    while opened:
+        small = [o for o in opened if o.n <= at_once]
+        large = [o for o in opened if o.n > at_once]
+        opened = []
+        if small:
+            w = Window.partitionBy("i").orderBy("v")
+            asked = F.lit(False)
+            for s in sets:
+                wanted = F.lit([[x - o.before[s] for x in o.ranks[s]] for o in small]) \
+                    .cast("array<array<long>>")
+                asked |= _asked(F.get(wanted, "i"), F.col(f"c{s}"), F.col(f"n{s}"))
+            got = (rows.select("part", _place(small).alias("i"), "v").filter("i IS NOT NULL")
+                   .groupBy("i", "v").agg(*counts)
+                   .select("*", *[F.sum(f"n{s}").over(w).alias(f"c{s}") for s in sets])
+                   .filter(asked))
+            for r in got.collect():
+                o = small[r["i"]]
+                found.update({(o.by, s, x): r["v"] for s in sets for x in o.ranks[s]
+                              if r[f"c{s}"] - r[f"n{s}"] < x - o.before[s] <= r[f"c{s}"]})
+        if large:
+            bins = _bins(rows, large, "double", counts)
+            before = [list(o.before) for o in large]
+            for r in bins:
+                o, start = large[r["i"]], tuple(before[r["i"]])
+                for s in sets:
+                    before[r["i"]][s] += r[f"n{s}"]
+                settle(_Shared(o.by, r["lo"], r["hi"], r["n"], start, tuple(
+                    tuple(x for x in o.ranks[s] if start[s] < x <= start[s] + r[f"n{s}"])
+                    for s in sets)))
+
+    out: list[dict[str, float | None]] = []
+    for s in sets:
+        out.append({})
+        for i, c in enumerate(names):
+            n = sizes.get((i, s), 0)
+            if not n:
+                out[s][c] = None
+                continue
+            at = (n - 1) * shares[c]
+            lo = int(at)
+            a, b = found[i, s, lo + 1], found[i, s, min(lo + 2, n)]
+            out[s][c] = a if a == b or at == lo else (lo + 1 - at) * a + (at - lo) * b
+    return out
+
+
 def _class_bounds(df: DataFrame, label: str, order: str, key: str,
                   ranks: Callable[[int], Sequence[int]], at_once: int | None
                   ) -> dict[int, list[tuple[int, Any, Any]]]:

@@ -36,7 +36,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.selection import quantiles, tile_of_class
+from ..functions.selection import quantiles, quantiles_left_out, tile_of_class
 from ..session import ensure_checkpoint_dir
 from ..sources.files import exists, publish
 
@@ -68,18 +68,19 @@ def prepare(features: DataFrame) -> DataFrame:
         F.col("churned").cast("double").alias(LABEL))
 
 
-def preprocessor(train: DataFrame, n: int) -> list:
+def preprocessor(train: DataFrame, n: int, medians: dict | None = None) -> list:
     """Stages from raw columns to the feature vector.
 
-    Medians are exact (found by counting); the imputer is fitted on the one
+    Medians are exact (found by counting, if they are not given); the imputer is fitted on the one
     row of them.  The scaler divides by the sample deviation, so the vector is
     multiplied by sqrt(n / (n - 1)) to get the population's.  A level that was
     not in the training rows takes the indexer's extra index, which is the slot
     the encoder drops: it has no slot and sets none.
     """
-    medians = quantiles(train, {c: [0.5] for c in NUMERIC})
+    if medians is None:
+        medians = {c: q[0] for c, q in quantiles(train, {c: [0.5] for c in NUMERIC}).items()}
     row = train.sparkSession.createDataFrame(
-        [tuple(float(medians[c][0] or 0.0) for c in NUMERIC)],
+        [tuple(float(medians[c] or 0.0) for c in NUMERIC)],
         ", ".join(f"{c} double" for c in NUMERIC))
     imp = Imputer(strategy="median", inputCols=list(NUMERIC),
                   outputCols=[f"{c}_imp" for c in NUMERIC]).fit(row)
@@ -103,9 +104,9 @@ def logistic(n_train: int, p: ModelParams) -> LogisticRegression:
                               standardization=False, tol=1e-6)
 
 
-def fit_logistic(train: DataFrame, p: ModelParams) -> PipelineModel:
+def fit_logistic(train: DataFrame, p: ModelParams, medians: dict | None = None) -> PipelineModel:
     n = train.count()
-    return Pipeline(stages=preprocessor(train, n) + [logistic(n, p)]).fit(train)
+    return Pipeline(stages=preprocessor(train, n, medians) + [logistic(n, p)]).fit(train)
 
 
 def _p1(col: str = "probability"):
@@ -125,33 +126,52 @@ def with_folds(train: DataFrame, p: ModelParams, key: str = "customer_id") -> Da
     return t.withColumn("_fold", tile_of_class(t, LABEL, "_order", key, p.folds)).drop("_order")
 
 
-def fit_calibrated(train: DataFrame, p: ModelParams) -> list[tuple[PipelineModel, float, float]]:
-    """(classifier, a, b) per fold; calibrated p = 1 / (1 + exp(a f + b))."""
+def fold_medians(folded: DataFrame, p: ModelParams) -> list[dict]:
+    """Medians of all rows, then of those outside of each fold."""
+    return quantiles_left_out(folded, {c: 0.5 for c in NUMERIC}, "_fold", p.folds)
+
+
+def fit_calibrated(train: DataFrame, p: ModelParams, folded: DataFrame | None = None,
+                   medians: list[dict] | None = None) -> list[tuple[PipelineModel, float, float]]:
+    """(classifier, a, b) per fold; calibrated p = 1 / (1 + exp(a f + b)).
+
+    ``folded`` is ``train`` with its folds and ``medians`` what
+    :func:`fold_medians` gives for it; both are made if they are not given.
+    The decision values of a fold's held-out rows are kept while its
+    calibration passes over them.
+    """
+    t = with_folds(train, p) if folded is None else folded
+    medians = fold_medians(t, p) if medians is None else medians
     out = []
-    t = with_folds(train, p)
     for k in range(p.folds):
-        inner = t.filter(F.col("_fold") != k)
-        held = t.filter(F.col("_fold") == k)
-        clf = fit_logistic(inner, p)
-        scored = decision_value(clf, held).select("_f", LABEL)
-        counts = scored.agg(F.count_if(F.col(LABEL) == 1).alias("pos"),
-                            F.count_if(F.col(LABEL) == 0).alias("neg")).first()
-        n_pos, n_neg = counts["pos"], counts["neg"]
-        t_pos = (n_pos + 1.0) / (n_pos + 2.0)
-        t_neg = 1.0 / (n_neg + 2.0)
-        target = F.when(F.col(LABEL) == 1, t_pos).otherwise(t_neg)
-        rows = scored.select(F.col("_f"), target.alias("_t"))
-        soft = (rows.select("_f", F.lit(1.0).alias(LABEL), F.col("_t").alias("_w"))
-                .unionByName(rows.select("_f", F.lit(0.0).alias(LABEL),
-                                         (1 - F.col("_t")).alias("_w"))))
-        cal = LogisticRegression(featuresCol="_fv", labelCol=LABEL, weightCol="_w",
-                                 regParam=0.0, maxIter=200, standardization=False).fit(
-            VectorAssembler(inputCols=["_f"], outputCol="_fv").transform(soft))
-        # Platt form: p = 1 / (1 + exp(A f + B)) with A = -coef, B = -intercept
-        out.append((clf, -float(cal.coefficients[0]), -float(cal.intercept)))
+        clf = fit_logistic(t.filter(F.col("_fold") != k), p, medians[k + 1])
+        scored = decision_value(clf, t.filter(F.col("_fold") == k)).select("_f", LABEL).persist()
+        try:
+            out.append((clf, *_calibration(scored)))
+        finally:
+            scored.unpersist()
     return out
 
 
+def _calibration(scored: DataFrame) -> tuple[float, float]:
+    """Platt's a and b for decision values ``_f`` with labels."""
+    counts = scored.agg(F.count_if(F.col(LABEL) == 1).alias("pos"),
+                        F.count_if(F.col(LABEL) == 0).alias("neg")).first()
+    n_pos, n_neg = counts["pos"], counts["neg"]
+    t_pos = (n_pos + 1.0) / (n_pos + 2.0)
+    t_neg = 1.0 / (n_neg + 2.0)
+    target = F.when(F.col(LABEL) == 1, t_pos).otherwise(t_neg)
+    rows = scored.select(F.col("_f"), target.alias("_t"))
+    soft = (rows.select("_f", F.lit(1.0).alias(LABEL), F.col("_t").alias("_w"))
+            .unionByName(rows.select("_f", F.lit(0.0).alias(LABEL),
+                                     (1 - F.col("_t")).alias("_w"))))
+    cal = LogisticRegression(featuresCol="_fv", labelCol=LABEL, weightCol="_w",
+                             regParam=0.0, maxIter=200, standardization=False).fit(
+        VectorAssembler(inputCols=["_f"], outputCol="_fv").transform(soft))
+    # Platt form: p = 1 / (1 + exp(A f + B)) with A = -coef, B = -intercept
+    return -float(cal.coefficients[0]), -float(cal.intercept)
+
+
 def predict_calibrated(models: list[tuple[PipelineModel, float, float]], df: DataFrame,
                        key: str = "customer_id") -> DataFrame:
     """Average of the fold-calibrated probabilities.
@@ -230,7 +250,10 @@ def trained(train: DataFrame, p: ModelParams, root: str | None = None) -> dict:
             return load(spark, path)
         except DamagedModel:
             pass                               # trained again below
-    models = {"raw": fit_logistic(train, p), "calibrated": fit_calibrated(train, p)}
+    folded = with_folds(train, p)
+    medians = fold_medians(folded, p)
+    models = {"raw": fit_logistic(train, p, medians[0]),
+              "calibrated": fit_calibrated(train, p, folded, medians)}
     save(models, spark, path)
     return models
 

@@ -93,3 +93,26 @@ def test_training_twice_gives_the_same_scores(spark, tmp_path):
     df = _input(spark, seed=4)
     a, b = (MD.trained(df, P, f"file://{tmp_path}/{x}") for x in "ab")
     assert _scores(a, df) == _scores(b, df)
+
+
+def test_medians_of_all_folds_come_from_one_count(spark, tmp_path, monkeypatch):
+    df = _input(spark, seed=6)
+    counted = []
+    once = MD.quantiles_left_out
+    monkeypatch.setattr(MD, "quantiles_left_out", lambda *a: counted.append(1) or once(*a))
+    monkeypatch.setattr(MD, "quantiles", lambda *_: pytest.fail("counted again"))
+    models = MD.trained(df, P, f"file://{tmp_path}")
+    assert counted == [1]
+    monkeypatch.undo()
+    folded = MD.with_folds(df, P)
+    for k, (clf, _, _) in enumerate(models["calibrated"]):
+        alone = MD.fit_logistic(folded.filter(F.col("_fold") != k), P)
+        assert alone.stages[-1].coefficients == clf.stages[-1].coefficients
+
+
+def test_a_fold_is_scored_once_for_its_calibration(spark, monkeypatch):
+    kept = []
+    whole = MD._calibration
+    monkeypatch.setattr(MD, "_calibration", lambda d: kept.append(d.storageLevel.useMemory) or whole(d))
+    MD.fit_calibrated(_input(spark, seed=7), P)
+    assert kept == [True] * P.folds

@@ -71,3 +71,17 @@ def test_first_of_class(spark):
         .join(n, "y").filter(F.col("r") <= F.ceil(F.col("n") / 5)).select("k")
     got = df.filter(take).select("k")
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+@pytest.mark.parametrize("n,at_once", [(4, None), (3000, 50), (3000, 10 ** 6)])
+def test_quantiles_left_out_are_those_of_the_other_rows(spark, n, at_once):
+    df = _frame(spark, n, 5).withColumn("none", F.lit(None).cast("double")) \
+        .withColumn("part", F.when(F.col("v") < 3, 0).otherwise(F.pmod(F.col("k"), F.lit(3))).cast("int")) \
+        .withColumn("holes", F.when(F.col("part") != 1, F.col("v"))).cache()
+    shares = {"v": 0.5, "small": 0.5, "none": 0.5, "holes": 0.3}
+    got = SL.quantiles_left_out(df, shares, "part", 4, at_once)
+    assert len(got) == 5                       # a part may be empty
+    for s, q in enumerate(got):
+        rows = df if s == 0 else df.filter(F.col("part") != s - 1)
+        want = SL.quantiles(rows, {c: [x] for c, x in shares.items()}, at_once)
+        assert q == {c: x[0] for c, x in want.items()}
