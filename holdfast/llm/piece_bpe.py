@@ -2,14 +2,15 @@
 
 A sequence of pieces is the encoding of a text exactly if every two adjacent
 pieces are what merging makes of their joined text.  So the encoder walks the
-text with the longest matching piece (an Aho-Corasick automaton over the
-reversed pieces gives, in one pass, the longest piece that starts at every
-position), checks it against its left neighbour by re-merging both, falls
-back to shorter pieces, and steps back over a position from which nothing
-fits; a bit per position keeps such failures from being tried twice.
+text with the longest matching piece (a trie of the pieces gives it), checks
+it against its left neighbour by re-merging both, falls back to shorter
+pieces, and steps back over a position from which nothing fits; a bit per
+position keeps such failures from being tried twice.
 
 No piece holds a word mark after another character, so marks with what
-follows them are encoded one by one and cached.
+follows them are encoded one by one and cached.  Nor does merging cross two
+characters that stand side by side in no piece: a word that ends in such a
+character (a full stop, say) is the word without it, and the character.
 """
 
 from __future__ import annotations
@@ -60,13 +61,22 @@ class PieceBpe:
         self.split = {p: parts for p in self.ids if len(p) > 1
                       and len(parts := self.merge(p, 2)) == 2}
         self.reachable = {p for p in self.ids if len(p) == 1 or p in self.split}
-        self.automaton = ahocorasick.Automaton()
+        self.trie = ahocorasick.Automaton()
         for p in self.reachable:
-            self.automaton.add_word(p[::-1], len(p))
-        self.automaton.make_automaton()
+            self.trie.add_word(p, len(p))
+        self.width = max(map(len, self.reachable))
+        # the longest piece at the beginning of every way into the trie that is no piece
+        self.longest = {}
+        for p in sorted(self.reachable, key=len):
+            for n in range(1, len(p)):
+                if p[:n] not in self.reachable:
+                    self.longest[p[:n]] = self.longest.get(p[:n - 1], p[:n - 1]) or p[0]
+        self.adjacent = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.decimal = [str(i) for i in range(len(model.pieces))]
+        self.codes = WordCache(self._code, 100_000)
         self.shorter = WordCache(self._shorter, 100_000)
         self.fits = WordCache(lambda pair: self.compatible(*pair), 300_000)
-        self.words = WordCache(lambda w: self._encoded(MARK + w))
+        self.words = WordCache(self._word, 350_000, 80 << 20)
         self.heads = WordCache(self._encoded, 50_000)
         self.feed = self._encoded("\n")
 
@@ -119,56 +129,66 @@ class PieceBpe:
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of ``text``; characters outside the vocabulary stand alone."""
-        n = len(text)
-        longest = [1] * n
-        for end, size in self.automaton.iter(text[::-1]):
-            if size > longest[n - 1 - end]:
-                longest[n - 1 - end] = size
-        failed = bytearray(n // 8 + 1)
+        n, width = len(text), self.width
+        prefix, longest, fits = self.trie.longest_prefix, self.longest, self.fits
+        failed = None                           # made when a place fails first
         out: list[str] = []
-        at, piece = 0, text[:longest[0]] if n else ""
+        at, piece, last = 0, None, None
         while at < n:
-            last = out[-1] if out else None
+            if piece is None:
+                piece = text[at:at + width]
+                piece = piece[:prefix(piece) or 1]
+                piece = longest.get(piece, piece)
             while True:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (
-                        last is None or self.fits[last, piece]):
+                if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (
+                        last is None or fits[last, piece]):
                     out.append(piece)
-                    at = end
-                    if at < n:
-                        piece = text[at:at + longest[at]]
+                    at, last, piece = end, piece, None
                     break
                 less = self.shorter[piece]
                 if less is None:
                     # nothing fits here: mark the place and shorten the last piece
+                    if failed is None:
+                        failed = bytearray(n // 8 + 1)
                     failed[at >> 3] |= 1 << (at & 7)
-                    out.pop()
-                    at -= len(last)
-                    piece = last
+                    piece = out.pop()
+                    at -= len(piece)
+                    last = out[-1] if out else None
                     break
                 piece = less
         return out
 
-    def _encoded(self, text: str) -> tuple[str, bytes]:
-        ids: list[int] = []
-        for p in self.pieces(text):
-            i = self.ids.get(p)
-            if i is None:
-                ids += [self.bytes[b] for b in p.encode("utf-8")]
-            else:
-                ids.append(i)
-        return ",".join(map(str, ids)), np.asarray(ids, "<i4").tobytes()
+    def _code(self, piece: str) -> bytes:
+        """Ids of a piece, or of the bytes of a character that is none."""
+        i = self.ids.get(piece)
+        return np.asarray([self.bytes[b] for b in piece.encode("utf-8")] if i is None else [i],
+                          "<i4").tobytes()
+
+    def _encoded(self, text: str) -> bytes:
+        return b"".join(map(self.codes.__getitem__, self.pieces(text)))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word mark and ``word``."""
+        stem = word[:-1]
+        if stem and word[-2:] not in self.adjacent:
+            got = self.words.get(stem)
+            if got is None:                     # kept if it is cut no further
+                got = self._encoded(MARK + stem) if len(stem) > 1 and \
+                    stem[-2:] not in self.adjacent else self.words[stem]
+            return got + self.codes[word[-1]]
+        return self._encoded(MARK + word)
 
     def __call__(self, text: str) -> tuple[str, list[int]]:
         """The ids as decimal text joined by commas, and as a list."""
         if not text:
             return "", []
         marked = text.replace(" ", MARK)
+        words = self.words.__getitem__
         if MARK * 2 in marked or marked[0] == MARK:
-            got = [self.words[u[1:]] for u in _UNIT.findall(MARK + marked)]
+            got = [words(u[1:]) for u in _UNIT.findall(MARK + marked)]
         else:
             first, *lines = marked.split("\n")
-            words = self.words.__getitem__
             got = list(map(words, first.split(MARK)))
             for line in lines:                  # a line feed is a piece of its own
                 got.append(self.feed)
@@ -176,8 +196,8 @@ class PieceBpe:
                 if head:
                     got.append(self.heads[head])
                 got += map(words, rest)
-        return (",".join([g[0] for g in got]),
-                np.frombuffer(b"".join([g[1] for g in got]), "<i4").tolist())
+        ids = np.frombuffer(b"".join(got), "<i4").tolist()
+        return ",".join(map(self.decimal.__getitem__, ids)), ids
 
 
 _ENCODERS: dict[str, PieceBpe] = {}

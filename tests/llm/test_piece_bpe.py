@@ -79,3 +79,12 @@ def test_documents(spark, library):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["ids"]) in by_text[r["doc_id"]]
         assert library.decode(r["ids"]) == r["decoded"] if r["ids"] else r["decoded"] == ""
     assert piece_bpe.encode(documents(spark, []), PATH).collect() == []
+
+
+def test_a_word_before_a_full_stop_is_encoded_once(library, monkeypatch):
+    fresh, walked = piece_bpe.PieceBpe(PATH), []
+    walk = fresh.pieces
+    monkeypatch.setattr(fresh, "pieces", lambda t: walked.append(t) or walk(t))
+    text = "x wortig wortig. wortig, a wortig."
+    assert fresh(text)[1] == library.encode(text)
+    assert [t for t in walked if "wortig" in t] == ["\u2581wortig"]
